@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagflow.functions.text import word_tokens
-from tagflow.schema import ENTITY_TYPES, N_TYPES, OUTSIDE, OUTSIDE_ID
+from tagflow.schema import ENTITY_TYPES, N_TYPES, OUTSIDE_ID, label_to_id
 
 DEFAULT_MAX_LEN = 5379  # longest text of the reference corpus; tokens past it are cut
 DOC_LOCAL_MAX = 1_000_000  # above this per-document cap, spread by (doc_id, key)
@@ -38,31 +38,47 @@ def _doc_local(max_len: int | None) -> bool:
     return max_len is not None and max_len <= DOC_LOCAL_MAX
 
 
+def by_doc(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Hash-partition documents on their id: the only exchange of the doc-local plan.
+
+    The raw text is shuffled instead of the exploded tokens (fewer bytes, and
+    tokenisation then runs with full parallelism after the exchange).  The
+    explicit not-null filter keeps the optimizer from inferring different
+    filters on different consumers, so every consumer reuses this exchange.
+    """
+    return docs.where(F.col(id_col).isNotNull()).repartition(id_col)
+
+
 def tokens(docs: DataFrame, max_len: int | None = DEFAULT_MAX_LEN, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, tok): one row per token, ``pos`` 0-based, cut at ``max_len``."""
-    out = docs.select(F.col(id_col).alias("doc_id"),
-                      F.posexplode(word_tokens(text_col, max_len)).alias("pos", "tok"))
-    return out.repartition("doc_id") if _doc_local(max_len) else out
+    """(doc_id, pos, tok): one row per token, ``pos`` 0-based, cut at ``max_len``.
+
+    Keeps the input partitioning (pass documents through ``by_doc`` first).
+    """
+    return (docs.select(F.col(id_col).alias("doc_id"),
+                        F.posexplode_outer(word_tokens(text_col, max_len)).alias("pos", "tok"))
+            .where(F.col("tok").isNotNull()))
 
 
 def span_rows(span_docs: DataFrame) -> DataFrame:
     """(doc_id, j, text, label): one row per span, j = index in the document's list."""
-    return span_docs.select("doc_id", F.posexplode("spans").alias("j", "span")).select(
-        "doc_id", "j", F.col("span.text").alias("text"), F.col("span.label").alias("label"))
+    # *_outer + null filter: a plain posexplode makes the optimizer infer
+    # size(spans) > 0 below the projection, re-evaluating the spans expression
+    return (span_docs.select("doc_id", F.posexplode_outer("spans").alias("j", "span"))
+            .where(F.col("span").isNotNull())
+            .select("doc_id", "j", F.col("span.text").alias("text"), F.col("span.label").alias("label")))
 
 
 def entity_tokens(spans: DataFrame) -> DataFrame:
     """(doc_id, j, label, n, k, tok): the tokens of each span, k 0-based, n = count."""
     et = spans.select("doc_id", "j", "label", word_tokens("text").alias("_et"))
-    return et.select("doc_id", "j", "label", F.size("_et").alias("n"),
-                     F.posexplode("_et").alias("k", "tok"))
+    return (et.select("doc_id", "j", "label", F.size("_et").alias("n"),
+                      F.posexplode_outer("_et").alias("k", "tok"))
+            .where(F.col("tok").isNotNull()))
 
 
-def locate_spans(toks: DataFrame, ent: DataFrame, doc_local: bool = True) -> DataFrame:
+def locate_spans(toks: DataFrame, ent: DataFrame) -> DataFrame:
     """A1: (doc_id, j, label, n, s) with s the first start where all n tokens match."""
-    if doc_local:
-        ent = ent.repartition("doc_id")
     hits = ent.hint("shuffle_hash").join(toks, ["doc_id", "tok"])
     cand = (hits.groupBy("doc_id", "j", "label", "n", (F.col("pos") - F.col("k")).alias("s"))
             .agg(F.count(F.lit(1)).alias("m"))
@@ -77,29 +93,38 @@ def tag_id_expr(prefix_b: F.Column, label: F.Column) -> F.Column:
     return F.when(prefix_b, 1 + idx).otherwise(1 + N_TYPES + idx)
 
 
+def id_to_tag_expr(tag_id: F.Column) -> F.Column:
+    """Label id -> label string through a 30-entry literal array (no join)."""
+    names = [name for name, _ in sorted(label_to_id().items(), key=lambda kv: kv[1])]
+    return F.element_at(F.array(*[F.lit(n) for n in names]), tag_id + 1)
+
+
 def span_positions(located: DataFrame) -> DataFrame:
-    """A2 step 1: (doc_id, pos, j, tag, tag_id) for every position a located span covers."""
+    """A2 step 1: (doc_id, pos, j, tag_id) for every position a located span covers."""
     p = located.select("doc_id", "j", "label", "s",
                        F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("pos"))
-    is_b = F.col("pos") == F.col("s")
-    return p.select("doc_id", "pos", "j",
-                    F.concat(F.when(is_b, F.lit("B-")).otherwise(F.lit("I-")), "label").alias("tag"),
-                    tag_id_expr(is_b, F.col("label")).alias("tag_id"))
+    return p.select("doc_id", "pos", "j", tag_id_expr(F.col("pos") == F.col("s"), F.col("label")).alias("tag_id"))
 
 
 def bio_from_located(toks: DataFrame, located: DataFrame) -> DataFrame:
-    """A2: last span wins per position; uncovered tokens are O."""
-    g = (span_positions(located).groupBy("doc_id", "pos")
-         .agg(F.max_by("tag", "j").alias("tag"), F.max_by("tag_id", "j").alias("tag_id")))
+    """A2: last span wins per position; uncovered tokens are O.
+
+    The winner is ``max_by(tag_id, j)`` over fixed-width ints, so the
+    aggregation stays a (partial) hash aggregate; the string is derived after.
+    """
+    g = span_positions(located).groupBy("doc_id", "pos").agg(F.max_by("tag_id", "j").alias("tag_id"))
     bio = toks.join(g.hint("shuffle_hash"), ["doc_id", "pos"], "left")
-    return bio.select(
-        "doc_id", F.col("pos").cast("int").alias("pos"), "tok",
-        F.coalesce("tag", F.lit(OUTSIDE)).alias("tag"),
-        F.coalesce("tag_id", F.lit(OUTSIDE_ID)).cast("int").alias("tag_id"))
+    tag_id = F.coalesce("tag_id", F.lit(OUTSIDE_ID)).cast("int")
+    return bio.select("doc_id", F.col("pos").cast("int").alias("pos"), "tok",
+                      id_to_tag_expr(tag_id).alias("tag"), tag_id.alias("tag_id"))
+
 
+def align(span_docs: DataFrame, max_len: int | None = DEFAULT_MAX_LEN, partitioned: bool = False) -> DataFrame:
+    """Span documents (doc_id, text, spans) -> (doc_id, pos, tok, tag, tag_id).
 
-def align(span_docs: DataFrame, max_len: int | None = DEFAULT_MAX_LEN) -> DataFrame:
-    """Span documents (doc_id, text, spans) -> (doc_id, pos, tok, tag, tag_id)."""
-    toks = tokens(span_docs, max_len)
-    located = locate_spans(toks, entity_tokens(span_rows(span_docs)), _doc_local(max_len))
+    ``partitioned=True`` says the input already went through ``by_doc``.
+    """
+    sd = by_doc(span_docs) if _doc_local(max_len) and not partitioned else span_docs
+    toks = tokens(sd, max_len)
+    located = locate_spans(toks, entity_tokens(span_rows(sd)))
     return bio_from_located(toks, located)

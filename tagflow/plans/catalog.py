@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- alignment
 def bio(spark: SparkSession, sf_dir: str, max_len: int | None = align.DEFAULT_MAX_LEN) -> DataFrame:
-    return align.align(fx.annotated(spark, sf_dir), max_len)
+    return align.align(fx.annotated(spark, sf_dir), max_len, partitioned=True)
 
 
 @register("bio_tags", oq.with_(oq.bio_ctes(5379)) + " SELECT * FROM bio")

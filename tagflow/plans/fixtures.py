@@ -56,12 +56,17 @@ def span_docs(docs: DataFrame) -> DataFrame:
             label.alias("label"),
         )
 
-    spans = F.when(
-        F.size("_w") > 0, F.transform(F.sequence(F.lit(0), F.lit(SPANS_PER_DOC - 1)), one)
-    ).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,label:string>>"))
+    spans = F.when(F.size("_w") > 0, F.array(*[one(F.lit(j)) for j in range(SPANS_PER_DOC)])
+                   ).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,label:string>>"))
     return docs.withColumn("_w", w).select("doc_id", "text", spans.alias("spans"))
 
 
-def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> span documents (doc_id, text, spans)."""
-    return span_docs(documents(spark, sf_dir))
+def annotated(spark: SparkSession, sf_dir: str, partitioned: bool = True) -> DataFrame:
+    """documents -> span documents (doc_id, text, spans).
+
+    With ``partitioned`` the documents are hash-partitioned on doc_id first
+    (``align.by_doc``), so spans and tokens derive from one shared exchange.
+    """
+    from tagflow.operators.align import by_doc
+    docs = documents(spark, sf_dir)
+    return span_docs(by_doc(docs) if partitioned else docs)
