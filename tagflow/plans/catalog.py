@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagflow.operators import align
 from tagflow.plans import fixtures as fx
@@ -58,3 +59,74 @@ def q_span_locate(spark, sf_dir):
     toks = align.tokens(docs)
     located = align.locate_spans(toks, align.entity_tokens(align.span_rows(docs)))
     return located.select("doc_id", "j", "label", located.n.cast("int").alias("n"), "s")
+
+
+# ---------------------------------------------------------------- spans / sources
+from tagflow.functions import text as tx  # noqa: E402
+from tagflow.operators import spans as sp  # noqa: E402
+from tagflow.sources import annotations as ann  # noqa: E402
+
+
+def fc_span_docs(spark, sf_dir):
+    raw_json = fx.raw_annotation_json(fx.annotated(spark, sf_dir, partitioned=False))
+    raw = raw_json.select(ann.parse_annotations(raw_json.json).alias("r")).select("r.*")
+    return sp.span_extract(raw)
+
+
+@register("ann_json_scan", oq.with_(oq.fc_spans_ctes()) + " SELECT doc_id, j, text, label FROM fc")
+def q_ann_json_scan(spark, sf_dir):
+    """S1+P1+P2: nested annotation records (JSON) -> flattened spans in order."""
+    return sp.span_rows(fc_span_docs(spark, sf_dir)).select("doc_id", F.col("j").cast("int").alias("j"), "text", "label")
+
+
+@register("span_docs", oq.with_(oq.fc_spans_ctes()) + """
+ SELECT d.doc_id, CAST(count(fc.j) AS INT) AS n_spans FROM documents d LEFT JOIN fc ON d.doc_id = fc.doc_id
+ GROUP BY d.doc_id""")
+def q_span_docs(spark, sf_dir):
+    """One row per document, documents without spans kept."""
+    return sp.span_counts(fc_span_docs(spark, sf_dir))
+
+
+@register("invalid_label_docs", oq.with_(oq.fc_spans_ctes()) + """
+ SELECT DISTINCT doc_id FROM fc WHERE label NOT IN (SELECT unnest(""" + oq.LAB + """)) OR label IS NULL""")
+def q_invalid_label_docs(spark, sf_dir):
+    """Documents holding a label outside the dictionary."""
+    return sp.invalid_label_docs(fc_span_docs(spark, sf_dir))
+
+
+@register("section_union", """
+ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split,
+        CASE WHEN lang = 'en' THEN 'judgement' ELSE 'preamble' END AS section FROM documents""")
+def q_section_union(spark, sf_dir):
+    """P5: judgement and preamble parts concatenated by column name."""
+    d = fx.read_table(spark, sf_dir, "documents").select("doc_id", "lang", fx.split_of(F.col("doc_id")).alias("split"))
+    parts = {"judgement": d.where(F.col("lang") == "en"), "preamble": d.where((F.col("lang") != "en") | F.col("lang").isNull())}
+    return sp.section_union(parts).select("doc_id", "split", "section")
+
+
+@register("legacy_list_parse", oq.with_(oq.fa_spans_ctes()) + " SELECT doc_id, j, text, label FROM spans")
+def q_legacy_list_parse(spark, sf_dir):
+    """S3 legacy: list-literal cells parsed back into span arrays (Arrow-batched pandas UDF)."""
+    cells = fx.legacy_cells(fx.annotated(spark, sf_dir, partitioned=False))
+    return sp.span_rows(ann.legacy_to_span_docs(cells)).select("doc_id", F.col("j").cast("int").alias("j"), "text", "label")
+
+
+@register("normalise_text", "SELECT doc_id, " + tx.DUCK_NORMALISE.format(x="text") + " AS norm_text FROM documents")
+def q_normalise_text(spark, sf_dir):
+    """Space after each listed mark, runs of spaces collapsed."""
+    return fx.documents(spark, sf_dir).select("doc_id", tx.normalise("text").alias("norm_text"))
+
+
+@register("word_tokens", oq.with_(oq.tokens_ctes(None)) + " SELECT doc_id, pos, tok FROM t")
+def q_word_tokens(spark, sf_dir):
+    """Uncut word/punctuation tokens of every document."""
+    return align.tokens(fx.documents(spark, sf_dir), None).select("doc_id", F.col("pos").cast("int").alias("pos"), "tok")
+
+
+@register("entity_tokens", oq.with_(oq.fa_spans_ctes(), oq.entity_ctes())
+          + " SELECT doc_id, j, CAST(n AS INT) AS n, CAST(k AS INT) AS k, tok FROM e")
+def q_entity_tokens(spark, sf_dir):
+    """Tokens of every entity span."""
+    e = align.entity_tokens(align.span_rows(fx.annotated(spark, sf_dir, partitioned=False)))
+    return e.select("doc_id", F.col("j").cast("int").alias("j"), F.col("n").cast("int").alias("n"),
+                    F.col("k").cast("int").alias("k"), "tok")

@@ -70,3 +70,44 @@ def annotated(spark: SparkSession, sf_dir: str, partitioned: bool = True) -> Dat
     from tagflow.operators.align import by_doc
     docs = documents(spark, sf_dir)
     return span_docs(by_doc(docs) if partitioned else docs)
+
+
+UNKNOWN_LABEL = "NOT_A_LABEL"
+
+
+def raw_annotation_json(span_docs_df: DataFrame) -> DataFrame:
+    """F-C: F-A spans nested as raw annotation records, serialised with ``to_json``.
+
+    Spans are split over two annotation entries (first two, then the rest), so
+    flattening must walk annotations then results.  Documents whose id is a
+    multiple of 17 carry no spans; for multiples of 29 span 0 gets an unknown
+    label (quarantine case).
+    """
+    doc_id = F.col("doc_id")
+
+    def value(s, i):
+        lab = F.when((doc_id % 29 == 0) & (i == 0), F.lit(UNKNOWN_LABEL)).otherwise(s["label"])
+        return F.struct(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
+                                 F.array(lab).alias("labels")).alias("value"))
+
+    res = F.transform("spans", value)
+    empty = F.array().cast("array<struct<value:struct<start:int,end:int,text:string,labels:array<string>>>>")
+    res = F.when(doc_id % 17 == 0, empty).otherwise(res)
+    annotations = F.array(F.struct(F.slice(res, 1, 2).alias("result")),
+                          F.struct(F.slice(res, 3, 1 << 20).alias("result")))
+    rec = F.struct(doc_id.alias("id"), F.struct(F.col("text").alias("text")).alias("data"),
+                   annotations.alias("annotations"))
+    return span_docs_df.select(F.to_json(rec).alias("json"))
+
+
+def legacy_cells(span_docs_df: DataFrame) -> DataFrame:
+    """Legacy CSV form: list literals per column (JSON arrays are valid list literals)."""
+    def lit_list(field, as_str=False):
+        arr = F.transform("spans", lambda s: s[field])
+        if as_str:
+            return F.to_json(arr)  # JSON strings are valid Python string literals
+        items = F.transform(arr, lambda x: F.coalesce(x.cast("string"), F.lit("None")))
+        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    return span_docs_df.select("doc_id", F.col("text").alias("overall_text"),
+                               lit_list("start").alias("start"), lit_list("end").alias("end"),
+                               lit_list("text", True).alias("text"), lit_list("label", True).alias("label"))

@@ -60,3 +60,11 @@ bio AS (SELECT t.doc_id, CAST(t.pos AS INT) AS pos, t.tok, coalesce(g.tag, 'O')
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
+
+
+def fc_spans_ctes() -> str:
+    """F-C after parsing: spans of documents not multiple of 17; span 0 of multiples of 29 relabelled."""
+    return fa_spans_ctes() + """,
+fc AS (SELECT doc_id, j, text,
+         CASE WHEN doc_id % 29 = 0 AND j = 0 THEN 'NOT_A_LABEL' ELSE label END AS label
+       FROM spans WHERE doc_id % 17 <> 0)"""
