@@ -130,3 +130,94 @@ def q_entity_tokens(spark, sf_dir):
     e = align.entity_tokens(align.span_rows(fx.annotated(spark, sf_dir, partitioned=False)))
     return e.select("doc_id", F.col("j").cast("int").alias("j"), F.col("n").cast("int").alias("n"),
                     F.col("k").cast("int").alias("k"), "tok")
+
+
+# ---------------------------------------------------------------- metrics
+from tagflow.operators import metrics as me  # noqa: E402
+from tagflow.operators import pad as pd_  # noqa: E402
+
+
+def fb(spark, sf_dir, max_len=align.DEFAULT_MAX_LEN):
+    return fx.pseudo_predictions(bio(spark, sf_dir, max_len))
+
+
+def padded_bio(spark, sf_dir):
+    b = bio(spark, sf_dir).select("doc_id", "pos", "tok", "tag_id")
+    lens = b.groupBy("doc_id").agg((F.max("pos") + 1).alias("n"))
+    return pd_.pad_long(b, lens.agg(F.max("n")).scalar(), fill={"tok": "<PAD>", "tag_id": 29})
+
+
+def r9(c):
+    return F.round(F.col(c), 9).alias(c)
+
+
+@register("prf_micro", oq.with_(oq.fb_ctes()) + """
+ SELECT tp, n_pred, n_true, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM (
+  SELECT tp, n_pred, n_true, tp / greatest(n_pred, 1) AS precision, tp / greatest(n_true, 1) AS recall,
+         CASE WHEN tp / greatest(n_pred, 1) + tp / greatest(n_true, 1) = 0 THEN 'NaN'::DOUBLE
+              ELSE 2 * (tp / greatest(n_pred, 1)) * (tp / greatest(n_true, 1))
+                   / (tp / greatest(n_pred, 1) + tp / greatest(n_true, 1)) END AS f1
+  FROM (SELECT count(*) FILTER (WHERE pred_id = true_id AND pred_id <> 0) AS tp,
+               count(*) FILTER (WHERE pred_id <> 0) AS n_pred,
+               count(*) FILTER (WHERE true_id <> 0) AS n_true FROM pred))""")
+def q_prf_micro(spark, sf_dir):
+    """Micro precision, recall, F1 outside label 0."""
+    m = me.prf_micro(fb(spark, sf_dir))
+    return m.select("tp", "n_pred", "n_true", r9("precision"), r9("recall"), r9("f1"))
+
+
+def _f1w_sql(label_filter: str, src: str = "pred") -> str:
+    return f"""
+ , cnt AS (SELECT label, sum(hit) AS tp, sum(is_pred) AS n_pred, sum(is_true) AS n_true FROM (
+      SELECT true_id AS label, 1 AS is_true, CAST(pred_id = true_id AS INT) AS hit, 0 AS is_pred FROM {src} WHERE true_id <> 29
+      UNION ALL SELECT pred_id, 0, 0, 1 FROM {src} WHERE true_id <> 29) GROUP BY label)
+ SELECT CAST(coalesce(sum(n_true), 0) AS BIGINT) AS support,
+        round(CASE WHEN coalesce(sum(n_true), 0) = 0 THEN 0.0
+              ELSE sum(CASE WHEN n_pred + n_true = 0 THEN 0.0 ELSE 2.0 * tp / (n_pred + n_true) END * n_true)
+                   / sum(n_true) END, 9) AS f1_weighted
+ FROM cnt {label_filter}"""
+
+
+@register("f1_weighted", oq.with_(oq.fb_ctes()) + _f1w_sql(""))
+def q_f1_weighted(spark, sf_dir):
+    """Support-weighted F1 over all labels seen, pads removed."""
+    return me.f1_weighted(fb(spark, sf_dir)).select("support", r9("f1_weighted"))
+
+
+@register("f1_weighted_entities", oq.with_(oq.fb_ctes()) + _f1w_sql("WHERE label BETWEEN 1 AND 27"))
+def q_f1_weighted_entities(spark, sf_dir):
+    """E5: weighted F1 restricted to label ids 1..27 after counting."""
+    return me.f1_weighted(fb(spark, sf_dir), labels=range(1, 28)).select("support", r9("f1_weighted"))
+
+
+@register("f1_weighted_cut64", oq.with_(oq.fb_ctes(64)) + _f1w_sql(""))
+def q_f1_weighted_cut64(spark, sf_dir):
+    """E4 on the 64-token cut."""
+    return me.f1_weighted(fb(spark, sf_dir, 64)).select("support", r9("f1_weighted"))
+
+
+@register("token_accuracy", oq.with_(oq.padded_fb_ctes()) + """
+ SELECT count(*) AS n, count(*) FILTER (WHERE true_id = pred_id) AS n_equal,
+        round(count(*) FILTER (WHERE true_id = pred_id) / count(*), 9) AS accuracy
+ FROM ppred WHERE true_id <> 29""")
+def q_token_accuracy(spark, sf_dir):
+    """Accuracy with pad positions removed (on the padded table)."""
+    a = me.token_accuracy(fx.pseudo_predictions(padded_bio(spark, sf_dir)))
+    return a.select("n", "n_equal", r9("accuracy"))
+
+
+@register("token_accuracy_all", oq.with_(oq.padded_fb_ctes()) + """
+ SELECT count(*) AS n, count(*) FILTER (WHERE true_id = pred_id) AS n_equal,
+        round(count(*) FILTER (WHERE true_id = pred_id) / count(*), 9) AS accuracy FROM ppred""")
+def q_token_accuracy_all(spark, sf_dir):
+    """Accuracy over every position, pads included."""
+    a = me.token_accuracy(fx.pseudo_predictions(padded_bio(spark, sf_dir)), pad_id=None)
+    return a.select("n", "n_equal", r9("accuracy"))
+
+
+@register("argmax_label", """
+ SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS pred, label FROM embeddings""")
+def q_argmax_label(spark, sf_dir):
+    """M8: per-row arg-max of a score vector (first index on ties)."""
+    e = fx.read_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", me.argmax("embedding").alias("pred"), "label")

@@ -111,3 +111,16 @@ def legacy_cells(span_docs_df: DataFrame) -> DataFrame:
     return span_docs_df.select("doc_id", F.col("text").alias("overall_text"),
                                lit_list("start").alias("start"), lit_list("end").alias("end"),
                                lit_list("text", True).alias("text"), lit_list("label", True).alias("label"))
+
+
+def pseudo_predictions(bio_df: DataFrame, true_col: str = "tag_id") -> DataFrame:
+    """F-B: deterministic pseudo-predictions next to the true ids.
+
+    pred = (true+1) % 29 where (doc_id*31+pos) % 7 = 0, else 0 where
+    (doc_id+pos) % 13 = 0, else the true id.
+    """
+    d, p, t = F.col("doc_id"), F.col("pos"), F.col(true_col)
+    pred = (F.when((d * 31 + p) % 7 == 0, (t + 1) % 29)
+            .when((d + p) % 13 == 0, F.lit(0))
+            .otherwise(t)).cast("int")
+    return bio_df.select("doc_id", "pos", t.cast("int").alias("true_id"), pred.alias("pred_id"))

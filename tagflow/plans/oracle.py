@@ -68,3 +68,25 @@ def fc_spans_ctes() -> str:
 fc AS (SELECT doc_id, j, text,
          CASE WHEN doc_id % 29 = 0 AND j = 0 THEN 'NOT_A_LABEL' ELSE label END AS label
        FROM spans WHERE doc_id % 17 <> 0)"""
+
+
+PRED_SQL = """CAST(CASE WHEN (doc_id*31 + pos) % 7 = 0 THEN (tag_id + 1) % 29
+                  WHEN (doc_id + pos) % 13 = 0 THEN 0 ELSE tag_id END AS INT)"""
+
+
+def fb_ctes(max_len: int | None = 5379) -> str:
+    """F-B: pred(doc_id, pos, true_id, pred_id)."""
+    return bio_ctes(max_len) + f""",
+pred AS (SELECT doc_id, pos, tag_id AS true_id, {PRED_SQL} AS pred_id FROM bio)"""
+
+
+def padded_fb_ctes() -> str:
+    """F-B over the bio table padded to the corpus maximum (pad token '<PAD>', label 29)."""
+    return bio_ctes(5379) + f""",
+lens AS (SELECT doc_id, max(pos) + 1 AS n FROM bio GROUP BY doc_id),
+mx AS (SELECT max(n) AS m FROM lens),
+padded AS (SELECT doc_id, pos, tok, tag_id FROM bio
+           UNION ALL
+           SELECT doc_id, CAST(unnest(range(n, (SELECT m FROM mx))) AS INT) AS pos, '<PAD>' AS tok, 29 AS tag_id
+           FROM lens),
+ppred AS (SELECT doc_id, pos, tag_id AS true_id, {PRED_SQL} AS pred_id FROM padded)"""
