@@ -221,3 +221,131 @@ def q_argmax_label(spark, sf_dir):
     """M8: per-row arg-max of a score vector (first index on ties)."""
     e = fx.read_table(spark, sf_dir, "embeddings")
     return e.select("vec_id", me.argmax("embedding").alias("pred"), "label")
+
+
+# ---------------------------------------------------------------- vocabulary / features
+from tagflow.operators import features as fe  # noqa: E402
+from tagflow.operators import vocab as vo  # noqa: E402
+
+
+def tagged_tokens(spark, sf_dir):
+    """Doc-partitioned BIO tokens with the F-E shape tag and the split."""
+    b = bio(spark, sf_dir)
+    return b.select("doc_id", "pos", "tok", "tag", "tag_id", fe.shape_tag("tok").alias("pos_tag"),
+                    fx.split_of(F.col("doc_id")).alias("split"))
+
+
+def feature_table(spark, sf_dir, long=True):
+    tt = tagged_tokens(spark, sf_dir)
+    f = fe.context_features(tt)
+    names = [t.name for t in fe.default_templates()]
+    if not long:
+        return f
+    return f.select("doc_id", "pos", "split", "tag_id",
+                    F.posexplode(F.array(*[F.col(n) for n in names])).alias("slot", "feature"))
+
+
+def feature_dictionary(spark, sf_dir):
+    fl = feature_table(spark, sf_dir)
+    return vo.feature_dict(vo.feature_set(fl.where(F.col("split") == "train")))
+
+
+@register("word_vocab", oq.with_(oq.features_ctes()) + oq.vocab_sql())
+def q_word_vocab(spark, sf_dir):
+    """V1: word vocabulary over train+dev, <UNK>=0, <PAD>=1, sorted ids from 2."""
+    return vo.word_vocab(tagged_tokens(spark, sf_dir))
+
+
+@register("word_encode", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql("AND split = 'train'") + """)
+ SELECT tt.doc_id, tt.pos, CAST(coalesce(v.word_id, 0) AS INT) AS word_id FROM tt LEFT JOIN v ON tt.tok = v.word""")
+def q_word_encode(spark, sf_dir):
+    """V2: words -> ids with a train-only vocabulary (dev-only words -> <UNK>)."""
+    tt = tagged_tokens(spark, sf_dir)
+    v = vo.word_vocab(tt.where(F.col("split") == "train"))
+    return vo.word_encode(tt, v).select("doc_id", "pos", "word_id")
+
+
+@register("feature_set", oq.with_(oq.features_ctes()) + " SELECT DISTINCT feature FROM fl WHERE split = 'train'")
+def q_feature_set(spark, sf_dir):
+    """V3: distinct features of the training split."""
+    return vo.feature_set(feature_table(spark, sf_dir).where(F.col("split") == "train"))
+
+
+@register("feature_dict", oq.with_(oq.features_ctes()) + " SELECT feature, feature_id FROM fdict")
+def q_feature_dict(spark, sf_dir):
+    """V4: feature dictionary, <PAD>=0, <UNK>=1."""
+    return feature_dictionary(spark, sf_dir)
+
+
+@register("feature_encode", oq.with_(oq.features_ctes()) + """
+ SELECT doc_id, pos, string_agg(CAST(coalesce(d.feature_id, 1) AS VARCHAR), ' ' ORDER BY slot) AS feature_ids
+ FROM fl LEFT JOIN fdict d ON fl.feature = d.feature GROUP BY doc_id, pos""")
+def q_feature_encode(spark, sf_dir):
+    """V5: every token's six features encoded; unseen (dev) features -> <UNK>=1."""
+    enc = vo.feature_encode(feature_table(spark, sf_dir), feature_dictionary(spark, sf_dir))
+    seq = F.sort_array(F.collect_list(F.struct("slot", "feature_id")))
+    return (enc.groupBy("doc_id", "pos").agg(seq.alias("s"))
+            .select("doc_id", "pos", F.array_join(F.col("s.feature_id"), " ").alias("feature_ids")))
+
+
+@register("label_encode", oq.with_(oq.bio_ctes(5379)) + """
+ SELECT doc_id, pos, tag, tag_id AS label_id FROM bio""")
+def q_label_encode(spark, sf_dir):
+    """V6: strict tag -> id lookup against the 30-label dictionary."""
+    b = bio(spark, sf_dir).select("doc_id", "pos", "tag")
+    return vo.label_encode(b).select("doc_id", "pos", "tag", "label_id")
+
+
+@register("tag_decode", oq.with_(oq.fb_ctes()) + ", lab AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{n}')" for n, i in sorted(__import__('tagflow.schema', fromlist=['x']).label_to_id().items(),
+                                       key=lambda kv: kv[1])) + """) v(id, name))
+ SELECT doc_id, pos, pred_id AS tag_id, name AS tag FROM pred JOIN lab ON pred.pred_id = lab.id""")
+def q_tag_decode(spark, sf_dir):
+    """Predicted ids -> tag strings, unknown ids dropped."""
+    return vo.tag_decode(fb(spark, sf_dir).select("doc_id", "pos", F.col("pred_id").alias("tag_id"))) \
+        .select("doc_id", "pos", "tag_id", "tag")
+
+
+@register("corpus_stats", oq.with_(oq.bio_ctes(5379)) + """
+ SELECT count(*) AS n_seqs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(n) AS INT) AS max_len,
+        CAST((SELECT count(DISTINCT tag_id) FROM bio) AS INT) AS n_labels
+ FROM (SELECT doc_id, max(pos) + 1 AS n FROM bio GROUP BY doc_id)""")
+def q_corpus_stats(spark, sf_dir):
+    """V8: sequence count, token count, longest sequence, label count."""
+    return vo.corpus_stats(bio(spark, sf_dir))
+
+
+@register("ctx_word_features", oq.with_(oq.features_ctes()) + """
+ SELECT doc_id, pos, f_word, f_prev_word, f_next_word FROM ft""")
+def q_ctx_word_features(spark, sf_dir):
+    """word, previous word, next word (<unk> at the borders)."""
+    return fe.context_features(tagged_tokens(spark, sf_dir), fe.WORD_TEMPLATES) \
+        .select("doc_id", "pos", "f_word", "f_prev_word", "f_next_word")
+
+
+@register("ctx_pos_features", oq.with_(oq.features_ctes()) + """
+ SELECT doc_id, pos, f_pos, f_prev_pos, f_next_pos FROM ft""")
+def q_ctx_pos_features(spark, sf_dir):
+    """tag, previous tag, next tag with the reference border behaviour."""
+    return fe.context_features(tagged_tokens(spark, sf_dir), fe.pos_templates()) \
+        .select("doc_id", "pos", "f_pos", "f_prev_pos", "f_next_pos")
+
+
+@register("featurise", oq.with_(oq.features_ctes()) + """
+ SELECT doc_id, pos, string_agg(feature, ' ' ORDER BY slot) AS feats FROM fl GROUP BY doc_id, pos""")
+def q_featurise(spark, sf_dir):
+    """the six feature strings per token, in slot order."""
+    f = fe.featurise(tagged_tokens(spark, sf_dir), long=False)
+    return f.select("doc_id", "pos", F.array_join("feats", " ").alias("feats"))
+
+
+@register("lexicon_pos", oq.with_(oq.features_ctes()) + """,
+ lex AS (SELECT tok, arg_max(pos_tag, c * 16 + CASE pos_tag WHEN 'NUM' THEN 2 WHEN 'PUNCT' THEN 3
+                                                  WHEN 'CAP' THEN 0 ELSE 1 END) AS lex_tag
+         FROM (SELECT tok, pos_tag, count(*) AS c FROM tt WHERE split = 'train' GROUP BY tok, pos_tag) GROUP BY tok)
+ SELECT doc_id, pos, coalesce(lex_tag, 'NN') AS pos_tag FROM tt LEFT JOIN lex USING (tok)""")
+def q_lexicon_pos(spark, sf_dir):
+    """F2 (re-aimed): word -> most frequent training tag, 'NN' for unseen words."""
+    tt = tagged_tokens(spark, sf_dir)
+    lex = fe.lexicon_pos_fit(tt.where(F.col("split") == "train"))
+    return fe.lexicon_pos_apply(tt.select("doc_id", "pos", "tok"), lex).select("doc_id", "pos", "pos_tag")

@@ -90,3 +90,38 @@ padded AS (SELECT doc_id, pos, tok, tag_id FROM bio
            SELECT doc_id, CAST(unnest(range(n, (SELECT m FROM mx))) AS INT) AS pos, '<PAD>' AS tok, 29 AS tag_id
            FROM lens),
 ppred AS (SELECT doc_id, pos, tag_id AS true_id, {PRED_SQL} AS pred_id FROM padded)"""
+
+
+SHAPE_SQL = r"""CASE WHEN regexp_full_match(tok, '\p{N}+') THEN 'NUM'
+     WHEN NOT regexp_matches(tok, '[\p{L}\p{N}_]') THEN 'PUNCT'
+     WHEN regexp_matches(tok, '^\p{Lu}') THEN 'CAP' ELSE 'LOW' END"""
+
+
+def features_ctes() -> str:
+    """Tagged tokens tt and per-token features ft (six slots) on the 5379-token cut."""
+    return bio_ctes(5379) + f""",
+tt AS (SELECT doc_id, pos, tok, tag_id, {SHAPE_SQL} AS pos_tag,
+         CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split FROM bio),
+ft AS (SELECT doc_id, pos, split, tag_id,
+         'word=' || tok AS f_word,
+         'prev_word=' || lag(tok, 1, '<unk>') OVER w AS f_prev_word,
+         'next_word=' || lead(tok, 1, '<unk>') OVER w AS f_next_word,
+         'pos=' || pos_tag AS f_pos,
+         coalesce('prev_pos=' || lag(pos_tag) OVER w,
+                  'prev_pos=pos=' || last_value(pos_tag) OVER (PARTITION BY doc_id ORDER BY pos
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS f_prev_pos,
+         coalesce('next_pos=' || lead(pos_tag) OVER w, 'next_pos=pos=' || pos_tag) AS f_next_pos
+       FROM tt WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+fl AS (SELECT doc_id, pos, split, CAST(generate_subscripts(fs, 1) - 1 AS INT) AS slot, unnest(fs) AS feature
+       FROM (SELECT doc_id, pos, split, [f_word, f_prev_word, f_next_word, f_pos, f_prev_pos, f_next_pos] AS fs FROM ft)),
+fdict AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) + 1 AS INT) AS feature_id
+          FROM (SELECT DISTINCT feature FROM fl WHERE split = 'train' AND feature NOT IN ('<PAD>', '<UNK>'))
+          UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1)"""
+
+
+def vocab_sql(where: str = "") -> str:
+    return f"""
+ SELECT word, CAST(word_id AS INT) AS word_id FROM (
+   SELECT tok AS word, row_number() OVER (ORDER BY tok) + 1 AS word_id
+   FROM (SELECT DISTINCT tok FROM tt WHERE tok NOT IN ('<UNK>', '<PAD>') {where})
+   UNION ALL SELECT '<UNK>', 0 UNION ALL SELECT '<PAD>', 1)"""
