@@ -349,3 +349,116 @@ def q_lexicon_pos(spark, sf_dir):
     tt = tagged_tokens(spark, sf_dir)
     lex = fe.lexicon_pos_fit(tt.where(F.col("split") == "train"))
     return fe.lexicon_pos_apply(tt.select("doc_id", "pos", "tok"), lex).select("doc_id", "pos", "pos_tag")
+
+
+# ---------------------------------------------------------------- padding / batching
+from tagflow.functions import arrays as ar  # noqa: E402
+from tagflow.operators import batches as ba  # noqa: E402
+
+
+def encoded_sequences(spark, sf_dir, split="train"):
+    """Per document: labels array and array of feature-id rows (six per token)."""
+    enc = vo.feature_encode(feature_table(spark, sf_dir), feature_dictionary(spark, sf_dir))
+    if split is not None:
+        enc = enc.where(F.col("split") == split)
+    tok = (enc.groupBy("doc_id", "pos")
+           .agg(F.first("tag_id").alias("tag_id"), F.sort_array(F.collect_list(F.struct("slot", "feature_id"))).alias("s"))
+           .select("doc_id", "pos", "tag_id", F.col("s.feature_id").alias("fids")))
+    seq = pd_.sequences(tok, ["tag_id", "fids"])
+    return seq.select("doc_id", F.col("tag_id").alias("labels"), F.col("fids").alias("feature_ids"))
+
+
+def j_ints(c):
+    return F.array_join(F.col(c), " ")
+
+
+@register("pad_truncate", oq.with_(oq.tokens_ctes(5379)) + """
+ SELECT doc_id, CAST(len(a) AS INT) AS n_real, array_to_string(a || list_transform(range(5379 - len(a)), lambda x: '<PAD>'), ' ') AS padded
+ FROM (SELECT doc_id, list(tok ORDER BY pos) AS a FROM t GROUP BY doc_id)""")
+def q_pad_truncate(spark, sf_dir):
+    """Token sequences cut/padded to the fixed length 5379 with '<PAD>'."""
+    toks = align.tokens(align.by_doc(fx.documents(spark, sf_dir)))
+    seq = pd_.sequences(toks, ["tok"])
+    return seq.select("doc_id", F.size("tok").cast("int").alias("n_real"),
+                      F.array_join(ar.pad_truncate("tok", 5379, "<PAD>"), " ").alias("padded"))
+
+
+@register("pad_corpus_max", oq.with_(oq.bio_ctes(5379)) + """,
+ s AS (SELECT doc_id, list(tag_id ORDER BY pos) AS a FROM bio GROUP BY doc_id)
+ SELECT doc_id, array_to_string(a || list_transform(range((SELECT max(len(a)) FROM s) - len(a)), lambda x: 29), ' ') AS labels
+ FROM s""")
+def q_pad_corpus_max(spark, sf_dir):
+    """Label sequences padded with 29 to the corpus maximum."""
+    seq = pd_.sequences(bio(spark, sf_dir), ["tag_id"])
+    return pd_.pad_to_corpus_max(seq, {"tag_id": 29}).select("doc_id", j_ints("tag_id").alias("labels"))
+
+
+@register("pad_label_mask", oq.with_(oq.padded_fb_ctes()) + """
+ SELECT doc_id, string_agg(CAST(CASE WHEN tok = '<PAD>' THEN 29 ELSE tag_id END AS VARCHAR), ' ' ORDER BY pos) AS labels
+ FROM padded GROUP BY doc_id""")
+def q_pad_label_mask(spark, sf_dir):
+    """Label 29 wherever the (padded) token is '<PAD>'; one label string per document."""
+    p = padded_bio(spark, sf_dir).select("doc_id", "pos", pd_.pad_label_mask().cast("int").alias("tag_id"))
+    return pd_.sequences(p, ["tag_id"]).select("doc_id", j_ints("tag_id").alias("labels"))
+
+
+@register("attention_mask", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql() + """),
+ s AS (SELECT doc_id, list(word_id ORDER BY pos) AS a FROM tt JOIN v ON tt.tok = v.word GROUP BY doc_id),
+ pw AS (SELECT doc_id, a || list_transform(range((SELECT max(len(a)) FROM s) - len(a)), lambda x: 1) AS a FROM s)
+ SELECT doc_id, array_to_string(a, ' ') AS ids, array_to_string(list_transform(a, lambda x: CAST(x <> 1 AS INT)), ' ') AS mask
+ FROM pw""")
+def q_attention_mask(spark, sf_dir):
+    """P13+P14: word ids padded with <PAD>=1 to the corpus maximum, mask 1 for real tokens."""
+    tt = tagged_tokens(spark, sf_dir)
+    enc = vo.word_encode(tt, vo.word_vocab(tt))
+    seq = pd_.pad_to_corpus_max(pd_.sequences(enc, ["word_id"]), {"word_id": 1})
+    return seq.select("doc_id", j_ints("word_id").alias("ids"),
+                      F.array_join(ar.attention_mask("word_id", 1), " ").alias("mask"))
+
+
+BATCH_SQL = f"""
+ , seqs AS (SELECT DISTINCT doc_id FROM tt WHERE split = 'train'),
+ bidx AS (SELECT doc_id, row_number() OVER (ORDER BY (doc_id * {ba.SHUFFLE_PRIME} + 0) % {ba.SHUFFLE_MOD}, doc_id) - 1 AS idx
+          FROM seqs)"""
+
+
+@register("batch_assign", oq.with_(oq.features_ctes()) + BATCH_SQL + """
+ SELECT doc_id, idx, CAST(floor(idx / 64) AS INT) AS batch_id FROM bidx""")
+def q_batch_assign(spark, sf_dir):
+    """B2+B3: seeded shuffle of the training sequences, batches of 64."""
+    seqs = tagged_tokens(spark, sf_dir).where(F.col("split") == "train").select("doc_id").distinct()
+    return ba.batch_assign(seqs, 64, 0, arithmetic=True)
+
+
+@register("batch_pad", oq.with_(oq.features_ctes()) + BATCH_SQL + """,
+ b AS (SELECT doc_id, CAST(floor(idx / 64) AS INT) AS batch_id FROM bidx),
+ fe AS (SELECT fl.doc_id, fl.pos, any_value(tag_id) AS tag_id,
+               list(coalesce(d.feature_id, 1) ORDER BY slot) AS fids
+        FROM fl JOIN ft USING (doc_id, pos) LEFT JOIN fdict d ON fl.feature = d.feature
+        WHERE fl.split = 'train' GROUP BY fl.doc_id, fl.pos),
+ sq AS (SELECT doc_id, list(tag_id ORDER BY pos) AS labels, list(fids ORDER BY pos) AS feats FROM fe GROUP BY doc_id),
+ j AS (SELECT b.batch_id, sq.*, max(len(labels)) OVER (PARTITION BY batch_id) AS plen FROM sq JOIN b USING (doc_id))
+ SELECT batch_id, doc_id, CAST(plen AS INT) AS padded_len,
+        array_to_string(labels || list_transform(range(plen - len(labels)), lambda x: 29), ' ') AS labels,
+        array_to_string(list_transform(labels || list_transform(range(plen - len(labels)), lambda x: 29),
+                                       lambda x: CASE WHEN x <> 29 THEN 'true' ELSE 'false' END), ' ') AS mask,
+        CAST(plen AS INT) AS feat_rows,
+        CAST(list_sum(list_transform(feats, lambda r: list_sum(r))) AS BIGINT) AS feat_sum,
+        CAST(plen - len(feats) AS INT) AS pad_rows
+ FROM j""")
+def q_batch_pad(spark, sf_dir):
+    """B1+B4-B6: labels padded with 29 and feature rows with [0]*6 to the batch maximum, plus the loss mask.
+
+    Labels and mask are returned whole; the padded feature matrix is returned
+    as its shape and sum (it is 6x the padded length per sequence).
+    """
+    seqs = encoded_sequences(spark, sf_dir)
+    b = ba.batch_assign(seqs.select("doc_id"), 64, 0, arithmetic=True)
+    p = ba.batch_pad(seqs, b)
+    flat = F.flatten("feature_ids")
+    zero_rows = F.size(F.filter("feature_ids", lambda r: F.array_max(r) == 0))
+    return p.select("batch_id", "doc_id", "padded_len", j_ints("labels").alias("labels"),
+                    F.array_join(F.transform("mask", lambda m: m.cast("string")), " ").alias("mask"),
+                    F.size("feature_ids").cast("int").alias("feat_rows"),
+                    F.aggregate(flat, F.lit(0).cast("long"), lambda a, x: a + x).alias("feat_sum"),
+                    zero_rows.cast("int").alias("pad_rows"))
