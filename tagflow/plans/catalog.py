@@ -462,3 +462,63 @@ def q_batch_pad(spark, sf_dir):
                     F.size("feature_ids").cast("int").alias("feat_rows"),
                     F.aggregate(flat, F.lit(0).cast("long"), lambda a, x: a + x).alias("feat_sum"),
                     zero_rows.cast("int").alias("pad_rows"))
+
+
+# ---------------------------------------------------------------- CRF
+from tagflow.operators import crf  # noqa: E402
+from tagflow.operators import training as tr  # noqa: E402
+
+
+def crf_inputs(spark, sf_dir):
+    """Encoded token features (doc_id, pos, split, tag_id, slot, feature, feature_id) and the dictionary."""
+    fd = feature_dictionary(spark, sf_dir)
+    return vo.feature_encode(feature_table(spark, sf_dir), fd), fd
+
+
+@register("crf_emissions", oq.with_(oq.features_ctes()) + """,
+ fe AS (SELECT fl.doc_id, fl.pos, coalesce(d.feature_id, 1) AS fid FROM fl LEFT JOIN fdict d ON fl.feature = d.feature),
+ sc AS (SELECT doc_id, pos, tg.tag, sum((fid * 31 + tg.tag * 7) % 101 - 50) AS s FROM fe, range(30) tg(tag)
+        GROUP BY doc_id, pos, tg.tag)
+ SELECT doc_id, pos, CAST(arg_max(tag, s * 100 - tag) AS INT) AS best_tag, CAST(max(s) AS BIGINT) AS best_score64,
+        CAST(sum(s) AS BIGINT) AS score_sum64
+ FROM sc GROUP BY doc_id, pos""")
+def q_crf_emissions(spark, sf_dir):
+    """M1: per-token emission scores from the F-G weight table (scores x64 are exact integers)."""
+    enc, fd = crf_inputs(spark, sf_dir)
+    em = crf.emissions(enc.select("doc_id", "pos", "feature_id"), crf.synthetic_weights(fd))
+    return em.select("doc_id", "pos", me.argmax("em").alias("best_tag"),
+                     (F.array_max("em") * 64).cast("long").alias("best_score64"),
+                     (F.aggregate("em", F.lit(0.0), lambda a, x: a + x) * 64).cast("long").alias("score_sum64"))
+
+
+def _synthetic_sequences(spark, sf_dir, with_labels=True):
+    enc, fd = crf_inputs(spark, sf_dir)
+    return crf.feature_sequences(enc.select("doc_id", "pos", "feature_id", "tag_id"), crf.synthetic_weights(fd),
+                                 with_labels=with_labels)
+
+
+@register("crf_loglik")
+def q_crf_loglik(spark, sf_dir):
+    """M2: log-likelihood of the gold tags of every document under F-G weights and fixed transitions."""
+    ll = crf.loglik(_synthetic_sequences(spark, sf_dir), crf.synthetic_chain())
+    return ll.select("doc_id", F.round("loglik", 6).alias("loglik"))
+
+
+@register("crf_decode")
+def q_crf_decode(spark, sf_dir):
+    """M4+M5: Viterbi tags of every token under F-G weights and fixed transitions."""
+    paths = crf.decode(_synthetic_sequences(spark, sf_dir, False), crf.synthetic_chain())
+    return paths.select("doc_id", F.posexplode("path").alias("pos", "pred_id"))
+
+
+@register("crf_fit")
+def q_crf_fit(spark, sf_dir):
+    """M3+M6: SGD training (5 epochs, batch 64, lr 0.05) on the train split; per-epoch loss and dev F1."""
+    enc, _ = crf_inputs(spark, sf_dir)
+    train_tok = enc.where(F.col("split") == "train").select("doc_id", "pos", "feature_id", "tag_id")
+    batches = ba.batch_assign(train_tok.select("doc_id").distinct(), 64, 0)
+    train = tr.write_training_table(train_tok, batches, tr.fresh_path(spark, "crf-train"))
+    dev = enc.where(F.col("split") == "dev")
+    fit = tr.crf_fit(train, dev.select("doc_id", "pos", "feature_id"),
+                     dev.where(F.col("slot") == 0).select("doc_id", "pos", "tag_id"), epochs=5, lr=0.05)
+    return fit.history_df(spark)
