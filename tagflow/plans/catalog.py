@@ -522,3 +522,92 @@ def q_crf_fit(spark, sf_dir):
     fit = tr.crf_fit(train, dev.select("doc_id", "pos", "feature_id"),
                      dev.where(F.col("slot") == 0).select("doc_id", "pos", "tag_id"), epochs=5, lr=0.05)
     return fit.history_df(spark)
+
+
+# ---------------------------------------------------------------- text sources, history, heads
+from tagflow.operators import heads as hd  # noqa: E402
+from tagflow.sources import conll as co  # noqa: E402
+from tagflow.sources import encoded as en  # noqa: E402
+
+
+@register("conll_parse", oq.with_(oq.bio_ctes(5379)) + " SELECT doc_id AS sent_id, pos, tok AS token, tag FROM bio")
+def q_conll_parse(spark, sf_dir):
+    """BIO tokens rendered as token<TAB>tag sentence blocks and parsed back."""
+    blocks = co.render_conll(bio(spark, sf_dir))
+    return co.parse_conll_blocks(blocks)
+
+
+@register("label_list", oq.with_(oq.bio_ctes(5379)) + """
+ SELECT tag AS label, CAST(row_number() OVER (ORDER BY tag_id) AS INT) AS label_id FROM (SELECT DISTINCT tag, tag_id FROM bio)
+ UNION ALL SELECT '<PAD>', 0""")
+def q_label_list(spark, sf_dir):
+    """Label lines (the tags present, in dictionary order) -> ids from 1, pad 0."""
+    lines = bio(spark, sf_dir).select(F.col("tag").alias("value"), F.col("tag_id").alias("line_no")).distinct()
+    return co.labels_from_lines(lines)
+
+
+@register("encoded_roundtrip", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql() + """)
+ SELECT tt.doc_id, tt.split, tt.pos, CAST(v.word_id AS INT) AS word_id FROM tt JOIN v ON tt.tok = v.word""")
+def q_encoded_roundtrip(spark, sf_dir):
+    """S6+S7: encoded long table written partitioned by split into the shared folder and read back."""
+    tt = tagged_tokens(spark, sf_dir)
+    enc = vo.word_encode(tt, vo.word_vocab(tt)).select("doc_id", "split", "pos", "word_id")
+    path = tr.fresh_path(spark, "encoded")
+    en.write_encoded(enc, path)
+    return en.read_encoded(spark, path).select("doc_id", "split", "pos", "word_id")
+
+
+HISTORY_SQL = oq.with_(oq.fb_ctes()) + f""",
+ seqs AS (SELECT DISTINCT doc_id FROM pred),
+ bidx AS (SELECT doc_id, row_number() OVER (ORDER BY (doc_id * {ba.SHUFFLE_PRIME} + 0) % {ba.SHUFFLE_MOD}, doc_id) - 1 AS idx
+          FROM seqs),
+ h AS (SELECT CAST(floor(idx / 64) AS INT) AS epoch,
+              CAST(count(*) FILTER (WHERE pred_id <> true_id) AS DOUBLE) / count(*) AS val_loss
+       FROM pred JOIN bidx USING (doc_id) GROUP BY 1)"""
+
+
+def history_from_batches(spark, sf_dir):
+    """A per-step history from data: error rate of the F-B predictions per batch of 64 documents."""
+    p = fb(spark, sf_dir)
+    b = ba.batch_assign(p.select("doc_id").distinct(), 64, 0, arithmetic=True)
+    return (p.join(b, "doc_id").groupBy(F.col("batch_id").alias("epoch"))
+            .agg((F.count_if(F.col("pred_id") != F.col("true_id")) / F.count(F.lit(1))).alias("val_loss")))
+
+
+@register("epoch_history", HISTORY_SQL + " SELECT epoch, round(val_loss, 9) AS val_loss FROM h")
+def q_epoch_history(spark, sf_dir):
+    """M6: per-step validation loss history (one row per step)."""
+    return history_from_batches(spark, sf_dir).select("epoch", r9("val_loss"))
+
+
+@register("early_stop", HISTORY_SQL + """,
+ a AS (SELECT epoch, val_loss, val_loss < coalesce(min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING
+                                                    AND 1 PRECEDING), 'inf'::DOUBLE) AS imp FROM h),
+ b AS (SELECT epoch, val_loss, imp, epoch - max(CASE WHEN imp THEN epoch END) OVER (ORDER BY epoch) AS stall FROM a),
+ st AS (SELECT min(CASE WHEN stall >= 10 THEN epoch END) AS stop FROM b)
+ SELECT CAST(arg_max(epoch, (-val_loss, -epoch)) AS INT) AS best_epoch, CAST(coalesce(any_value(st.stop), -1) AS INT) AS stop_epoch
+ FROM b, st WHERE st.stop IS NULL OR epoch <= st.stop""")
+def q_early_stop(spark, sf_dir):
+    """M7: best epoch and stop epoch (patience 10) over the history; -1 = never stopped."""
+    r = tr.early_stop(history_from_batches(spark, sf_dir), "val_loss", 10)
+    return r.select("best_epoch", F.coalesce("stop_epoch", F.lit(-1)).alias("stop_epoch"))
+
+
+def _emb(spark, sf_dir):
+    e = fx.read_table(spark, sf_dir, "embeddings")
+    return e.where(F.col("vec_id") % 5 != 0), e
+
+
+@register("softmax_head")
+def q_softmax_head(spark, sf_dir):
+    """M9: softmax head on frozen vectors (multinomial logistic regression), scored on all rows."""
+    train, every = _emb(spark, sf_dir)
+    return hd.softmax_head(train, every).select("vec_id", "label", "pred")
+
+
+@register("mlp_head")
+def q_mlp_head(spark, sf_dir):
+    """Hidden layer (128) + softmax head on frozen vectors."""
+    train, every = _emb(spark, sf_dir)
+    n_classes = int(every.agg(F.max("label")).first()[0]) + 1
+    return hd.mlp_head(train, every, n_classes).select("vec_id", "label", "pred")
