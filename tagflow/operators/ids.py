@@ -1,8 +1,9 @@
 """Dense, gap-free ids in sort order without a single-partition window.
 
 ``orderBy`` range-partitions the rows; ``monotonically_increasing_id`` gives
-(partition index, row index) pairs; the result is cut from its lineage with a
-reliable checkpoint (in ``spark.checkpoint.dir``) so those pairs are fixed;
+(partition index, row index) pairs; the result is written once as a table in
+the shared checkpoint folder (``spark.checkpoint.dir``) and read back, so those
+pairs are fixed and the input is computed only once;
 per-partition counts (one row per partition, a proven small bound) give
 offsets that are broadcast back.  Everything else stays distributed.
 """
@@ -12,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+import os
+import uuid
+
 from tagflow.session import checkpoint_dir
 
 _LOW_BITS = (1 << 33) - 1
@@ -19,12 +23,14 @@ _LOW_BITS = (1 << 33) - 1
 
 def dense_index(df: DataFrame, order_cols: list, name: str = "idx", start: int = 0) -> DataFrame:
     """Add ``name`` = start + rank of the row in ``order_cols`` order (ties broken by the sort)."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"dense-index-{uuid.uuid4().hex[:12]}")
     mid = F.monotonically_increasing_id()
-    ordered = (df.orderBy(*order_cols)
-               .withColumn("_part", F.shiftright(mid, 33))
-               .withColumn("_row", mid.bitwiseAND(F.lit(_LOW_BITS)))
-               .checkpoint(eager=True))
+    (df.orderBy(*order_cols)
+     .withColumn("_part", F.shiftright(mid, 33))
+     .withColumn("_row", mid.bitwiseAND(F.lit(_LOW_BITS)))
+     .write.parquet(path))
+    ordered = spark.read.parquet(path)
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: a bounded table, so the global window and broadcast are safe
     offsets = counts.select("_part", (F.sum("_cnt").over(Window.orderBy("_part")) - F.col("_cnt")).alias("_off"))

@@ -34,10 +34,41 @@ def word_vocab(tokens: DataFrame, tok_col: str = "tok") -> DataFrame:
                             {UNK_WORD: 0, PAD_WORD: 1}, 2)
 
 
-def encode(df: DataFrame, dictionary: DataFrame, col: str, key: str, id_col: str, unk_id: int) -> DataFrame:
-    """V2/V5: left join on the key, unseen keys -> ``unk_id``."""
-    d = dictionary.select(F.col(key).alias(col), id_col)
-    return df.join(d, col, "left").withColumn(id_col, F.coalesce(F.col(id_col), F.lit(unk_id)).cast("int"))
+DICT_BROADCAST_GUARD = 256 << 20  # bytes of (key, id) rows that may be broadcast
+HOT_KEYS_MAX = 100_000            # at most this many keys are treated as hot
+
+
+def dictionary_bytes(dictionary: DataFrame, key: str) -> int:
+    """Measured size of a dictionary: key bytes + 16 per row (one small aggregate)."""
+    r = dictionary.agg(F.sum(F.octet_length(key)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    return int((r["b"] or 0) + 16 * r["n"])
+
+
+def encode(df: DataFrame, dictionary: DataFrame, col: str, key: str, id_col: str, unk_id: int,
+           guard_bytes: int = DICT_BROADCAST_GUARD, hot_keys: int = HOT_KEYS_MAX) -> DataFrame:
+    """V2/V5: dictionary lookup, unseen keys -> ``unk_id``.
+
+    * dictionary measured under ``guard_bytes``: broadcast hash join (no shuffle
+      of the large side at all);
+    * otherwise: keys holding at least 1/``hot_keys`` of the rows (so at most
+      ``hot_keys`` of them - a proven bound) are looked up through a broadcast
+      of their dictionary rows, and only the remaining rows are shuffled into a
+      join with the dictionary.  Frequent words/features never pile up in one
+      task.
+    """
+    d = dictionary.select(F.col(key).alias(col), F.col(id_col).alias("_id"))
+    if dictionary_bytes(dictionary, key) <= guard_bytes:
+        out = df.join(F.broadcast(d), col, "left")
+        return out.withColumn(id_col, F.coalesce(F.col("_id"), F.lit(unk_id)).cast("int")).drop("_id")
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c")).scalar()
+    hot = counts.where(F.col("_c") * hot_keys >= total).select(col)
+    hot_ids = hot.join(d, col, "left").select(col, F.coalesce(F.col("_id"), F.lit(unk_id)).alias("_hid"))
+    j = df.join(F.broadcast(hot_ids), col, "left")
+    hot_rows = j.where(F.col("_hid").isNotNull()).withColumn(id_col, F.col("_hid").cast("int")).drop("_hid")
+    cold = j.where(F.col("_hid").isNull()).drop("_hid").join(d, col, "left")
+    cold_rows = cold.withColumn(id_col, F.coalesce(F.col("_id"), F.lit(unk_id)).cast("int")).drop("_id")
+    return hot_rows.unionByName(cold_rows)
 
 
 def word_encode(tokens: DataFrame, vocab: DataFrame, tok_col: str = "tok") -> DataFrame:

@@ -45,3 +45,14 @@ def test_weighted_f1_matches_hand_computation(spark):
 def test_argmax_first_index_on_ties(spark):
     df = spark.createDataFrame([([0.1, 0.7, 0.7],), ([3.0],)], "p array<double>")
     assert [r[0] for r in df.select(me.argmax("p")).collect()] == [1, 0]
+
+
+def test_hot_cold_lookup_equals_broadcast_lookup(spark):
+    from tagflow.operators import vocab as vo
+    df = spark.range(0, 5000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("w"), (F.col("id") % 97).cast("string"))).alias("tok"),
+        "id")
+    d = vo.word_vocab(df.where(F.col("id") < 4000)).withColumnRenamed("word", "tok")
+    a = vo.encode(df, d, "tok", "tok", "word_id", 0)
+    b = vo.encode(df, d, "tok", "tok", "word_id", 0, guard_bytes=0, hot_keys=10)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
