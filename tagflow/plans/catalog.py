@@ -611,3 +611,44 @@ def q_mlp_head(spark, sf_dir):
     train, every = _emb(spark, sf_dir)
     n_classes = int(every.agg(F.max("label")).first()[0]) + 1
     return hd.mlp_head(train, every, n_classes).select("vec_id", "label", "pred")
+
+
+# ---------------------------------------------------------------- subwords
+from tagflow.operators import wordpiece as wpc  # noqa: E402
+
+
+def subword_vocab(spark, sf_dir):
+    """F-F: vocabulary derived from the documents' basic words."""
+    d = fx.documents(spark, sf_dir)
+    return wpc.corpus_vocab(d.select(F.explode(wpc.basic_words("text")).alias("word")))
+
+
+@register("wordpiece_ids")
+def q_wordpiece_ids(spark, sf_dir):
+    """P9+P14: [CLS] pieces [SEP] cut to 512 ids, padded with [PAD]=0, attention mask."""
+    v = subword_vocab(spark, sf_dir)
+    p = wpc.piece_tokens(fx.documents(spark, sf_dir), v)
+    return wpc.pad_pieces(p).select("doc_id", "pos", "piece_id", "mask")
+
+
+@register("wordpiece_entities")
+def q_wordpiece_entities(spark, sf_dir):
+    """P10: entity spans as pieces, no specials, no cut."""
+    v = subword_vocab(spark, sf_dir)
+    spans = align.span_rows(fx.annotated(spark, sf_dir, partitioned=False))
+    return wpc.piece_tokens(spans.select("doc_id", "j", "text"), v, specials=False, max_len=None, extra=["j"]) \
+        .select("doc_id", "j", "pos", "piece_id")
+
+
+@register("ids_to_pieces")
+def q_ids_to_pieces(spark, sf_dir):
+    """Piece ids back to piece strings through the vocabulary."""
+    v = subword_vocab(spark, sf_dir)
+    ids = wpc.piece_tokens(fx.documents(spark, sf_dir), v).select("doc_id", "pos", "piece_id")
+    return ids.join(F.broadcast(v), "piece_id").select("doc_id", "pos", "piece_id", "piece")
+
+
+@register("bio_tags_wordpiece")
+def q_bio_tags_wordpiece(spark, sf_dir):
+    """A3+P15: BIO ids over 512 piece ids; specials and pads labelled 29."""
+    return wpc.align_pieces(fx.annotated(spark, sf_dir, partitioned=False), subword_vocab(spark, sf_dir))
