@@ -623,7 +623,14 @@ def subword_vocab(spark, sf_dir):
     return wpc.corpus_vocab(d.select(F.explode(wpc.basic_words("text")).alias("word")))
 
 
-@register("wordpiece_ids")
+@register("wordpiece_vocab", oq.with_(oq.wp_vocab_ctes()) + " SELECT piece, piece_id FROM v")
+def q_wordpiece_vocab(spark, sf_dir):
+    """F-F: subword vocabulary derived from the documents (specials, characters, frequent words)."""
+    return subword_vocab(spark, sf_dir)
+
+
+@register("wordpiece_ids", oq.with_(oq.wp_vocab_ctes()) + oq.wp_doc_ctes() + """
+ SELECT doc_id, pos, piece_id, CAST(piece_id <> 0 AS INT) AS mask FROM dpad""")
 def q_wordpiece_ids(spark, sf_dir):
     """P9+P14: [CLS] pieces [SEP] cut to 512 ids, padded with [PAD]=0, attention mask."""
     v = subword_vocab(spark, sf_dir)
@@ -631,7 +638,8 @@ def q_wordpiece_ids(spark, sf_dir):
     return wpc.pad_pieces(p).select("doc_id", "pos", "piece_id", "mask")
 
 
-@register("wordpiece_entities")
+@register("wordpiece_entities", oq.with_(oq.wp_vocab_ctes(), oq.fa_spans_ctes()) + oq.wp_entity_ctes()
+          + " SELECT doc_id, j, pos, piece_id FROM epi")
 def q_wordpiece_entities(spark, sf_dir):
     """P10: entity spans as pieces, no specials, no cut."""
     v = subword_vocab(spark, sf_dir)
@@ -640,7 +648,8 @@ def q_wordpiece_entities(spark, sf_dir):
         .select("doc_id", "j", "pos", "piece_id")
 
 
-@register("ids_to_pieces")
+@register("ids_to_pieces", oq.with_(oq.wp_vocab_ctes()) + oq.wp_doc_ctes() + """
+ SELECT doc_id, pos, piece_id, piece FROM dpi""")
 def q_ids_to_pieces(spark, sf_dir):
     """Piece ids back to piece strings through the vocabulary."""
     v = subword_vocab(spark, sf_dir)
@@ -648,7 +657,16 @@ def q_ids_to_pieces(spark, sf_dir):
     return ids.join(F.broadcast(v), "piece_id").select("doc_id", "pos", "piece_id", "piece")
 
 
-@register("bio_tags_wordpiece")
+@register("bio_tags_wordpiece", oq.with_(oq.wp_vocab_ctes(), oq.fa_spans_ctes()) + oq.wp_doc_ctes()
+          + oq.wp_entity_ctes() + """,
+ e AS (SELECT doc_id, j, label, count(*) OVER (PARTITION BY doc_id, j) AS n, pos AS k, piece_id AS tok FROM epi),
+ t AS (SELECT doc_id, pos, piece_id AS tok FROM dpad),""" + oq.locate_ctes() + """,
+ p AS (SELECT doc_id, j, label, s, unnest(range(s, s + n)) AS pos FROM f),
+ g AS (SELECT doc_id, pos, arg_max(CASE WHEN pos = s THEN 1 ELSE 15 END + list_position(""" + oq.LAB + """, label) - 1, j) AS tag_id
+       FROM p GROUP BY doc_id, pos)
+ SELECT dpad.doc_id, dpad.pos, dpad.piece, dpad.piece_id,
+        CAST(CASE WHEN dpad.piece IN ('[PAD]', '[CLS]', '[SEP]') THEN 29 ELSE coalesce(g.tag_id, 0) END AS INT) AS tag_id
+ FROM dpad LEFT JOIN g ON dpad.doc_id = g.doc_id AND dpad.pos = g.pos""")
 def q_bio_tags_wordpiece(spark, sf_dir):
     """A3+P15: BIO ids over 512 piece ids; specials and pads labelled 29."""
     return wpc.align_pieces(fx.annotated(spark, sf_dir, partitioned=False), subword_vocab(spark, sf_dir))

@@ -125,3 +125,70 @@ def vocab_sql(where: str = "") -> str:
    SELECT tok AS word, row_number() OVER (ORDER BY tok) + 1 AS word_id
    FROM (SELECT DISTINCT tok FROM tt WHERE tok NOT IN ('<UNK>', '<PAD>') {where})
    UNION ALL SELECT '<UNK>', 0 UNION ALL SELECT '<PAD>', 1)"""
+
+
+# ---------------------------------------------------------------- subwords (F-F vocabulary, greedy segmentation)
+BASIC_SQL = r"'[^\s!-/:-@\[-`{-~\p{P}]+|[!-/:-@\[-`{-~\p{P}]'"
+
+
+def wp_vocab_ctes() -> str:
+    return rf"""
+bw AS (SELECT unnest(regexp_extract_all(lower(text), {BASIC_SQL})) AS word FROM documents),
+sw AS (SELECT strip_accents(word) AS w FROM bw),
+ch AS (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM sw),
+tw AS (SELECT w FROM (SELECT w, count(*) AS n FROM sw GROUP BY w) ORDER BY n DESC, w LIMIT 500),
+pc AS (SELECT DISTINCT piece FROM (SELECT c AS piece FROM ch WHERE c <> '' UNION ALL SELECT '##' || c FROM ch WHERE c <> ''
+                                   UNION ALL SELECT w FROM tw)
+       WHERE piece NOT IN ('[PAD]', '[UNK]', '[CLS]', '[SEP]')),
+v AS (SELECT piece, CAST(row_number() OVER (ORDER BY piece) + 3 AS INT) AS piece_id FROM pc
+      UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) s(piece, piece_id))"""
+
+
+def wp_segment_ctes(words_cte: str, pre: str) -> str:
+    """{pre}wseg(word, pieces): greedy longest match (recursive CTE); uncovered or >100 chars -> [UNK]."""
+    return rf""",
+{pre}ww AS (SELECT DISTINCT word, strip_accents(word) AS w FROM {words_cte}),
+{pre}seg AS (
+  WITH RECURSIVE s(word, w, pos, i, piece) AS (
+    SELECT word, w, 1, 0, ''::VARCHAR FROM {pre}ww WHERE length(w) <= 100
+    UNION ALL
+    SELECT s.word, s.w, s.pos + length(m.p) - CASE WHEN s.pos > 1 THEN 2 ELSE 0 END, s.i + 1, m.p
+    FROM s, LATERAL (SELECT arg_max(v.piece, length(v.piece)) AS p FROM v
+                     WHERE (s.pos = 1 AND v.piece NOT LIKE '##%' AND starts_with(s.w, v.piece))
+                        OR (s.pos > 1 AND v.piece LIKE '##%' AND starts_with(substr(s.w, s.pos), substr(v.piece, 3)))) m
+    WHERE s.pos <= length(s.w) AND m.p IS NOT NULL)
+  SELECT word, list(piece ORDER BY i) FILTER (WHERE i > 0) AS pieces, max(pos) > length(w) AS ok FROM s GROUP BY word, w),
+{pre}wseg AS (SELECT x.word, CASE WHEN y.ok THEN y.pieces ELSE ['[UNK]'] END AS pieces
+              FROM {pre}ww x LEFT JOIN {pre}seg y ON x.word = y.word)"""
+
+
+def wp_doc_ctes(max_len: int = 512) -> str:
+    """dpi(doc_id, pos, piece, piece_id): [CLS] pieces [SEP] cut to max_len; dpad: padded to max_len."""
+    return rf""",
+dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS wpos
+       FROM (SELECT doc_id, regexp_extract_all(lower(text), {BASIC_SQL}) AS ws FROM documents))""" + \
+        wp_segment_ctes("dw", "d_") + f""",
+dl AS (SELECT doc_id, list(piece ORDER BY wpos, k) AS ps FROM (
+         SELECT doc_id, wpos, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM dw JOIN d_wseg USING (word))
+       GROUP BY doc_id),
+dq AS (SELECT d.doc_id, ['[CLS]'] || coalesce(dl.ps[1:{max_len - 2}], []) || ['[SEP]'] AS ps
+       FROM documents d LEFT JOIN dl ON d.doc_id = dl.doc_id),
+dp AS (SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos, unnest(ps) AS piece FROM dq),
+dpi AS (SELECT doc_id, pos, dp.piece, CAST(coalesce(v.piece_id, 1) AS INT) AS piece_id FROM dp LEFT JOIN v USING (piece)),
+dlen AS (SELECT doc_id, max(pos) + 1 AS n FROM dpi GROUP BY doc_id),
+dpad AS (SELECT doc_id, pos, piece, piece_id FROM dpi
+         UNION ALL SELECT doc_id, CAST(unnest(range(n, {max_len})) AS INT) AS pos, '[PAD]' AS piece, 0 AS piece_id FROM dlen)"""
+
+
+def wp_entity_ctes() -> str:
+    """epi(doc_id, j, label, pos, piece_id): F-A span texts as pieces, no specials, no cut (needs spans)."""
+    return rf""",
+ew AS (SELECT doc_id, j, label, unnest(ws) AS word, generate_subscripts(ws, 1) AS wpos
+       FROM (SELECT doc_id, j, label, regexp_extract_all(lower(text), {BASIC_SQL}) AS ws FROM spans))""" + \
+        wp_segment_ctes("ew", "e_") + """,
+ep0 AS (SELECT doc_id, j, label, list(piece ORDER BY wpos, k) AS ps FROM (
+          SELECT doc_id, j, label, wpos, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
+          FROM ew JOIN e_wseg USING (word))
+        GROUP BY doc_id, j, label),
+ep AS (SELECT doc_id, j, label, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos, unnest(ps) AS piece FROM ep0),
+epi AS (SELECT doc_id, j, label, pos, CAST(coalesce(v.piece_id, 1) AS INT) AS piece_id FROM ep LEFT JOIN v USING (piece))"""
