@@ -55,6 +55,8 @@ def parse_list_literal(s: pd.Series) -> pd.Series:
         if v is None:
             return None
         parsed = ast.literal_eval(v)
+        if not isinstance(parsed, (list, tuple)):
+            raise ValueError(f"not a list literal: {v[:80]!r}")
         return [None if x is None else str(x) for x in parsed]
     return s.map(one)
 

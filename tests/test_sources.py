@@ -54,3 +54,19 @@ def test_legacy_wide_csv_keeps_first_row_and_na_tokens(spark):
         f.write("a,NA,nan\nnull,b,\n")
     rows = en.read_legacy_wide(spark, d).orderBy("doc_id", "pos").collect()
     assert [r.value for r in rows] == ["a", "NA", "nan", "null", "b"]
+
+
+def test_legacy_span_csv_and_model_roundtrip(spark):
+    import numpy as np
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "spans.csv"), "w") as f:
+        f.write(',overall_text,start,end,text,label\n')
+        f.write('0,"Mr. X met\nthe court","[0, 14]","[5, 23]","[\'Mr. X\', ""the court\'s""]","[\'JUDGE\', \'COURT\']"\n')
+        f.write('1,empty,[],[],[],[]\n')
+    docs = {r.doc_id: r for r in ann.read_legacy_spans(spark, d).collect()}
+    assert [(s.start, s.end, s.text, s.label) for s in docs[0].spans] == [(0, 5, "Mr. X", "JUDGE"), (14, 23, "the court's", "COURT")]
+    assert docs[0].text == "Mr. X met\nthe court" and docs[1].spans == []
+    w = spark.createDataFrame([(2, [0.5, -1.0])], "feature_id int, w array<double>")
+    en.save_model(w, {"trans": np.eye(2).ravel(), "start": [0.1, 0.2]}, os.path.join(d, "m"))
+    w2, chain = en.load_model(spark, os.path.join(d, "m"))
+    assert w2.collect()[0].w == [0.5, -1.0] and chain["start"] == [0.1, 0.2]
