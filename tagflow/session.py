@@ -25,10 +25,38 @@ RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tagflow`` importable in Python workers (pandas UDFs, mapInPandas) with
+    ``addPyFile``: the package's sources are zipped once per application and served
+    to executors by the driver, whatever the workers' working directory is."""
+    import zipfile
+
+    import tagflow
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(tagflow.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="tagflow-code-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime confs the operators are designed for (idempotent)."""
+    """Apply the runtime confs the operators are designed for and ship the package (idempotent)."""
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
