@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagflow.llm.common import cumulated, seeded, word_count, written
+from tagflow.llm.common import BLANK, cumulated, seeded, word_count, written
 
 BLOCK_WORDS = 1024
 GRID = 1024
@@ -60,8 +60,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     """(documents, pieces).
 
     documents: one row per document with ``_doc`` (its key here), size, source_size and target of its source.
-    pieces: the mix, (slot, _none, _src, block, _doc, doc_id, epoch, start, length): the words
-    [start, start + length) of a document in the given slot; ``slot`` orders the mix.
+    pieces: the mix, (slot, _none, _src, block, _doc, doc_id, _h, size, epoch, start, length): the words
+    [start, start + length) of a document in the given slot; ``slot`` orders the mix, ``_h`` is the text's hash.
     """
     light = written(docs.select(
         F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"),
@@ -74,14 +74,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     first = cumulated(light.withColumn("_key", seeded(seed, F.col("doc_id"))), ["_none", "_src"],
                       ["_key", "doc_id", "_h", "size"], "size", "mix-epoch-1")
     first = written(first.withColumnRenamed("_rank", "_doc"), "mix-documents")
-    streams = first.select("_none", "_src", "_doc", "doc_id", "size", F.lit(1).alias("epoch"),
+    streams = first.select("_none", "_src", "_doc", "doc_id", "_h", "size", F.lit(1).alias("epoch"),
                            F.col("_before").alias("from"))
     for epoch in range(2, max_epochs + 1):
-        again = cumulated(first.select("_none", "_src", "_doc", "doc_id", "size",
+        again = cumulated(first.select("_none", "_src", "_doc", "doc_id", "_h", "size",
                                        seeded(seed + epoch, F.col("doc_id")).alias("_key")),
                           ["_none", "_src"], ["_key", "_doc"], "size", f"mix-epoch-{epoch}")
         streams = streams.unionByName(again.select(
-            "_none", "_src", "_doc", "doc_id", "size", F.lit(epoch).alias("epoch"),
+            "_none", "_src", "_doc", "doc_id", "_h", "size", F.lit(epoch).alias("epoch"),
             (F.col("_before") + F.lit(epoch - 1) * F.col("_total")).alias("from")))
     quota = targets.select("_none", "_src", F.floor(F.col("target") + 0.5).cast("long").alias("quota"))
     end = F.least(F.col("from") + F.col("size"), F.col("quota"))
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     cut = taken.withColumn("block", F.explode(F.sequence(F.expr(f"`from` div {block}"),
                                                          F.expr(f"(_end - 1) div {block}"))))
     lo, hi = F.greatest("from", F.col("block") * block), F.least("_end", (F.col("block") + 1) * block)
-    pieces = cut.select("_none", "_src", "block", "_doc", "doc_id", "epoch",
+    pieces = cut.select("_none", "_src", "block", "_doc", "doc_id", "_h", "size", "epoch",
                         (lo - F.col("from")).alias("start"), (hi - lo).alias("length"))
     places = _schedule(targets, quota, block)
     return (first.join(targets, ["_none", "_src"]).select("_none", "_src", "_doc", "doc_id", "size", "source_size", "target"),
@@ -117,3 +117,29 @@ def _schedule(targets: DataFrame, quota: DataFrame, block: int) -> DataFrame:
     # blocks without a slot follow at the end, by source
     return (wanted.join(used, ["_none", "_src", "block"], "left")
             .withColumn("slot", F.coalesce("slot", F.lit(n) + F.col("block"))))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix as documents (same columns): a row for each epoch in which a document is taken.
+
+    A document's words of one epoch follow each other, so a row holds its whole text, or the beginning of it where its
+    source's target ends inside it (``length_col`` is then the new length).  Rows equal in id, source and text are taken to be equal.
+    """
+    _, pieces = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    key = lambda none, src, i, h: F.concat_ws(":", h.cast("string"), i.cast("string"), none.cast("string"), src)
+    takes = (pieces.groupBy("_none", "_src", "doc_id", "_h", "_doc", "epoch", "size").agg(F.sum("length").alias("_words"))
+             .select(key(F.col("_none"), F.col("_src"), F.col("doc_id"), F.col("_h")).alias("_key"), "_words", (F.col("_words") < F.col("size")).alias("_cut")))
+    src = F.col(source_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       key(src.isNull(), F.coalesce(src.cast("string"), F.lit("")), F.col(id_col), F.xxhash64(F.col(text_col))).alias("_key"))
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))).where("_n = 1").drop("_n")
+    text = F.col("_row").getField(text_col)
+    begin = F.regexp_extract_all(text, F.concat(F.lit(rf"^(?:[{BLANK}]*+[^{BLANK}]++){{"), F.col("_words").cast("string"), F.lit("}+")), F.lit(0))
+    new = F.when(F.col("_cut"), F.get(begin, 0)).otherwise(text)
+    out = once.join(takes, "_key").select("_row", new.alias("_new"), "_cut")
+    put = {text_col: F.col("_new")}
+    if length_col in docs.columns:
+        old = F.col("_row").getField(length_col)
+        put[length_col] = F.when(F.col("_cut"), F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(old)
+    return out.select(*[put[c].alias(c) if c in put else F.col("_row").getField(c).alias(c) for c in docs.columns])
