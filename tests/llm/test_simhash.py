@@ -1,0 +1,114 @@
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from tagflow.llm import simhash as s
+
+
+def brute_fp(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hs = [xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(fps, bits):
+    """Row numbers of the smallest member, over all pairs."""
+    x = np.array(fps, np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= bits
+    root = np.arange(len(x))
+    while True:
+        new = np.array([root[n].min() for n in near])
+        if (new == root).all():
+            return root
+        root = new
+
+
+@pytest.mark.parametrize("text", [None, "", "  \n", "one", "Two Words", "a b c", "A b C d É É", "x " * 100, "e f g h\x1ci j k l m n o p"])
+def test_fingerprint_of_small_texts(text):
+    assert s.fingerprint_of(text) % (1 << 64) == brute_fp(text)
+
+
+def test_query_equals_brute_force(spark, rows):
+    from tagflow.llm.queries import QUERIES
+    got = {r.doc_id: r for r in QUERIES["op9_simhash_near_dedup"](spark, "/root/testdata/sf0.001").collect()}
+    ids = sorted(rows)
+    fps = [brute_fp(rows[i]) for i in ids]
+    root = brute_components(fps, 3)
+    assert {i: got[i].fingerprint for i in ids} == {i: f"{f:016x}" for i, f in zip(ids, fps)}
+    assert {i: got[i].component_id for i in ids} == {i: ids[r] for i, r in zip(ids, root)}
+
+
+def clustered(seed, n, spread, centres=3):
+    rng = np.random.default_rng(seed)
+    out = [int(x) for x in rng.integers(0, 2**63, centres)]
+    while len(set(out)) < n:
+        x = out[rng.integers(0, len(out))]
+        for b in rng.choice(64, rng.integers(1, spread + 1), replace=False):
+            x ^= 1 << int(b)
+        out.append(x)
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("unit,bits,spread", [(4096, 3, 4), (8, 3, 3), (5, 2, 3), (64, 1, 2), (8, 0, 2)])
+def test_no_link_is_lost_in_dense_groups(spark, monkeypatch, unit, bits, spread):
+    monkeypatch.setattr(s, "UNIT", unit)
+    fps = clustered(unit + bits, 400, spread) + [0, 1, 2**64 - 1, 2**63]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in set(signed)], "fp long")
+    got = {r.node: r.root for r in s.components(s.links(df, bits)).collect()}
+    order = sorted(set(signed))
+    root = brute_components([x % (1 << 64) for x in order], bits)
+    assert {x: got.get(x, x) for x in order} == {x: order[r] for x, r in zip(order, root)}
+
+
+def test_masks_meet_every_near_pair():
+    rng = np.random.default_rng(5)
+    ms = s.masks(3)
+    assert len(ms) == 20
+    for _ in range(2000):
+        x = int(rng.integers(0, 2**63))
+        y = x
+        for b in rng.choice(64, 3, replace=False):
+            y ^= 1 << int(b)
+        assert any(x & m == y & m for m in ms)
+
+
+def test_pivots_discard_no_near_pair():
+    p = s.pivots()
+    assert len(set(p.tolist())) == s.PIVOTS
+    x = np.random.default_rng(6).integers(0, 2**63, 500).astype(np.uint64)
+    y = x ^ np.uint64(0b10101)
+    d = np.abs(np.bitwise_count(x[:, None] ^ p).astype(int) - np.bitwise_count(y[:, None] ^ p).astype(int)).max(axis=1)
+    assert d.max() <= 3
+
+
+def test_long_chains_contract(spark):
+    n = 300
+    df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "u long, v long")
+    got = {r.node: r.root for r in s.components(df).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+def test_keep_first_keeps_one_of_each(documents):
+    found = s.near_duplicates(documents)
+    kept = s.keep_first(documents)
+    assert kept.columns == documents.columns
+    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in found.collect()}
+
+
+def test_edges(edges, nothing):
+    got = s.near_duplicates(edges).collect()
+    assert len(got) == edges.count() and s.near_duplicates(nothing).count() == 0 and s.keep_first(nothing).count() == 0
+    blank = {r.doc_id: (r.fp, r.component_id) for r in got if r.doc_id in (1, 2, 3)}
+    assert set(blank.values()) == {(0, 1)}
+    assert {r.component_id for r in got if r.doc_id in (5, 6)} == {5}
+    assert {r.component_id for r in got if r.doc_id is None} == {1, None}
+    kept = s.keep_first(edges)
+    assert kept.columns == edges.columns
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 4, 5, 7, 8, 9]
+    assert kept.where(F.col("doc_id").isNull()).first().text.startswith("no id")
