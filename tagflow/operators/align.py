@@ -1,8 +1,8 @@
 """Span alignment: project entity spans onto a token sequence as BIO tags.
 
 Semantics (kept from the reference pipeline):
-  * the text is normalised and tokenised, then truncated to ``max_len`` tokens
-    *before* alignment, so a span past or across the cut is dropped;
+  * the text is normalised and tokenised whole; with an explicit ``max_len`` it is
+    truncated *before* alignment, so a span past or across the cut is dropped;
   * each span is matched at its *first* token-level occurrence in the
     (truncated) sequence;
   * spans are written in order, so at a position covered by several spans
@@ -14,12 +14,11 @@ Relational form (no per-position array lambdas):
       GROUP BY doc, j, pos-k HAVING count(*) = n  -> candidates; min(start).
   A2  explode covered positions, max_by(tag, j) per (doc, pos), LEFT JOIN tokens.
 
-Physical plan: with bounded documents (``max_len`` set) tokens and entity
-tokens are hash-partitioned on ``doc_id`` once; both joins and all
-aggregations then run inside those partitions (no further exchange of the
-token table; hash tables are built on the small entity/tag sides).  Without a
-cap the token side is shuffled on the full join keys instead, so one huge
-document spreads over many tasks and AQE can split hot keys.
+Physical plan: documents are hash-partitioned on ``doc_id`` once; both joins and
+all aggregations then run inside those partitions (no further exchange of the
+token table; hash tables are built on the small entity/tag sides).  A document
+is the unit of work: its tokens stream through one task, and its text must fit
+there (Spark's own bound of a string cell, 2 GB).
 """
 
 from __future__ import annotations
@@ -30,28 +29,22 @@ from pyspark.sql import functions as F
 from tagflow.functions.text import word_tokens
 from tagflow.schema import ENTITY_TYPES, N_TYPES, OUTSIDE_ID, label_to_id
 
-DEFAULT_MAX_LEN = 5379  # longest text of the reference corpus; tokens past it are cut
-DOC_LOCAL_MAX = 1_000_000  # above this per-document cap, spread by (doc_id, key)
-
-
-def _doc_local(max_len: int | None) -> bool:
-    return max_len is not None and max_len <= DOC_LOCAL_MAX
-
-
 def by_doc(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Hash-partition documents on their id: the only exchange of the doc-local plan.
 
     The raw text is shuffled instead of the exploded tokens (fewer bytes, and
-    tokenisation then runs with full parallelism after the exchange).  The
-    explicit not-null filter keeps the optimizer from inferring different
-    filters on different consumers, so every consumer reuses this exchange.
+    tokenisation then runs with full parallelism after the exchange).  A null id
+    fails the job instead of losing the document.  The not-null filter behind the
+    check keeps the optimizer from inferring different filters on different
+    consumers, so every consumer reuses this exchange.
     """
-    return docs.where(F.col(id_col).isNotNull()).repartition(id_col)
+    checked = F.coalesce(F.col(id_col), F.raise_error(F.lit(f"{id_col} must not be null")).cast(docs.schema[id_col].dataType))
+    return docs.withColumn(id_col, checked).where(F.col(id_col).isNotNull()).repartition(id_col)
 
 
-def tokens(docs: DataFrame, max_len: int | None = DEFAULT_MAX_LEN, id_col: str = "doc_id",
+def tokens(docs: DataFrame, max_len: int | None = None, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, tok): one row per token, ``pos`` 0-based, cut at ``max_len``.
+    """(doc_id, pos, tok): one row per token, ``pos`` 0-based, cut only at an explicit ``max_len``.
 
     Keeps the input partitioning (pass documents through ``by_doc`` first).
     """
@@ -119,12 +112,12 @@ def bio_from_located(toks: DataFrame, located: DataFrame) -> DataFrame:
                       id_to_tag_expr(tag_id).alias("tag"), tag_id.alias("tag_id"))
 
 
-def align(span_docs: DataFrame, max_len: int | None = DEFAULT_MAX_LEN, partitioned: bool = False) -> DataFrame:
+def align(span_docs: DataFrame, max_len: int | None = None, partitioned: bool = False) -> DataFrame:
     """Span documents (doc_id, text, spans) -> (doc_id, pos, tok, tag, tag_id).
 
     ``partitioned=True`` says the input already went through ``by_doc``.
     """
-    sd = by_doc(span_docs) if _doc_local(max_len) and not partitioned else span_docs
+    sd = span_docs if partitioned else by_doc(span_docs)
     toks = tokens(sd, max_len)
     located = locate_spans(toks, entity_tokens(span_rows(sd)))
     return bio_from_located(toks, located)

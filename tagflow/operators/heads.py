@@ -20,9 +20,9 @@ def _features(df: DataFrame, vec_col: str) -> DataFrame:
 
 
 def softmax_head(train: DataFrame, score: DataFrame, vec_col: str = "embedding", label_col: str = "label",
-                 max_iter: int = 50, seed: int = 0) -> DataFrame:
+                 max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
     """M9: dense layer + softmax (multinomial logistic regression); adds ``pred`` and ``probs``."""
-    lr = LogisticRegression(family="multinomial", maxIter=max_iter, labelCol=label_col, featuresCol="features")
+    lr = LogisticRegression(family="multinomial", maxIter=max_iter, tol=tol, labelCol=label_col, featuresCol="features")
     model = lr.fit(_features(train, vec_col))
     out = model.transform(_features(score, vec_col))
     return out.withColumn("probs", vector_to_array("probability")).withColumn("pred", argmax("probs")) \
@@ -39,3 +39,16 @@ def mlp_head(train: DataFrame, score: DataFrame, n_classes: int, vec_col: str =
     out = model.transform(_features(score, vec_col))
     return out.withColumn("probs", vector_to_array("probability")).withColumn("pred", argmax("probs")) \
         .drop("features", "rawPrediction", "probability", "prediction")
+
+
+def largest_gradient(scored: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> float:
+    """Largest entry of the mean log-loss gradient of a softmax layer over its training rows (0 at the optimum)."""
+    per = scored.select(F.col(label_col).alias("_y"), F.col(vec_col).alias("_x"), F.posexplode("probs").alias("k", "p"))
+    err = per.select("k", (F.col("p") - (F.col("_y") == F.col("k")).cast("double")).alias("e"), "_x")
+    each = err.select("k", F.posexplode("_x").alias("d", "x"), "e").groupBy("k", "d").agg(F.avg(F.col("e") * F.col("x")).alias("g"))
+    return float(each.agg(F.max(F.abs("g"))).first()[0] or 0.0)
+
+
+def log_loss(scored: DataFrame, label_col: str = "label") -> float:
+    """Mean negative log probability of the labels."""
+    return float(scored.agg(F.avg(-F.log(F.greatest(F.get("probs", F.col(label_col).cast("int")), F.lit(1e-300))))).first()[0])

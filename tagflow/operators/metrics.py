@@ -23,14 +23,16 @@ def _ratio(num: Column, den: Column) -> Column:
 
 
 def prf_micro(df: DataFrame, true: str = "true_id", pred: str = "pred_id", outside_id: int = OUTSIDE_ID,
-              by: list[str] | None = None) -> DataFrame:
+              by: list[str] | None = None, exclude_ids: Iterable[int] = ()) -> DataFrame:
     """Micro precision/recall over non-outside tokens, F1 = 2PR/(P+R).
 
     A zero denominator counts as 1 (precision/recall 0); F1 is NaN when P+R = 0.
-    Pad ids are *not* excluded here (filter them first if wanted).
+    ``exclude_ids``: tokens with such a true id are left out (none by default, as in the reference; {29} leaves pads out).
     """
     t, p = F.col(true), F.col(pred)
-    agg = (df.groupBy(*(by or []))
+    out = list(exclude_ids)
+    src = df.where(~t.isin(out)) if out else df
+    agg = (src.groupBy(*(by or []))
            .agg(F.count_if((p == t) & (p != outside_id)).alias("tp"),
                 F.count_if(p != outside_id).alias("n_pred"),
                 F.count_if(t != outside_id).alias("n_true")))
@@ -84,6 +86,16 @@ def token_accuracy(df: DataFrame, true: str = "true_id", pred: str = "pred_id",
         _ratio(F.count_if(F.col(true) == F.col(pred)), F.count(F.lit(1))).alias("accuracy"))
 
 
+def token_accuracy_padded(df: DataFrame, true: str = "true_id", pred: str = "pred_id", key: str = "doc_id",
+                          order: str = "pos") -> DataFrame:
+    """E7 on the matrix padded to the longest sequence, from counts alone: pads = sequences x maximum - tokens, all right."""
+    per = df.groupBy(key).agg((F.max(order) + 1).cast("long").alias("_n"), F.count(F.lit(1)).alias("_t"),
+                              F.count_if(F.col(true) == F.col(pred)).alias("_e"))
+    total = per.agg((F.count(F.lit(1)) * F.max("_n")).alias("n"), F.sum("_t").alias("t"), F.sum("_e").alias("e"))
+    equal = F.col("n") - F.col("t") + F.col("e")
+    return total.select("n", equal.alias("n_equal"), _ratio(equal, F.col("n")).alias("accuracy"))
+
+
 def argmax(probs: Column | str) -> Column:
     """M8: index of the largest value of an array (first index on ties), 0-based."""
     c = F.col(probs) if isinstance(probs, str) else probs

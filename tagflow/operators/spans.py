@@ -27,11 +27,11 @@ def flatten_spans(annotations: F.Column) -> F.Column:
     return F.coalesce(F.flatten(nested), F.array().cast(SPAN_ARRAY_TYPE))
 
 
-def span_extract(raw: DataFrame, id_col: str = "id") -> DataFrame:
-    """P1+P3: raw records (id, data.text, annotations) -> (doc_id, text, spans)."""
+def span_extract(raw: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """P1+P3: raw records (``id_col``, data.text, annotations) -> (doc_id, text, spans[, ``keep`` columns])."""
     return raw.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.col("data.text").alias("text"),
-                      flatten_spans(F.col("annotations")).alias("spans"))
+                      flatten_spans(F.col("annotations")).alias("spans"), *(keep or []))
 
 
 def span_rows(span_docs: DataFrame) -> DataFrame:

@@ -23,13 +23,15 @@ def build_dictionary(keys: DataFrame, key: str, id_col: str, reserved: dict[str,
     """Distinct keys -> (key, id) from ``first_id`` in sorted order, plus reserved rows."""
     spark = keys.sparkSession
     distinct = keys.select(key).where(F.col(key).isNotNull() & ~F.col(key).isin(list(reserved))).distinct()
-    ids = dense_index(distinct, [key], id_col, first_id).select(key, F.col(id_col).cast("int").alias(id_col))
-    res = spark.createDataFrame(sorted(reserved.items(), key=lambda kv: kv[1]), f"{key} string, {id_col} int")
+    ids = dense_index(distinct, [key], id_col, first_id).select(key, id_col)
+    res = spark.createDataFrame(sorted(reserved.items(), key=lambda kv: kv[1]), f"{key} string, {id_col} bigint")
     return ids.unionByName(res)
 
 
-def word_vocab(tokens: DataFrame, tok_col: str = "tok") -> DataFrame:
-    """V1: distinct words; <UNK>=0, <PAD>=1, others from 2."""
+def word_vocab(tokens: DataFrame, tok_col: str = "tok", fit_on: tuple[str, ...] = ("train", "dev"), split_col: str = "split") -> DataFrame:
+    """V1: distinct words of the splits ``fit_on`` (all rows where there is no split column); <UNK>=0, <PAD>=1, others from 2."""
+    if split_col in tokens.columns:
+        tokens = tokens.where(F.col(split_col).isin(list(fit_on)))
     return build_dictionary(tokens.select(F.col(tok_col).alias("word")), "word", "word_id",
                             {UNK_WORD: 0, PAD_WORD: 1}, 2)
 
@@ -38,37 +40,38 @@ DICT_BROADCAST_GUARD = 256 << 20  # bytes of (key, id) rows that may be broadcas
 HOT_KEYS_MAX = 100_000            # at most this many keys are treated as hot
 
 
-def dictionary_bytes(dictionary: DataFrame, key: str) -> int:
-    """Measured size of a dictionary: key bytes + 16 per row (one small aggregate)."""
-    r = dictionary.agg(F.sum(F.octet_length(key)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+def lookup(df: DataFrame, table: DataFrame, col: str, guard_bytes: int = DICT_BROADCAST_GUARD, hot_keys: int = HOT_KEYS_MAX) -> DataFrame:
+    """Left join of ``df`` with a table of one row per value of ``col``, whatever the table's size and the keys' skew.
+
+    * table measured under ``guard_bytes``: broadcast hash join (no shuffle of the large side at all);
+    * otherwise: keys holding at least 1/``hot_keys`` of the rows (so at most ``hot_keys`` of them - a proven bound) are
+      looked up through a broadcast of their rows, and only the rest is shuffled into a join.  Frequent keys never pile up in one task.
+    """
+    rest = [c for c in table.columns if c != col]
+    if table_bytes(table) <= guard_bytes:
+        return df.join(F.broadcast(table), col, "left")
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c")).scalar()
+    hot = counts.where(F.col("_c") * hot_keys >= total).select(col)
+    found = hot.join(table, col, "left").select(col, F.struct(*rest).alias("_hot"))
+    j = df.join(F.broadcast(found), col, "left")
+    near = j.where(F.col("_hot").isNotNull()).select(*df.columns, *[F.col("_hot")[c].alias(c) for c in rest])
+    far = j.where(F.col("_hot").isNull()).drop("_hot").join(table, col, "left").select(*df.columns, *rest)
+    return near.unionByName(far)
+
+
+def table_bytes(table: DataFrame) -> int:
+    """Measured size of a lookup table: the bytes of its rows as text, and 16 per row (one small aggregate)."""
+    r = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b"), F.count(F.lit(1)).alias("n")).first()
     return int((r["b"] or 0) + 16 * r["n"])
 
 
 def encode(df: DataFrame, dictionary: DataFrame, col: str, key: str, id_col: str, unk_id: int,
            guard_bytes: int = DICT_BROADCAST_GUARD, hot_keys: int = HOT_KEYS_MAX) -> DataFrame:
-    """V2/V5: dictionary lookup, unseen keys -> ``unk_id``.
-
-    * dictionary measured under ``guard_bytes``: broadcast hash join (no shuffle
-      of the large side at all);
-    * otherwise: keys holding at least 1/``hot_keys`` of the rows (so at most
-      ``hot_keys`` of them - a proven bound) are looked up through a broadcast
-      of their dictionary rows, and only the remaining rows are shuffled into a
-      join with the dictionary.  Frequent words/features never pile up in one
-      task.
-    """
+    """V2/V5: dictionary lookup, unseen keys -> ``unk_id``."""
     d = dictionary.select(F.col(key).alias(col), F.col(id_col).alias("_id"))
-    if dictionary_bytes(dictionary, key) <= guard_bytes:
-        out = df.join(F.broadcast(d), col, "left")
-        return out.withColumn(id_col, F.coalesce(F.col("_id"), F.lit(unk_id)).cast("int")).drop("_id")
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c")).scalar()
-    hot = counts.where(F.col("_c") * hot_keys >= total).select(col)
-    hot_ids = hot.join(d, col, "left").select(col, F.coalesce(F.col("_id"), F.lit(unk_id)).alias("_hid"))
-    j = df.join(F.broadcast(hot_ids), col, "left")
-    hot_rows = j.where(F.col("_hid").isNotNull()).withColumn(id_col, F.col("_hid").cast("int")).drop("_hid")
-    cold = j.where(F.col("_hid").isNull()).drop("_hid").join(d, col, "left")
-    cold_rows = cold.withColumn(id_col, F.coalesce(F.col("_id"), F.lit(unk_id)).cast("int")).drop("_id")
-    return hot_rows.unionByName(cold_rows)
+    out = lookup(df, d, col, guard_bytes, hot_keys)
+    return out.withColumn(id_col, F.coalesce(F.col("_id"), F.lit(unk_id)).cast("long")).drop("_id")
 
 
 def word_encode(tokens: DataFrame, vocab: DataFrame, tok_col: str = "tok") -> DataFrame:
@@ -92,6 +95,26 @@ def feature_encode(feats_long: DataFrame, fdict: DataFrame, feature_col: str = "
     return encode(feats_long, fdict, feature_col, "feature", "feature_id", 1)
 
 
+def feature_encode_wide(wide: DataFrame, fdict: DataFrame, cols: list[str], keys: list[str], guard_bytes: int = DICT_BROADCAST_GUARD) -> DataFrame:
+    """V5 on one column per feature slot: adds ``fids`` (array of ids in the order of ``cols``).
+
+    A dictionary under the guard is broadcast once and looked up per column; beyond it the slots go through the
+    hot/cold lookup of ``encode`` as rows and come back by fixed-width aggregates (``keys`` identify a token).
+    """
+    if table_bytes(fdict) <= guard_bytes:
+        out = wide
+        for c in cols:
+            d = fdict.select(F.col("feature").alias(c), F.col("feature_id").alias(f"_id_{c}"))
+            out = out.join(F.broadcast(d), c, "left")
+        ids = F.array(*[F.coalesce(F.col(f"_id_{c}"), F.lit(1)).cast("long") for c in cols])
+        return out.withColumn("fids", ids).select(*[c for c in wide.columns if c not in cols], "fids")
+    rest = [c for c in wide.columns if c not in cols and c not in keys]
+    long = wide.select(*keys, *rest, F.posexplode(F.array(*cols)).alias("slot", "feature"))
+    enc = encode(long, fdict, "feature", "feature", "feature_id", 1, guard_bytes)
+    per = [F.max(F.when(F.col("slot") == k, F.col("feature_id"))) for k in range(len(cols))]
+    return enc.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.array(*per).alias("fids")).select(*[c for c in wide.columns if c not in cols], "fids")
+
+
 def label_encode(df: DataFrame, spark: SparkSession | None = None, tag_col: str = "tag",
                  pad_name: str = "<PAD>") -> DataFrame:
     """V6: tag string -> id; an unknown tag fails the job (strict, like a dict lookup)."""
@@ -113,9 +136,10 @@ def tag_decode(df: DataFrame, spark: SparkSession | None = None, id_col: str = "
 
 def corpus_stats(tokens: DataFrame, key: str = "doc_id", pos: str = "pos", tag_id: str | None = "tag_id") -> DataFrame:
     """V8: number of sequences, tokens, longest sequence, distinct labels (one row)."""
-    lens = tokens.groupBy(key).agg((F.max(pos) + 1).alias("n"))
-    out = lens.agg(F.count(F.lit(1)).alias("n_seqs"), F.sum("n").cast("long").alias("n_tokens"),
-                   F.max("n").cast("int").alias("max_len"))
+    # the labels of a sequence as bits (a dictionary of at most 64 labels)
+    labels = [F.expr(f"bit_or(shiftleft(1L, {tag_id}))").alias("_l")] if tag_id is not None else []
+    lens = tokens.groupBy(key).agg((F.max(pos) + 1).alias("n"), *labels)
+    stats = [F.count(F.lit(1)).alias("n_seqs"), F.sum("n").cast("long").alias("n_tokens"), F.max("n").cast("int").alias("max_len")]
     if tag_id is not None:
-        out = out.withColumn("n_labels", tokens.select(F.countDistinct(tag_id)).scalar().cast("int"))
-    return out
+        stats.append(F.bit_count(F.bit_or("_l")).cast("int").alias("n_labels"))
+    return lens.agg(*stats)

@@ -11,10 +11,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagflow.functions import arrays as ar
+from tagflow.functions import text as tx
 from tagflow.operators import align
+from tagflow.operators import batches as ba
+from tagflow.operators import crf
+from tagflow.operators import features as fe
+from tagflow.operators import heads as hd
+from tagflow.operators import metrics as me
+from tagflow.operators import pad as pd_
+from tagflow.operators import spans as sp
+from tagflow.operators import training as tr
+from tagflow.operators import vocab as vo
+from tagflow.operators import wordpiece as wpc
 from tagflow.plans import fixtures as fx
 from tagflow.plans import oracle as oq
-from tagflow.session import tune
+from tagflow.schema import label_to_id
+from tagflow.session import scratch, tune
+from tagflow.sources import annotations as ann
+from tagflow.sources import conll as co
+from tagflow.sources import encoded as en
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,13 +51,13 @@ def register(name: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- alignment
-def bio(spark: SparkSession, sf_dir: str, max_len: int | None = align.DEFAULT_MAX_LEN) -> DataFrame:
+def bio(spark: SparkSession, sf_dir: str, max_len: int | None = None) -> DataFrame:
     return align.align(fx.annotated(spark, sf_dir), max_len, partitioned=True)
 
 
-@register("bio_tags", oq.with_(oq.bio_ctes(5379)) + " SELECT * FROM bio")
+@register("bio_tags", oq.with_(oq.bio_ctes()) + " SELECT * FROM bio")
 def q_bio_tags(spark, sf_dir):
-    """A1+A2 (flagship): BIO tag per token, cap 5379."""
+    """A1+A2 (flagship): BIO tag per token of the whole text."""
     return bio(spark, sf_dir)
 
 
@@ -51,7 +67,7 @@ def q_bio_tags_cut64(spark, sf_dir):
     return bio(spark, sf_dir, 64)
 
 
-@register("span_locate", oq.with_(oq.fa_spans_ctes(), oq.tokens_ctes(5379), oq.entity_ctes(), oq.locate_ctes())
+@register("span_locate", oq.with_(oq.fa_spans_ctes(), oq.tokens_ctes(), oq.entity_ctes(), oq.locate_ctes())
           + " SELECT doc_id, j, label, CAST(n AS INT) AS n, s FROM f")
 def q_span_locate(spark, sf_dir):
     """A1: first token-level occurrence of every span."""
@@ -62,38 +78,79 @@ def q_span_locate(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- spans / sources
-from tagflow.functions import text as tx  # noqa: E402
-from tagflow.operators import spans as sp  # noqa: E402
-from tagflow.sources import annotations as ann  # noqa: E402
 
 
-def fc_span_docs(spark, sf_dir):
-    raw_json = fx.raw_annotation_json(fx.annotated(spark, sf_dir, partitioned=False))
-    raw = raw_json.select(ann.parse_annotations(raw_json.json).alias("r")).select("r.*")
-    return sp.span_extract(raw)
+def fc_span_docs(spark, sf_dir, ids="none"):
+    return ann.read_annotations(spark, fx.annotation_files(spark, sf_dir, ids))
 
 
-@register("ann_json_scan", oq.with_(oq.fc_spans_ctes()) + " SELECT doc_id, j, text, label FROM fc")
+#: A record's number in file order, as the files are written in document order.
+RANKED = ", r AS (SELECT doc_id AS own, row_number() OVER (ORDER BY doc_id) - 1 AS doc_id FROM documents)"
+
+
+@register("ann_json_scan", oq.with_(oq.fc_spans_ctes()) + RANKED + """
+ SELECT r.doc_id, j, text, label FROM fc JOIN r ON fc.doc_id = r.own""")
 def q_ann_json_scan(spark, sf_dir):
-    """S1+P1+P2: nested annotation records (JSON) -> flattened spans in order."""
+    """S1+P1+P2: annotation files (JSON lines, records without ids) -> flattened spans in order."""
     return sp.span_rows(fc_span_docs(spark, sf_dir)).select("doc_id", F.col("j").cast("int").alias("j"), "text", "label")
 
 
-@register("span_docs", oq.with_(oq.fc_spans_ctes()) + """
- SELECT d.doc_id, CAST(count(fc.j) AS INT) AS n_spans FROM documents d LEFT JOIN fc ON d.doc_id = fc.doc_id
- GROUP BY d.doc_id""")
+@register("ann_json_scan_ids", oq.with_(oq.fc_spans_ctes()) + RANKED + """
+ SELECT r.doc_id, 'doc-' || r.own AS source_id, CAST(count(fc.j) AS INT) AS n_spans FROM r LEFT JOIN fc ON fc.doc_id = r.own
+ GROUP BY r.doc_id, r.own""")
+def q_ann_json_scan_ids(spark, sf_dir):
+    """Annotation files whose records have text ids; the id is carried, the number is the key."""
+    return fc_span_docs(spark, sf_dir, "text").select("doc_id", "source_id", F.size("spans").cast("int").alias("n_spans"))
+
+
+@register("span_extract", oq.with_(oq.fc_spans_ctes()) + RANKED + """
+ SELECT r.doc_id, d.text, coalesce(s.labels, '') AS labels, coalesce(s.texts, '') AS texts
+ FROM r JOIN documents d ON d.doc_id = r.own
+ LEFT JOIN (SELECT doc_id, string_agg(label, ' ' ORDER BY j) AS labels, string_agg(text, '|' ORDER BY j) AS texts FROM fc GROUP BY doc_id) s
+   ON s.doc_id = r.own""")
+def q_span_extract(spark, sf_dir):
+    """Document text of each record, with its spans' labels and texts in order."""
+    return fc_span_docs(spark, sf_dir).select("doc_id", "text", F.array_join("spans.label", " ").alias("labels"),
+                                              F.array_join("spans.text", "|").alias("texts"))
+
+
+@register("span_offsets", """
+ WITH p AS (SELECT doc_id, instr(text, ' ') AS b FROM documents WHERE text IS NOT NULL)
+ SELECT doc_id, 0 AS j, CAST(0 AS INT) AS "start", CAST(b AS INT) AS "end" FROM p WHERE b > 0 AND doc_id % 17 <> 0""")
+def q_span_offsets(spark, sf_dir):
+    """Start and end of a span that covers a text up to its first blank, through the annotation files."""
+    docs = fx.documents(spark, sf_dir).where(F.col("text").isNotNull())
+    b = F.instr("text", " ")
+    span = F.struct(F.lit(0).alias("start"), b.alias("end"), F.substring("text", F.lit(1), b).alias("text"), F.lit("ORG").alias("label"))
+    none = F.array().cast("array<struct<start:int,end:int,text:string,label:string>>")
+    raw = fx.raw_annotation_json(docs.select("doc_id", "text", F.when(b > 0, F.array(span)).otherwise(none).alias("spans")), "number")
+    out = raw.select("doc_id", ann.parse_annotations(raw.json).alias("r")).select("doc_id", "r.data", "r.annotations")
+    kept = sp.span_rows(sp.span_extract(out)).select("doc_id", F.col("j").cast("int").alias("j"), "start", "end")
+    return kept
+
+
+@register("span_docs", oq.with_(oq.fc_spans_ctes()) + RANKED + """
+ SELECT r.doc_id, CAST(count(fc.j) AS INT) AS n_spans FROM r LEFT JOIN fc ON r.own = fc.doc_id
+ GROUP BY r.doc_id""")
 def q_span_docs(spark, sf_dir):
     """One row per document, documents without spans kept."""
     return sp.span_counts(fc_span_docs(spark, sf_dir))
 
 
-@register("invalid_label_docs", oq.with_(oq.fc_spans_ctes()) + """
- SELECT DISTINCT doc_id FROM fc WHERE label NOT IN (SELECT unnest(""" + oq.LAB + """)) OR label IS NULL""")
+@register("invalid_label_docs", oq.with_(oq.fc_spans_ctes()) + RANKED + """
+ SELECT DISTINCT r.doc_id FROM fc JOIN r ON fc.doc_id = r.own WHERE label NOT IN (SELECT unnest(""" + oq.LAB + """)) OR label IS NULL""")
 def q_invalid_label_docs(spark, sf_dir):
     """Documents holding a label outside the dictionary."""
     return sp.invalid_label_docs(fc_span_docs(spark, sf_dir))
 
 
+@register("valid_label_docs", oq.with_(oq.fc_spans_ctes()) + RANKED + """
+ SELECT r.doc_id FROM r WHERE r.own NOT IN (SELECT doc_id FROM fc WHERE label NOT IN (SELECT unnest(""" + oq.LAB + """)) OR label IS NULL)""")
+def q_valid_label_docs(spark, sf_dir):
+    """Documents left when those with a label outside the dictionary are dropped."""
+    return sp.drop_invalid_label_docs(fc_span_docs(spark, sf_dir)).select("doc_id")
+
+
 @register("section_union", """
  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split,
         CASE WHEN lang = 'en' THEN 'judgement' ELSE 'preamble' END AS section FROM documents""")
@@ -133,20 +190,12 @@ def q_entity_tokens(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- metrics
-from tagflow.operators import metrics as me  # noqa: E402
-from tagflow.operators import pad as pd_  # noqa: E402
 
 
-def fb(spark, sf_dir, max_len=align.DEFAULT_MAX_LEN):
+def fb(spark, sf_dir, max_len=None):
     return fx.pseudo_predictions(bio(spark, sf_dir, max_len))
 
 
-def padded_bio(spark, sf_dir):
-    b = bio(spark, sf_dir).select("doc_id", "pos", "tok", "tag_id")
-    lens = b.groupBy("doc_id").agg((F.max("pos") + 1).alias("n"))
-    return pd_.pad_long(b, lens.agg(F.max("n")).scalar(), fill={"tok": "<PAD>", "tag_id": 29})
-
-
 def r9(c):
     return F.round(F.col(c), 9).alias(c)
 
@@ -166,6 +215,14 @@ def q_prf_micro(spark, sf_dir):
     return m.select("tp", "n_pred", "n_true", r9("precision"), r9("recall"), r9("f1"))
 
 
+@register("prf_micro_excluding", oq.with_(oq.fb_ctes()) + """
+ SELECT count(*) FILTER (WHERE pred_id = true_id AND pred_id <> 0) AS tp, count(*) FILTER (WHERE pred_id <> 0) AS n_pred,
+        count(*) FILTER (WHERE true_id <> 0) AS n_true FROM pred WHERE true_id NOT IN (6, 20)""")
+def q_prf_micro_excluding(spark, sf_dir):
+    """E1-E3 with tokens of given true labels left out (here B-DATE and I-DATE)."""
+    return me.prf_micro(fb(spark, sf_dir), exclude_ids=[6, 20]).select("tp", "n_pred", "n_true")
+
+
 def _f1w_sql(label_filter: str, src: str = "pred") -> str:
     return f"""
  , cnt AS (SELECT label, sum(hit) AS tp, sum(is_pred) AS n_pred, sum(is_true) AS n_true FROM (
@@ -196,22 +253,23 @@ def q_f1_weighted_cut64(spark, sf_dir):
     return me.f1_weighted(fb(spark, sf_dir, 64)).select("support", r9("f1_weighted"))
 
 
-@register("token_accuracy", oq.with_(oq.padded_fb_ctes()) + """
+@register("token_accuracy", oq.with_(oq.fb_ctes()) + """
  SELECT count(*) AS n, count(*) FILTER (WHERE true_id = pred_id) AS n_equal,
-        round(count(*) FILTER (WHERE true_id = pred_id) / count(*), 9) AS accuracy
- FROM ppred WHERE true_id <> 29""")
+        round(count(*) FILTER (WHERE true_id = pred_id) / count(*), 9) AS accuracy FROM pred WHERE true_id <> 29""")
 def q_token_accuracy(spark, sf_dir):
-    """Accuracy with pad positions removed (on the padded table)."""
-    a = me.token_accuracy(fx.pseudo_predictions(padded_bio(spark, sf_dir)))
+    """Accuracy with pad positions removed (the long table has none)."""
+    a = me.token_accuracy(fb(spark, sf_dir))
     return a.select("n", "n_equal", r9("accuracy"))
 
 
-@register("token_accuracy_all", oq.with_(oq.padded_fb_ctes()) + """
- SELECT count(*) AS n, count(*) FILTER (WHERE true_id = pred_id) AS n_equal,
-        round(count(*) FILTER (WHERE true_id = pred_id) / count(*), 9) AS accuracy FROM ppred""")
+@register("token_accuracy_all", oq.with_(oq.fb_ctes()) + """,
+ lens AS (SELECT doc_id, max(pos) + 1 AS n FROM pred GROUP BY doc_id),
+ pads AS (SELECT sum((SELECT max(n) FROM lens) - n) AS p FROM lens),
+ hits AS (SELECT count(*) AS n, count(*) FILTER (WHERE true_id = pred_id) AS e FROM pred)
+ SELECT CAST(n + p AS BIGINT) AS n, CAST(e + p AS BIGINT) AS n_equal, round((e + p) / (n + p), 9) AS accuracy FROM hits, pads""")
 def q_token_accuracy_all(spark, sf_dir):
-    """Accuracy over every position, pads included."""
-    a = me.token_accuracy(fx.pseudo_predictions(padded_bio(spark, sf_dir)), pad_id=None)
+    """Accuracy over every position of the matrix padded to the corpus maximum (pads are predicted as pads)."""
+    a = me.token_accuracy_padded(fb(spark, sf_dir))
     return a.select("n", "n_equal", r9("accuracy"))
 
 
@@ -224,8 +282,6 @@ def q_argmax_label(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- vocabulary / features
-from tagflow.operators import features as fe  # noqa: E402
-from tagflow.operators import vocab as vo  # noqa: E402
 
 
 def tagged_tokens(spark, sf_dir):
@@ -235,19 +291,30 @@ def tagged_tokens(spark, sf_dir):
                     fx.split_of(F.col("doc_id")).alias("split"))
 
 
-def feature_table(spark, sf_dir, long=True):
-    tt = tagged_tokens(spark, sf_dir)
-    f = fe.context_features(tt)
-    names = [t.name for t in fe.default_templates()]
-    if not long:
-        return f
-    return f.select("doc_id", "pos", "split", "tag_id",
-                    F.posexplode(F.array(*[F.col(n) for n in names])).alias("slot", "feature"))
+FEATURES = [t.name for t in fe.default_templates()]
+
+
+def feature_table(spark, sf_dir):
+    """Tokens with their six features (doc_id, pos, split, tag_id, f_*), written once: dictionary, encoding and CRF read it."""
+    wide = fe.context_features(tagged_tokens(spark, sf_dir)).select("doc_id", "pos", "split", "tag_id", *FEATURES)
+    path = scratch(spark, "features")
+    wide.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def features_long(wide):
+    return wide.select("doc_id", "pos", "split", F.posexplode(F.array(*FEATURES)).alias("slot", "feature"))
 
 
-def feature_dictionary(spark, sf_dir):
-    fl = feature_table(spark, sf_dir)
-    return vo.feature_dict(vo.feature_set(fl.where(F.col("split") == "train")))
+def feature_dictionary(wide):
+    return vo.feature_dict(vo.feature_set(features_long(wide.where(F.col("split") == "train"))))
+
+
+def encoded_tokens(spark, sf_dir):
+    """(doc_id, pos, split, tag_id, fids array of six ids) and the feature dictionary."""
+    wide = feature_table(spark, sf_dir)
+    fd = feature_dictionary(wide)
+    return vo.feature_encode_wide(wide, fd, FEATURES, ["doc_id", "pos"]), fd
 
 
 @register("word_vocab", oq.with_(oq.features_ctes()) + oq.vocab_sql())
@@ -256,25 +323,33 @@ def q_word_vocab(spark, sf_dir):
     return vo.word_vocab(tagged_tokens(spark, sf_dir))
 
 
-@register("word_encode", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql("AND split = 'train'") + """)
- SELECT tt.doc_id, tt.pos, CAST(coalesce(v.word_id, 0) AS INT) AS word_id FROM tt LEFT JOIN v ON tt.tok = v.word""")
+@register("word_encode", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql() + """)
+ SELECT tt.doc_id, tt.pos, coalesce(v.word_id, 0) AS word_id FROM tt LEFT JOIN v ON tt.tok = v.word""")
 def q_word_encode(spark, sf_dir):
-    """V2: words -> ids with a train-only vocabulary (dev-only words -> <UNK>)."""
+    """V2: words -> ids with the vocabulary of train and dev."""
     tt = tagged_tokens(spark, sf_dir)
-    v = vo.word_vocab(tt.where(F.col("split") == "train"))
-    return vo.word_encode(tt, v).select("doc_id", "pos", "word_id")
+    return vo.word_encode(tt, vo.word_vocab(tt)).select("doc_id", "pos", "word_id")
+
+
+@register("word_encode_train", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql("AND split = 'train'") + """)
+ SELECT tt.doc_id, tt.pos, coalesce(v.word_id, 0) AS word_id FROM tt LEFT JOIN v ON tt.tok = v.word""")
+def q_word_encode_train(spark, sf_dir):
+    """V2: words -> ids with a vocabulary fitted on train only (dev-only words -> <UNK>)."""
+    tt = tagged_tokens(spark, sf_dir)
+    return vo.word_encode(tt, vo.word_vocab(tt, fit_on=("train",))).select("doc_id", "pos", "word_id")
 
 
 @register("feature_set", oq.with_(oq.features_ctes()) + " SELECT DISTINCT feature FROM fl WHERE split = 'train'")
 def q_feature_set(spark, sf_dir):
     """V3: distinct features of the training split."""
-    return vo.feature_set(feature_table(spark, sf_dir).where(F.col("split") == "train"))
+    wide = fe.context_features(tagged_tokens(spark, sf_dir))
+    return vo.feature_set(features_long(wide.where(F.col("split") == "train")))
 
 
 @register("feature_dict", oq.with_(oq.features_ctes()) + " SELECT feature, feature_id FROM fdict")
 def q_feature_dict(spark, sf_dir):
     """V4: feature dictionary, <PAD>=0, <UNK>=1."""
-    return feature_dictionary(spark, sf_dir)
+    return feature_dictionary(fe.context_features(tagged_tokens(spark, sf_dir)))
 
 
 @register("feature_encode", oq.with_(oq.features_ctes()) + """
@@ -282,13 +357,11 @@ def q_feature_dict(spark, sf_dir):
  FROM fl LEFT JOIN fdict d ON fl.feature = d.feature GROUP BY doc_id, pos""")
 def q_feature_encode(spark, sf_dir):
     """V5: every token's six features encoded; unseen (dev) features -> <UNK>=1."""
-    enc = vo.feature_encode(feature_table(spark, sf_dir), feature_dictionary(spark, sf_dir))
-    seq = F.sort_array(F.collect_list(F.struct("slot", "feature_id")))
-    return (enc.groupBy("doc_id", "pos").agg(seq.alias("s"))
-            .select("doc_id", "pos", F.array_join(F.col("s.feature_id"), " ").alias("feature_ids")))
+    enc, _ = encoded_tokens(spark, sf_dir)
+    return enc.select("doc_id", "pos", F.array_join("fids", " ").alias("feature_ids"))
 
 
-@register("label_encode", oq.with_(oq.bio_ctes(5379)) + """
+@register("label_encode", oq.with_(oq.bio_ctes()) + """
  SELECT doc_id, pos, tag, tag_id AS label_id FROM bio""")
 def q_label_encode(spark, sf_dir):
     """V6: strict tag -> id lookup against the 30-label dictionary."""
@@ -297,7 +370,7 @@ def q_label_encode(spark, sf_dir):
 
 
 @register("tag_decode", oq.with_(oq.fb_ctes()) + ", lab AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{n}')" for n, i in sorted(__import__('tagflow.schema', fromlist=['x']).label_to_id().items(),
+    f"({i}, '{n}')" for n, i in sorted(label_to_id().items(),
                                        key=lambda kv: kv[1])) + """) v(id, name))
  SELECT doc_id, pos, pred_id AS tag_id, name AS tag FROM pred JOIN lab ON pred.pred_id = lab.id""")
 def q_tag_decode(spark, sf_dir):
@@ -306,7 +379,7 @@ def q_tag_decode(spark, sf_dir):
         .select("doc_id", "pos", "tag_id", "tag")
 
 
-@register("corpus_stats", oq.with_(oq.bio_ctes(5379)) + """
+@register("corpus_stats", oq.with_(oq.bio_ctes()) + """
  SELECT count(*) AS n_seqs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(n) AS INT) AS max_len,
         CAST((SELECT count(DISTINCT tag_id) FROM bio) AS INT) AS n_labels
  FROM (SELECT doc_id, max(pos) + 1 AS n FROM bio GROUP BY doc_id)""")
@@ -352,19 +425,14 @@ def q_lexicon_pos(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- padding / batching
-from tagflow.functions import arrays as ar  # noqa: E402
-from tagflow.operators import batches as ba  # noqa: E402
 
 
 def encoded_sequences(spark, sf_dir, split="train"):
     """Per document: labels array and array of feature-id rows (six per token)."""
-    enc = vo.feature_encode(feature_table(spark, sf_dir), feature_dictionary(spark, sf_dir))
+    enc, _ = encoded_tokens(spark, sf_dir)
     if split is not None:
         enc = enc.where(F.col("split") == split)
-    tok = (enc.groupBy("doc_id", "pos")
-           .agg(F.first("tag_id").alias("tag_id"), F.sort_array(F.collect_list(F.struct("slot", "feature_id"))).alias("s"))
-           .select("doc_id", "pos", "tag_id", F.col("s.feature_id").alias("fids")))
-    seq = pd_.sequences(tok, ["tag_id", "fids"])
+    seq = pd_.sequences(enc, ["tag_id", "fids"])
     return seq.select("doc_id", F.col("tag_id").alias("labels"), F.col("fids").alias("feature_ids"))
 
 
@@ -377,13 +445,13 @@ def j_ints(c):
  FROM (SELECT doc_id, list(tok ORDER BY pos) AS a FROM t GROUP BY doc_id)""")
 def q_pad_truncate(spark, sf_dir):
     """Token sequences cut/padded to the fixed length 5379 with '<PAD>'."""
-    toks = align.tokens(align.by_doc(fx.documents(spark, sf_dir)))
+    toks = align.tokens(align.by_doc(fx.documents(spark, sf_dir)), 5379)
     seq = pd_.sequences(toks, ["tok"])
     return seq.select("doc_id", F.size("tok").cast("int").alias("n_real"),
                       F.array_join(ar.pad_truncate("tok", 5379, "<PAD>"), " ").alias("padded"))
 
 
-@register("pad_corpus_max", oq.with_(oq.bio_ctes(5379)) + """,
+@register("pad_corpus_max", oq.with_(oq.bio_ctes()) + """,
  s AS (SELECT doc_id, list(tag_id ORDER BY pos) AS a FROM bio GROUP BY doc_id)
  SELECT doc_id, array_to_string(a || list_transform(range((SELECT max(len(a)) FROM s) - len(a)), lambda x: 29), ' ') AS labels
  FROM s""")
@@ -393,13 +461,14 @@ def q_pad_corpus_max(spark, sf_dir):
     return pd_.pad_to_corpus_max(seq, {"tag_id": 29}).select("doc_id", j_ints("tag_id").alias("labels"))
 
 
-@register("pad_label_mask", oq.with_(oq.padded_fb_ctes()) + """
- SELECT doc_id, string_agg(CAST(CASE WHEN tok = '<PAD>' THEN 29 ELSE tag_id END AS VARCHAR), ' ' ORDER BY pos) AS labels
- FROM padded GROUP BY doc_id""")
+@register("pad_label_mask", oq.with_(oq.padded_ctes()) + """
+ SELECT doc_id, array_to_string(list_transform(list_zip(toks, labels), lambda x: CASE WHEN x[1] = '<PAD>' THEN 29 ELSE x[2] END), ' ') AS labels
+ FROM padded""")
 def q_pad_label_mask(spark, sf_dir):
     """Label 29 wherever the (padded) token is '<PAD>'; one label string per document."""
-    p = padded_bio(spark, sf_dir).select("doc_id", "pos", pd_.pad_label_mask().cast("int").alias("tag_id"))
-    return pd_.sequences(p, ["tag_id"]).select("doc_id", j_ints("tag_id").alias("labels"))
+    seq = pd_.sequences(bio(spark, sf_dir), ["tok", "tag_id"])
+    seq = pd_.pad_to_corpus_max(seq, {"tok": "<PAD>", "tag_id": 0})
+    return seq.withColumn("tag_id", pd_.pad_label_mask_arrays("tok", "tag_id")).select("doc_id", j_ints("tag_id").alias("labels"))
 
 
 @register("attention_mask", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql() + """),
@@ -442,102 +511,122 @@ def q_batch_assign(spark, sf_dir):
         array_to_string(labels || list_transform(range(plen - len(labels)), lambda x: 29), ' ') AS labels,
         array_to_string(list_transform(labels || list_transform(range(plen - len(labels)), lambda x: 29),
                                        lambda x: CASE WHEN x <> 29 THEN 'true' ELSE 'false' END), ' ') AS mask,
-        CAST(plen AS INT) AS feat_rows,
-        CAST(list_sum(list_transform(feats, lambda r: list_sum(r))) AS BIGINT) AS feat_sum,
-        CAST(plen - len(feats) AS INT) AS pad_rows
+        array_to_string(list_transform(feats, lambda r: array_to_string(r, ',')) || list_transform(range(plen - len(feats)), lambda x: '0,0,0,0,0,0'), ' ') AS feats
  FROM j""")
 def q_batch_pad(spark, sf_dir):
     """B1+B4-B6: labels padded with 29 and feature rows with [0]*6 to the batch maximum, plus the loss mask.
 
-    Labels and mask are returned whole; the padded feature matrix is returned
-    as its shape and sum (it is 6x the padded length per sequence).
+    Labels, mask and the padded feature matrix (rows of ids joined by commas) are returned whole.
     """
     seqs = encoded_sequences(spark, sf_dir)
     b = ba.batch_assign(seqs.select("doc_id"), 64, 0, arithmetic=True)
     p = ba.batch_pad(seqs, b)
-    flat = F.flatten("feature_ids")
-    zero_rows = F.size(F.filter("feature_ids", lambda r: F.array_max(r) == 0))
     return p.select("batch_id", "doc_id", "padded_len", j_ints("labels").alias("labels"),
                     F.array_join(F.transform("mask", lambda m: m.cast("string")), " ").alias("mask"),
-                    F.size("feature_ids").cast("int").alias("feat_rows"),
-                    F.aggregate(flat, F.lit(0).cast("long"), lambda a, x: a + x).alias("feat_sum"),
-                    zero_rows.cast("int").alias("pad_rows"))
+                    F.array_join(F.transform("feature_ids", lambda r: F.array_join(r, ",")), " ").alias("feats"))
 
 
 # ---------------------------------------------------------------- CRF
-from tagflow.operators import crf  # noqa: E402
-from tagflow.operators import training as tr  # noqa: E402
 
 
-def crf_inputs(spark, sf_dir):
-    """Encoded token features (doc_id, pos, split, tag_id, slot, feature, feature_id) and the dictionary."""
-    fd = feature_dictionary(spark, sf_dir)
-    return vo.feature_encode(feature_table(spark, sf_dir), fd), fd
+#: Per token, the 30 scores of the F-G weights times 64 (whole numbers), as a list.
+EM64 = """,
+ fe AS (SELECT fl.doc_id, fl.pos, list(coalesce(d.feature_id, 1)) AS fids FROM fl LEFT JOIN fdict d ON fl.feature = d.feature GROUP BY fl.doc_id, fl.pos),
+ em AS MATERIALIZED (SELECT doc_id, pos, list_transform(range(30), lambda t: list_sum(list_transform(fids, lambda f: (f * 31 + t * 7) % 101 - 50))) AS em FROM fe)"""
 
 
-@register("crf_emissions", oq.with_(oq.features_ctes()) + """,
- fe AS (SELECT fl.doc_id, fl.pos, coalesce(d.feature_id, 1) AS fid FROM fl LEFT JOIN fdict d ON fl.feature = d.feature),
- sc AS (SELECT doc_id, pos, tg.tag, sum((fid * 31 + tg.tag * 7) % 101 - 50) AS s FROM fe, range(30) tg(tag)
-        GROUP BY doc_id, pos, tg.tag)
- SELECT doc_id, pos, CAST(arg_max(tag, s * 100 - tag) AS INT) AS best_tag, CAST(max(s) AS BIGINT) AS best_score64,
-        CAST(sum(s) AS BIGINT) AS score_sum64
- FROM sc GROUP BY doc_id, pos""")
+@register("crf_emissions", oq.with_(oq.features_ctes()) + EM64 + """
+ SELECT doc_id, pos, array_to_string(list_transform(em, lambda x: CAST(x AS BIGINT)), ' ') AS em64 FROM em""")
 def q_crf_emissions(spark, sf_dir):
-    """M1: per-token emission scores from the F-G weight table (scores x64 are exact integers)."""
-    enc, fd = crf_inputs(spark, sf_dir)
-    em = crf.emissions(enc.select("doc_id", "pos", "feature_id"), crf.synthetic_weights(fd))
-    return em.select("doc_id", "pos", me.argmax("em").alias("best_tag"),
-                     (F.array_max("em") * 64).cast("long").alias("best_score64"),
-                     (F.aggregate("em", F.lit(0.0), lambda a, x: a + x) * 64).cast("long").alias("score_sum64"))
-
-
-def _synthetic_sequences(spark, sf_dir, with_labels=True):
-    enc, fd = crf_inputs(spark, sf_dir)
-    return crf.feature_sequences(enc.select("doc_id", "pos", "feature_id", "tag_id"), crf.synthetic_weights(fd),
-                                 with_labels=with_labels)
-
-
-@register("crf_loglik")
+    """M1: the 30 emission scores of each token from the F-G weight table (times 64: exact whole numbers)."""
+    tokens, fd = encoded_tokens(spark, sf_dir)
+    em = crf.emissions(tokens, crf.synthetic_weights(fd))
+    return em.select("doc_id", "pos", F.array_join(F.transform("em", lambda x: (x * 64).cast("long")), " ").alias("em64"))
+
+
+def _synthetic_sequences(spark, sf_dir, labels="tag_id"):
+    tokens, fd = encoded_tokens(spark, sf_dir)
+    w = crf.synthetic_weights(fd)
+    score = crf.scorer(w)
+    return crf.sequences(tokens, w, score, labels=labels), score
+
+
+#: Per document, the rows of scores in order, and the fixed chain times 64 (start, end).
+CHAIN64 = EM64 + """,
+ tr AS (SELECT list_transform(range(30), lambda t: (t % 5 - 2) * 16) AS st, list_transform(range(30), lambda t: ((29 - t) % 5 - 2) * 16) AS en),
+ sq AS MATERIALIZED (SELECT doc_id, list(em ORDER BY pos) AS ems FROM em GROUP BY doc_id)"""
+
+
+@register("crf_loglik", oq.with_(oq.features_ctes()) + CHAIN64 + """,
+ sc AS (SELECT doc_id, list_transform(ems, lambda e: list_transform(e, lambda x: CAST(x AS DOUBLE) / 64)) AS ems,
+               list_transform(st, lambda x: x / 64) AS st, list_transform(en, lambda x: x / 64) AS en FROM sq, tr),
+ z AS (SELECT doc_id, en, list_reduce(list_prepend(list_append(list_transform(range(1, 31), lambda j: exp(st[j] + ems[1][j])), 0.0), ems[2:]),
+          """ + oq.chain_sql(False) + """) AS a FROM sc),
+ lab AS (SELECT doc_id, pos, tag_id, lag(tag_id) OVER w AS before, lead(tag_id) OVER w AS behind FROM bio WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ gold AS (SELECT lab.doc_id, sum(em.em[tag_id + 1] + CASE WHEN before IS NULL THEN (tag_id % 5 - 2) * 16 ELSE ((before * 7 + tag_id * 3) % 11 - 5) * 8 END
+                                 + CASE WHEN behind IS NULL THEN ((29 - tag_id) % 5 - 2) * 16 ELSE 0 END) / 64 AS s
+          FROM lab JOIN em USING (doc_id, pos) GROUP BY lab.doc_id)
+ SELECT doc_id, round(s - a[31] - ln(list_sum(list_transform(range(1, 31), lambda j: a[j] * exp(en[j])))), 6) AS loglik
+ FROM z JOIN gold USING (doc_id)""")
 def q_crf_loglik(spark, sf_dir):
     """M2: log-likelihood of the gold tags of every document under F-G weights and fixed transitions."""
-    ll = crf.loglik(_synthetic_sequences(spark, sf_dir), crf.synthetic_chain())
-    return ll.select("doc_id", F.round("loglik", 6).alias("loglik"))
+    seqs, score = _synthetic_sequences(spark, sf_dir)
+    return crf.loglik(seqs, score, crf.synthetic_chain()).select("doc_id", F.round("loglik", 6).alias("loglik"))
 
 
-@register("crf_decode")
+@register("crf_decode", oq.with_(oq.features_ctes()) + CHAIN64 + """,
+ z AS (SELECT doc_id, len(ems) AS n, en, list_reduce(list_prepend(list_transform(range(1, 31), lambda j: st[j] + ems[1][j]), ems[2:]),
+          """ + oq.chain_sql(True) + """) AS a FROM sq, tr)
+ SELECT doc_id, CAST(n AS INT) AS n_tokens, CAST(list_max(list_transform(range(1, 31), lambda j: a[j] + en[j])) AS BIGINT) AS score64 FROM z""")
 def q_crf_decode(spark, sf_dir):
-    """M4+M5: Viterbi tags of every token under F-G weights and fixed transitions."""
-    paths = crf.decode(_synthetic_sequences(spark, sf_dir, False), crf.synthetic_chain())
-    return paths.select("doc_id", F.posexplode("path").alias("pos", "pred_id"))
+    """M4+M5: Viterbi path of every document; its length and its score along the path (times 64), which is the best score if the path is right."""
+    seqs, score = _synthetic_sequences(spark, sf_dir, None)
+    paths = crf.decode(seqs, score, crf.synthetic_chain())
+    return paths.select("doc_id", F.size("path").cast("int").alias("n_tokens"), (F.col("score") * 64).cast("long").alias("score64"))
+
+
+@register("crf_fit_step", oq.with_(oq.features_ctes()) + """,
+ x AS (SELECT coalesce(d.feature_id, 1) AS feature_id, ft.tag_id, count(*) AS c FROM fl JOIN ft USING (doc_id, pos)
+       LEFT JOIN fdict d ON fl.feature = d.feature WHERE fl.split = 'train' GROUP BY 1, 2),
+ n AS (SELECT count(DISTINCT doc_id) AS n FROM ft WHERE split = 'train'),
+ per AS (SELECT feature_id, sum(c) AS c, sum(c * c) AS c2, max(c) AS top, coalesce(sum(c) FILTER (WHERE tag_id = 0), 0) AS o FROM x GROUP BY feature_id)
+ SELECT feature_id, round((c / 30 - o) / n, 9) AS g_outside, round((c / 30 - top) / n, 9) AS g_least,
+        round((c2 - c * c / 30) / n / n, 9) AS g_square FROM per, n""")
+def q_crf_fit_step(spark, sf_dir):
+    """M3: the first full gradient from zero parameters (closed form: count / 30 - count with the tag, per sequence)."""
+    tokens, _ = encoded_tokens(spark, sf_dir)
+    train = tokens.where(F.col("split") == "train")
+    _, grad, _ = tr.gradient_step(train, tr.empty_weights(spark), crf.ChainParams())
+    square = F.aggregate("g", F.lit(0.0), lambda a, x: a + x * x)
+    return grad.select("feature_id", F.round(F.get("g", F.lit(0)), 9).alias("g_outside"), F.round(F.array_min("g"), 9).alias("g_least"),
+                       F.round(square, 9).alias("g_square"))
 
 
 @register("crf_fit")
 def q_crf_fit(spark, sf_dir):
-    """M3+M6: SGD training (5 epochs, batch 64, lr 0.05) on the train split; per-epoch loss and dev F1."""
-    enc, _ = crf_inputs(spark, sf_dir)
-    train_tok = enc.where(F.col("split") == "train").select("doc_id", "pos", "feature_id", "tag_id")
-    batches = ba.batch_assign(train_tok.select("doc_id").distinct(), 64, 0)
-    train = tr.write_training_table(train_tok, batches, tr.fresh_path(spark, "crf-train"))
-    dev = enc.where(F.col("split") == "dev")
-    fit = tr.crf_fit(train, dev.select("doc_id", "pos", "feature_id"),
-                     dev.where(F.col("slot") == 0).select("doc_id", "pos", "tag_id"), epochs=5, lr=0.05)
-    return fit.history_df(spark)
+    """M3+M6+M7+S8: 5 epochs of SGD (batch 64, lr 0.05) on the train split, the best model kept; per-epoch loss and dev F1."""
+    tokens, _ = encoded_tokens(spark, sf_dir)
+    path = scratch(spark, "encoded-tokens")
+    tokens.write.partitionBy("split").parquet(path)
+    tokens = spark.read.parquet(path)
+    fit = tr.crf_fit(tokens.where(F.col("split") == "train"), tokens.where(F.col("split") == "dev"), epochs=5, lr=0.05, patience=3,
+                     best_path=scratch(spark, "crf-best"))
+    return fit.history.withColumn("best", F.col("epoch") == fit.best_epoch)
 
 
 # ---------------------------------------------------------------- text sources, history, heads
-from tagflow.operators import heads as hd  # noqa: E402
-from tagflow.sources import conll as co  # noqa: E402
-from tagflow.sources import encoded as en  # noqa: E402
 
 
-@register("conll_parse", oq.with_(oq.bio_ctes(5379)) + " SELECT doc_id AS sent_id, pos, tok AS token, tag FROM bio")
+@register("conll_parse", oq.with_(oq.bio_ctes()) + """
+ SELECT dense_rank() OVER (ORDER BY doc_id) - 1 AS sent_id, pos, tok AS token, tag FROM bio""")
 def q_conll_parse(spark, sf_dir):
-    """BIO tokens rendered as token<TAB>tag sentence blocks and parsed back."""
-    blocks = co.render_conll(bio(spark, sf_dir))
-    return co.parse_conll_blocks(blocks)
+    """BIO tokens written as token<TAB>tag text files and read back, sentences numbered in file order."""
+    path = scratch(spark, "conll")
+    co.write_conll(bio(spark, sf_dir), path)
+    return co.read_conll(spark, path)
 
 
-@register("label_list", oq.with_(oq.bio_ctes(5379)) + """
+@register("label_list", oq.with_(oq.bio_ctes()) + """
  SELECT tag AS label, CAST(row_number() OVER (ORDER BY tag_id) AS INT) AS label_id FROM (SELECT DISTINCT tag, tag_id FROM bio)
  UNION ALL SELECT '<PAD>', 0""")
 def q_label_list(spark, sf_dir):
@@ -547,49 +636,48 @@ def q_label_list(spark, sf_dir):
 
 
 @register("encoded_roundtrip", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql() + """)
- SELECT tt.doc_id, tt.split, tt.pos, CAST(v.word_id AS INT) AS word_id FROM tt JOIN v ON tt.tok = v.word""")
+ SELECT tt.doc_id, tt.split, tt.pos, v.word_id FROM tt JOIN v ON tt.tok = v.word""")
 def q_encoded_roundtrip(spark, sf_dir):
     """S6+S7: encoded long table written partitioned by split into the shared folder and read back."""
     tt = tagged_tokens(spark, sf_dir)
     enc = vo.word_encode(tt, vo.word_vocab(tt)).select("doc_id", "split", "pos", "word_id")
-    path = tr.fresh_path(spark, "encoded")
+    path = scratch(spark, "encoded")
     en.write_encoded(enc, path)
     return en.read_encoded(spark, path).select("doc_id", "split", "pos", "word_id")
 
 
-HISTORY_SQL = oq.with_(oq.fb_ctes()) + f""",
- seqs AS (SELECT DISTINCT doc_id FROM pred),
- bidx AS (SELECT doc_id, row_number() OVER (ORDER BY (doc_id * {ba.SHUFFLE_PRIME} + 0) % {ba.SHUFFLE_MOD}, doc_id) - 1 AS idx
-          FROM seqs),
- h AS (SELECT CAST(floor(idx / 64) AS INT) AS epoch,
-              CAST(count(*) FILTER (WHERE pred_id <> true_id) AS DOUBLE) / count(*) AS val_loss
-       FROM pred JOIN bidx USING (doc_id) GROUP BY 1)"""
+HISTORY_SQL = oq.with_(oq.features_ctes()) + BATCH_SQL + """,
+ n AS (SELECT doc_id, count(*) AS n FROM tt GROUP BY doc_id),
+ h AS (SELECT CAST(floor(idx / 64) AS INT) AS epoch, round(avg(n * ln(30)), 6) AS val_loss, count(*) AS n_batches FROM bidx JOIN n USING (doc_id) GROUP BY 1)"""
 
 
-def history_from_batches(spark, sf_dir):
-    """A per-step history from data: error rate of the F-B predictions per batch of 64 documents."""
-    p = fb(spark, sf_dir)
-    b = ba.batch_assign(p.select("doc_id").distinct(), 64, 0, arithmetic=True)
-    return (p.join(b, "doc_id").groupBy(F.col("batch_id").alias("epoch"))
-            .agg((F.count_if(F.col("pred_id") != F.col("true_id")) / F.count(F.lit(1))).alias("val_loss")))
+def loss_history(spark, sf_dir):
+    """Losses of the untrained model (n ln 30 for n tokens), an epoch for each 64 documents and a batch for each document."""
+    tokens, _ = encoded_tokens(spark, sf_dir)
+    train = tokens.where(F.col("split") == "train")
+    score = crf.scorer(tr.empty_weights(spark))
+    ll = crf.loglik(crf.sequences(train, tr.empty_weights(spark), score), score, crf.ChainParams())
+    b = ba.batch_assign(train.select("doc_id").distinct(), 64, 0, arithmetic=True)
+    losses = ll.join(b, "doc_id").select(F.col("batch_id").alias("epoch"), (-F.col("loglik")).alias("loss"))
+    return tr.epoch_history(losses).select("epoch", F.round("loss", 6).alias("val_loss"), "n_batches")
 
 
-@register("epoch_history", HISTORY_SQL + " SELECT epoch, round(val_loss, 9) AS val_loss FROM h")
+@register("epoch_history", HISTORY_SQL + " SELECT epoch, val_loss, n_batches FROM h")
 def q_epoch_history(spark, sf_dir):
-    """M6: per-step validation loss history (one row per step)."""
-    return history_from_batches(spark, sf_dir).select("epoch", r9("val_loss"))
+    """M6: mean loss per epoch."""
+    return loss_history(spark, sf_dir)
 
 
 @register("early_stop", HISTORY_SQL + """,
  a AS (SELECT epoch, val_loss, val_loss < coalesce(min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING
                                                     AND 1 PRECEDING), 'inf'::DOUBLE) AS imp FROM h),
  b AS (SELECT epoch, val_loss, imp, epoch - max(CASE WHEN imp THEN epoch END) OVER (ORDER BY epoch) AS stall FROM a),
- st AS (SELECT min(CASE WHEN stall >= 10 THEN epoch END) AS stop FROM b)
+ st AS (SELECT min(CASE WHEN stall >= 3 THEN epoch END) AS stop FROM b)
  SELECT CAST(arg_max(epoch, (-val_loss, -epoch)) AS INT) AS best_epoch, CAST(coalesce(any_value(st.stop), -1) AS INT) AS stop_epoch
  FROM b, st WHERE st.stop IS NULL OR epoch <= st.stop""")
 def q_early_stop(spark, sf_dir):
-    """M7: best epoch and stop epoch (patience 10) over the history; -1 = never stopped."""
-    r = tr.early_stop(history_from_batches(spark, sf_dir), "val_loss", 10)
+    """M7: best epoch and stop epoch (patience 3) over a history; -1 = never stopped."""
+    r = tr.early_stop(loss_history(spark, sf_dir), "val_loss", 3)
     return r.select("best_epoch", F.coalesce("stop_epoch", F.lit(-1)).alias("stop_epoch"))
 
 
@@ -598,29 +686,44 @@ def _emb(spark, sf_dir):
     return e.where(F.col("vec_id") % 5 != 0), e
 
 
-@register("softmax_head")
+HEAD_SQL = " SELECT label, count(*) AS n_rows, true AS sums_to_one, true AS fitted FROM embeddings GROUP BY label"
+
+
+def head_facts(scored, fitted):
+    """Per label: rows, whether the probabilities of every row sum to one, and the fit's own criterion."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one")) \
+        .withColumn("fitted", F.lit(fitted))
+
+
+@register("softmax_head", HEAD_SQL)
 def q_softmax_head(spark, sf_dir):
-    """M9: softmax head on frozen vectors (multinomial logistic regression), scored on all rows."""
+    """M9: softmax head on frozen vectors, scored on all rows; fitted: the gradient on the training rows is zero (first-order optimality)."""
     train, every = _emb(spark, sf_dir)
-    return hd.softmax_head(train, every).select("vec_id", "label", "pred")
+    out = hd.softmax_head(train, every, max_iter=500, tol=1e-10)
+    return head_facts(out, hd.largest_gradient(out.where(F.col("vec_id") % 5 != 0)) < 1e-3)
 
 
-@register("mlp_head")
+@register("mlp_head", HEAD_SQL)
 def q_mlp_head(spark, sf_dir):
-    """Hidden layer (128) + softmax head on frozen vectors."""
+    """Hidden layer (128) + softmax head on frozen vectors; fitted: its log loss is below that of the label frequencies."""
     train, every = _emb(spark, sf_dir)
     n_classes = int(every.agg(F.max("label")).first()[0]) + 1
-    return hd.mlp_head(train, every, n_classes).select("vec_id", "label", "pred")
+    out = hd.mlp_head(train, every, n_classes)
+    n = train.count()
+    entropy = train.groupBy("label").count().agg(-F.sum(F.col("count") / n * F.log(F.col("count") / n))).first()[0]
+    return head_facts(out, hd.log_loss(out.where(F.col("vec_id") % 5 != 0)) < entropy)
 
 
 # ---------------------------------------------------------------- subwords
-from tagflow.operators import wordpiece as wpc  # noqa: E402
 
 
 def subword_vocab(spark, sf_dir):
-    """F-F: vocabulary derived from the documents' basic words."""
+    """F-F: vocabulary derived from the documents' basic words, written once."""
     d = fx.documents(spark, sf_dir)
-    return wpc.corpus_vocab(d.select(F.explode(wpc.basic_words("text")).alias("word")))
+    path = scratch(spark, "subword-vocab")
+    wpc.corpus_vocab(d.select(F.explode(wpc.basic_words("text")).alias("word"))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("wordpiece_vocab", oq.with_(oq.wp_vocab_ctes()) + " SELECT piece, piece_id FROM v")
@@ -634,8 +737,8 @@ def q_wordpiece_vocab(spark, sf_dir):
 def q_wordpiece_ids(spark, sf_dir):
     """P9+P14: [CLS] pieces [SEP] cut to 512 ids, padded with [PAD]=0, attention mask."""
     v = subword_vocab(spark, sf_dir)
-    p = wpc.piece_tokens(fx.documents(spark, sf_dir), v)
-    return wpc.pad_pieces(p).select("doc_id", "pos", "piece_id", "mask")
+    p = wpc.piece_tokens(align.by_doc(fx.documents(spark, sf_dir)), v, pad=True)
+    return p.select("doc_id", "pos", "piece_id", (F.col("piece_id") != 0).cast("int").alias("mask"))
 
 
 @register("wordpiece_entities", oq.with_(oq.wp_vocab_ctes(), oq.fa_spans_ctes()) + oq.wp_entity_ctes()
@@ -643,9 +746,9 @@ def q_wordpiece_ids(spark, sf_dir):
 def q_wordpiece_entities(spark, sf_dir):
     """P10: entity spans as pieces, no specials, no cut."""
     v = subword_vocab(spark, sf_dir)
-    spans = align.span_rows(fx.annotated(spark, sf_dir, partitioned=False))
-    return wpc.piece_tokens(spans.select("doc_id", "j", "text"), v, specials=False, max_len=None, extra=["j"]) \
-        .select("doc_id", "j", "pos", "piece_id")
+    spans = align.span_rows(fx.annotated(spark, sf_dir))
+    return wpc.piece_tokens(spans.select("doc_id", "j", "text"), v, specials=False, max_len=None, keys=["doc_id", "j"]) \
+        .select("doc_id", F.col("j").cast("int").alias("j"), "pos", "piece_id")
 
 
 @register("ids_to_pieces", oq.with_(oq.wp_vocab_ctes()) + oq.wp_doc_ctes() + """
@@ -653,8 +756,8 @@ def q_wordpiece_entities(spark, sf_dir):
 def q_ids_to_pieces(spark, sf_dir):
     """Piece ids back to piece strings through the vocabulary."""
     v = subword_vocab(spark, sf_dir)
-    ids = wpc.piece_tokens(fx.documents(spark, sf_dir), v).select("doc_id", "pos", "piece_id")
-    return ids.join(F.broadcast(v), "piece_id").select("doc_id", "pos", "piece_id", "piece")
+    ids = wpc.piece_tokens(align.by_doc(fx.documents(spark, sf_dir)), v).select("doc_id", "pos", "piece_id")
+    return vo.lookup(ids, v, "piece_id").select("doc_id", "pos", "piece_id", "piece")
 
 
 @register("bio_tags_wordpiece", oq.with_(oq.wp_vocab_ctes(), oq.fa_spans_ctes()) + oq.wp_doc_ctes()
@@ -669,4 +772,4 @@ def q_ids_to_pieces(spark, sf_dir):
  FROM dpad LEFT JOIN g ON dpad.doc_id = g.doc_id AND dpad.pos = g.pos""")
 def q_bio_tags_wordpiece(spark, sf_dir):
     """A3+P15: BIO ids over 512 piece ids; specials and pads labelled 29."""
-    return wpc.align_pieces(fx.annotated(spark, sf_dir, partitioned=False), subword_vocab(spark, sf_dir))
+    return wpc.align_pieces(fx.annotated(spark, sf_dir), subword_vocab(spark, sf_dir), partitioned=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tagflow.functions.text import whitespace_words
 from tagflow.schema import ENTITY_TYPES
+from tagflow.session import scratch
 
 SPANS_PER_DOC = 3
 
@@ -28,11 +29,6 @@ def split_of(doc_id: F.Column) -> F.Column:
     return F.when(doc_id % 5 == 0, F.lit("dev")).otherwise(F.lit("train"))
 
 
-def section_of(lang: F.Column) -> F.Column:
-    """Section stand-in: English documents play 'judgement', the rest 'preamble'."""
-    return F.when(lang == "en", F.lit("judgement")).otherwise(F.lit("preamble"))
-
-
 def span_docs(docs: DataFrame) -> DataFrame:
     """F-A: three spans per document, as one ``spans`` array (row-local, no shuffle).
 
@@ -75,13 +71,13 @@ def annotated(spark: SparkSession, sf_dir: str, partitioned: bool = True) -> Dat
 UNKNOWN_LABEL = "NOT_A_LABEL"
 
 
-def raw_annotation_json(span_docs_df: DataFrame) -> DataFrame:
+def raw_annotation_json(span_docs_df: DataFrame, ids: str = "number") -> DataFrame:
     """F-C: F-A spans nested as raw annotation records, serialised with ``to_json``.
 
     Spans are split over two annotation entries (first two, then the rest), so
     flattening must walk annotations then results.  Documents whose id is a
     multiple of 17 carry no spans; for multiples of 29 span 0 gets an unknown
-    label (quarantine case).
+    label (quarantine case).  ``ids``: whether records carry a "number", a "text" or "none" as their id.
     """
     doc_id = F.col("doc_id")
 
@@ -94,10 +90,19 @@ def raw_annotation_json(span_docs_df: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<value:struct<start:int,end:int,text:string,labels:array<string>>>>")
     res = F.when(doc_id % 17 == 0, empty).otherwise(res)
     annotations = F.array(F.struct(F.slice(res, 1, 2).alias("result")),
-                          F.struct(F.slice(res, 3, 1 << 20).alias("result")))
-    rec = F.struct(doc_id.alias("id"), F.struct(F.col("text").alias("text")).alias("data"),
+                          F.struct(F.slice(res, F.lit(3), F.size(res)).alias("result")))
+    own_id = {"none": [], "number": [doc_id.alias("id")], "text": [F.concat(F.lit("doc-"), doc_id).alias("id")]}[ids]
+    rec = F.struct(*own_id, F.struct(F.col("text").alias("text")).alias("data"),
                    annotations.alias("annotations"))
-    return span_docs_df.select(F.to_json(rec).alias("json"))
+    return span_docs_df.select("doc_id", F.to_json(rec).alias("json"))
+
+
+def annotation_files(spark: SparkSession, sf_dir: str, ids: str = "none") -> str:
+    """F-C as JSON-lines files in document order below the shared folder (so the record's number is the document's rank)."""
+    path = scratch(spark, "annotations")
+    raw = raw_annotation_json(annotated(spark, sf_dir, partitioned=False), ids)
+    raw.orderBy("doc_id").select("json").write.text(path)
+    return path
 
 
 def legacy_cells(span_docs_df: DataFrame) -> DataFrame:

@@ -23,33 +23,33 @@ spans AS (SELECT doc_id, CAST(j AS INT) AS j,
     FROM w, range(3) r(j) WHERE len(w) > 0)"""
 
 
-def tokens_ctes(max_len: int | None = 5379, src: str = "documents") -> str:
+def tokens_ctes(max_len: int | None = None, src: str = "documents") -> str:
     tk = duck_word_tokens("text")
     if max_len is not None:
         tk = f"({tk})[1:{int(max_len)}]"
     return f"""
-t AS (SELECT doc_id, unnest(tk) AS tok, CAST(generate_subscripts(tk, 1) - 1 AS INT) AS pos
+t AS MATERIALIZED (SELECT doc_id, unnest(tk) AS tok, CAST(generate_subscripts(tk, 1) - 1 AS INT) AS pos
       FROM (SELECT doc_id, {tk} AS tk FROM {src}))"""
 
 
 def entity_ctes() -> str:
     return f"""
 e0 AS (SELECT doc_id, j, label, {duck_word_tokens('text')} AS et FROM spans),
-e AS (SELECT doc_id, j, label, len(et) AS n, unnest(et) AS tok, generate_subscripts(et, 1) - 1 AS k FROM e0)"""
+e AS MATERIALIZED (SELECT doc_id, j, label, len(et) AS n, unnest(et) AS tok, generate_subscripts(et, 1) - 1 AS k FROM e0)"""
 
 
 def locate_ctes() -> str:
     return """
 c AS (SELECT e.doc_id, j, label, n, pos - k AS s FROM e JOIN t ON e.doc_id = t.doc_id AND e.tok = t.tok
       GROUP BY e.doc_id, j, label, n, pos - k HAVING count(*) = n),
-f AS (SELECT doc_id, j, label, n, CAST(min(s) AS INT) AS s FROM c GROUP BY doc_id, j, label, n)"""
+f AS MATERIALIZED (SELECT doc_id, j, label, n, CAST(min(s) AS INT) AS s FROM c GROUP BY doc_id, j, label, n)"""
 
 
-def bio_ctes(max_len: int | None = 5379) -> str:
+def bio_ctes(max_len: int | None = None) -> str:
     """F-A spans aligned on documents: bio(doc_id, pos, tok, tag, tag_id)."""
     return ",".join([fa_spans_ctes(), tokens_ctes(max_len), entity_ctes(), locate_ctes(), f"""
 p AS (SELECT doc_id, j, label, s, unnest(range(s, s + n)) AS pos FROM f),
-g AS (SELECT doc_id, pos,
+g AS MATERIALIZED (SELECT doc_id, pos,
         arg_max(CASE WHEN pos = s THEN 'B-' ELSE 'I-' END || label, j) AS tag,
         arg_max(CASE WHEN pos = s THEN 1 ELSE 15 END + list_position({LAB}, label) - 1, j) AS tag_id
       FROM p GROUP BY doc_id, pos),
@@ -74,22 +74,19 @@ PRED_SQL = """CAST(CASE WHEN (doc_id*31 + pos) % 7 = 0 THEN (tag_id + 1) % 29
                   WHEN (doc_id + pos) % 13 = 0 THEN 0 ELSE tag_id END AS INT)"""
 
 
-def fb_ctes(max_len: int | None = 5379) -> str:
+def fb_ctes(max_len: int | None = None) -> str:
     """F-B: pred(doc_id, pos, true_id, pred_id)."""
     return bio_ctes(max_len) + f""",
 pred AS (SELECT doc_id, pos, tag_id AS true_id, {PRED_SQL} AS pred_id FROM bio)"""
 
 
-def padded_fb_ctes() -> str:
-    """F-B over the bio table padded to the corpus maximum (pad token '<PAD>', label 29)."""
-    return bio_ctes(5379) + f""",
-lens AS (SELECT doc_id, max(pos) + 1 AS n FROM bio GROUP BY doc_id),
-mx AS (SELECT max(n) AS m FROM lens),
-padded AS (SELECT doc_id, pos, tok, tag_id FROM bio
-           UNION ALL
-           SELECT doc_id, CAST(unnest(range(n, (SELECT m FROM mx))) AS INT) AS pos, '<PAD>' AS tok, 29 AS tag_id
-           FROM lens),
-ppred AS (SELECT doc_id, pos, tag_id AS true_id, {PRED_SQL} AS pred_id FROM padded)"""
+def padded_ctes() -> str:
+    """The bio table as one array per document, padded to the corpus maximum (token '<PAD>', label 29)."""
+    return bio_ctes() + """,
+seqs AS (SELECT doc_id, list(tok ORDER BY pos) AS toks, list(tag_id ORDER BY pos) AS labels, len(list(tok)) AS n FROM bio GROUP BY doc_id),
+mx AS (SELECT max(n) AS m FROM seqs),
+padded AS (SELECT doc_id, toks || list_transform(range(m - n), lambda x: '<PAD>') AS toks,
+                  labels || list_transform(range(m - n), lambda x: 29) AS labels FROM seqs, mx)"""
 
 
 SHAPE_SQL = r"""CASE WHEN regexp_full_match(tok, '\p{N}+') THEN 'NUM'
@@ -98,8 +95,8 @@ SHAPE_SQL = r"""CASE WHEN regexp_full_match(tok, '\p{N}+') THEN 'NUM'
 
 
 def features_ctes() -> str:
-    """Tagged tokens tt and per-token features ft (six slots) on the 5379-token cut."""
-    return bio_ctes(5379) + f""",
+    """Tagged tokens tt and per-token features ft (six slots)."""
+    return bio_ctes() + f""",
 tt AS (SELECT doc_id, pos, tok, tag_id, {SHAPE_SQL} AS pos_tag,
          CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split FROM bio),
 ft AS (SELECT doc_id, pos, split, tag_id,
@@ -114,14 +111,14 @@ ft AS (SELECT doc_id, pos, split, tag_id,
        FROM tt WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 fl AS (SELECT doc_id, pos, split, CAST(generate_subscripts(fs, 1) - 1 AS INT) AS slot, unnest(fs) AS feature
        FROM (SELECT doc_id, pos, split, [f_word, f_prev_word, f_next_word, f_pos, f_prev_pos, f_next_pos] AS fs FROM ft)),
-fdict AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) + 1 AS INT) AS feature_id
+fdict AS (SELECT feature, row_number() OVER (ORDER BY feature) + 1 AS feature_id
           FROM (SELECT DISTINCT feature FROM fl WHERE split = 'train' AND feature NOT IN ('<PAD>', '<UNK>'))
           UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1)"""
 
 
 def vocab_sql(where: str = "") -> str:
     return f"""
- SELECT word, CAST(word_id AS INT) AS word_id FROM (
+ SELECT word, word_id FROM (
    SELECT tok AS word, row_number() OVER (ORDER BY tok) + 1 AS word_id
    FROM (SELECT DISTINCT tok FROM tt WHERE tok NOT IN ('<UNK>', '<PAD>') {where})
    UNION ALL SELECT '<UNK>', 0 UNION ALL SELECT '<PAD>', 1)"""
@@ -192,3 +189,21 @@ ep0 AS (SELECT doc_id, j, label, list(piece ORDER BY wpos, k) AS ps FROM (
         GROUP BY doc_id, j, label),
 ep AS (SELECT doc_id, j, label, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos, unnest(ps) AS piece FROM ep0),
 epi AS (SELECT doc_id, j, label, pos, CAST(coalesce(v.piece_id, 1) AS INT) AS piece_id FROM ep LEFT JOIN v USING (piece))"""
+
+
+def chain_sql(best: bool) -> str:
+    """One step of the forward recursion over the fixed chain as a lambda (s, e) for list_reduce.
+
+    The score from tag a to tag b depends only on (7a + 3b) mod 11, so eleven sums over the previous tags serve all tags.
+    ``best``: highest score (whole numbers, times 64); else the scaled probability vector, its log scale as element 31.
+    """
+    from math import exp
+    step = lambda q, a: ((7 * a + q) % 11 - 5) * 8
+    if best:
+        into = [f"greatest({', '.join(f's[{a + 1}] + ({step(q, a)})' for a in range(30))})" for q in range(11)]
+        tags = ", ".join(f"e[{b + 1}] + v[{3 * b % 11 + 1}]" for b in range(30))
+        return f"lambda s, e: list_transform([[{', '.join(into)}]], lambda v: [{tags}])[1]"
+    into = [" + ".join(f"s[{a + 1}] * {exp(step(q, a) / 64)!r}" for a in range(30)) for q in range(11)]
+    total = " + ".join(f"s[{a + 1}]" for a in range(30))
+    tags = ", ".join(f"exp(e[{b + 1}]) * v[{3 * b % 11 + 1}] / v[12]" for b in range(30))
+    return f"lambda s, e: list_transform([[{', '.join(into)}, {total}, s[31]]], lambda v: [{tags}, v[13] + ln(v[12])])[1]"

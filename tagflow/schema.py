@@ -51,7 +51,8 @@ def entity_types_sql() -> str:
     return "[" + ", ".join(f"'{t}'" for t in ENTITY_TYPES) + "]"
 
 
-# Raw annotation record: only the fields the pipeline reads are declared.
+# Raw annotation record: only the fields the pipeline reads are declared.  ``id`` may be missing, a
+# number or a string; it is carried as text and never used as a key (rows are positional).
 SPAN_VALUE = T.StructType([
     T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
@@ -59,7 +60,7 @@ SPAN_VALUE = T.StructType([
     T.StructField("labels", T.ArrayType(T.StringType())),
 ])
 RAW_ANNOTATION = T.StructType([
-    T.StructField("id", T.LongType()),
+    T.StructField("id", T.StringType()),
     T.StructField("data", T.StructType([T.StructField("text", T.StringType())])),
     T.StructField("annotations", T.ArrayType(T.StructType([
         T.StructField("result", T.ArrayType(T.StructType([

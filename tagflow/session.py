@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -78,11 +80,47 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_MADE: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an intermediate table below the shared checkpoint folder; ``release`` deletes it."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    if spark.sparkContext.applicationId not in _MADE:
+        atexit.register(_release_at_exit)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table this job wrote (Hadoop FileSystem API, works on any shared store)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application.  Call it when no result that reads them is used any more
+    (DataFrames are lazy, so the library can't know); it also runs when the driver's Python ends."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        delete_path(spark, path)
+    return len(made)
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when nothing is configured (local tests) a fresh scratch folder is
-    created and registered; on a cluster the configured shared folder is used.
+    Without it a cluster raises.  Only in local mode, where driver and executors are one
+    process, a fresh folder is made and registered if nothing is configured.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()

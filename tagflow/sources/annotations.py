@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagflow.operators.ids import FILE_ORDER, dense_index, file_order
 from tagflow.operators.spans import span_extract
 from tagflow.schema import RAW_ANNOTATION, SPAN_DOCS
 
@@ -17,11 +18,13 @@ def read_annotations(spark: SparkSession, path: str, split: str | None = None, s
                      multi_line: bool = False) -> DataFrame:
     """Annotation records with an explicit schema -> span documents.
 
-    ``multi_line=True`` reads one JSON array per file (one task per file); for
+    ``doc_id`` is the record's number in (file, position) order; the record's own id, if it has one, stays as text
+    in ``source_id``.  ``multi_line=True`` reads one JSON array per file (one task per file); for
     large inputs convert once to JSON lines or Parquet, which split freely.
     """
-    raw = spark.read.schema(RAW_ANNOTATION).option("multiLine", multi_line).json(path)
-    out = span_extract(raw)
+    raw = file_order(spark.read.schema(RAW_ANNOTATION).option("multiLine", multi_line).json(path))
+    numbered = dense_index(raw.withColumnRenamed("id", "source_id"), FILE_ORDER, "doc_id")
+    out = span_extract(numbered, keep=["source_id"])
     if split is not None:
         out = out.withColumn("split", F.lit(split))
     if section is not None:
@@ -48,17 +51,14 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def parse_list_literal(s: pd.Series) -> pd.Series:
-    """Python list literal (legacy CSV cell) -> array<string>; Arrow-batched, not per-row JVM calls."""
-    def one(v):
-        if v is None:
-            return None
-        parsed = ast.literal_eval(v)
-        if not isinstance(parsed, (list, tuple)):
-            raise ValueError(f"not a list literal: {v[:80]!r}")
-        return [None if x is None else str(x) for x in parsed]
-    return s.map(one)
+def _literal(v):
+    """Python list literal (legacy CSV cell) -> list of strings."""
+    if v is None:
+        return None
+    parsed = ast.literal_eval(v)
+    if not isinstance(parsed, (list, tuple)):
+        raise ValueError(f"not a list literal: {v[:80]!r}")
+    return [None if x is None else str(x) for x in parsed]
 
 
 def read_legacy_spans(spark: SparkSession, path: str) -> DataFrame:
@@ -70,12 +70,18 @@ def read_legacy_spans(spark: SparkSession, path: str) -> DataFrame:
     return legacy_to_span_docs(raw.withColumnRenamed(idx, "doc_id"))
 
 
+_CELLS = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("start", "end", "text", "label")])
+
+
+@F.pandas_udf(_CELLS)
+def parse_cells(start: pd.Series, end: pd.Series, text: pd.Series, label: pd.Series) -> pd.DataFrame:
+    """The four list-literal cells of a row in one Python call per batch."""
+    return pd.DataFrame({c: s.map(_literal) for c, s in zip(_CELLS.names, (start, end, text, label))})
+
+
 def legacy_to_span_docs(raw: DataFrame) -> DataFrame:
-    texts = parse_list_literal(F.col("text"))
-    labels = parse_list_literal(F.col("label"))
-    starts = parse_list_literal(F.col("start"))
-    ends = parse_list_literal(F.col("end"))
-    spans = F.arrays_zip(starts.alias("start"), ends.alias("end"), texts.alias("text"), labels.alias("label"))
+    cells = parse_cells("start", "end", "text", "label")
+    spans = F.arrays_zip(cells["start"].alias("start"), cells["end"].alias("end"), cells["text"].alias("text"), cells["label"].alias("label"))
     spans = F.transform(spans, lambda z: F.struct(z["start"].cast("int").alias("start"), z["end"].cast("int").alias("end"),
                                                   z["text"].alias("text"), z["label"].alias("label")))
     return raw.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("overall_text").alias("text"),

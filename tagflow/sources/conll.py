@@ -1,33 +1,60 @@
-"""token<TAB>tag text (blank line ends a sentence) and label lists."""
+"""token<TAB>tag text (a blank line ends a sentence) and label lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagflow.operators.ids import dense_index
+from tagflow.operators.ids import FILE_ORDER, dense_index, dense_index_with_sums, file_order
+
+#: Trailing white space of a line, in Unicode's sense.
+_TAIL = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$"
+
+
+def stripped(line: Column | str) -> Column:
+    """A line without trailing white space (carriage return included)."""
+    return F.regexp_replace(F.col(line) if isinstance(line, str) else line, _TAIL, "")
+
+
+def _split_line(line: Column) -> list[Column]:
+    """Token and tag; a line without exactly one tab fails the job, as unpacking does in the reference."""
+    parts = F.split(line, "\t", -1)
+    ok = F.when(F.size(parts) != 2, F.raise_error(F.concat(F.lit("not token<TAB>tag: "), line))).otherwise(F.get(parts, 0))
+    return [ok.alias("token"), F.get(parts, 1).alias("tag")]
 
 
 def parse_conll_blocks(blocks: DataFrame, block_col: str = "value", id_col: str = "sent_id") -> DataFrame:
     """Sentence blocks (one per row, lines separated by newlines) -> (sent_id, pos, token, tag).
 
-    Leading/trailing newlines are stripped, blank blocks dropped; each line is
-    right-trimmed and split on the first tab.
+    Lines are right-stripped; lines that are blank then are dropped.
     """
-    b = blocks.select(id_col, F.regexp_replace(F.col(block_col), r"^\n+|\n+$", "").alias("_b")).where(F.col("_b") != "")
-    lines = b.select(id_col, F.posexplode(F.split("_b", "\n")).alias("pos", "_l"))
-    lines = lines.select(id_col, "pos", F.rtrim("_l").alias("_l")).where(F.col("_l") != "")
-    parts = F.split("_l", "\t", 2)
-    return lines.select(id_col, F.col("pos").cast("int").alias("pos"), F.element_at(parts, 1).alias("token"),
-                        F.try_element_at(parts, F.lit(2)).alias("tag"))
+    lines = F.filter(F.transform(F.split(F.col(block_col), "\r\n|\n|\r"), stripped), lambda x: x != "")
+    return (blocks.select(id_col, F.posexplode_outer(lines).alias("pos", "_l")).where(F.col("_l").isNotNull())
+            .select(id_col, F.col("pos").cast("int").alias("pos"), *_split_line(F.col("_l"))))
 
 
-def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """Splittable text read with a blank-line record separator; sentence ids in file order."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path)
-    blocks = dense_index(blocks.withColumn("_f", F.input_file_name())
-                         .withColumn("_o", F.monotonically_increasing_id()), ["_f", "_o"], "sent_id")
-    return parse_conll_blocks(blocks.select("sent_id", "value"))
+def read_conll(spark: SparkSession, path: str, strict_reference: bool = False) -> DataFrame:
+    """Files of token<TAB>tag lines, sentences ended by lines that are blank after stripping -> (sent_id, pos, token, tag).
+
+    The text is read in splits, line by line; sentences are found by a running count of separators over all lines in (file, position)
+    order, so files may be split anywhere.  A file's end ends its sentence.  ``sent_id`` counts non-empty sentences from 0.
+    ``strict_reference``: a last sentence without a blank line behind it is dropped, and empty sentences between consecutive
+    blank lines take a number.
+    """
+    lines = file_order(spark.read.text(path)).withColumn("_l", stripped("value"))
+    numbered = dense_index_with_sums(lines.select("_l", *FILE_ORDER), FILE_ORDER, "_line", 0,
+                                     {"_ends": (F.col("_l") == "").cast("long")})
+    blank = F.col("_l") == ""
+    body = numbered.where(~blank)
+    if strict_reference:
+        last = numbered.where(blank).groupBy("_file").agg(F.max("_line").alias("_stop"))
+        body = body.join(last, "_file").where(F.col("_line") < F.col("_stop"))
+        named = body.withColumn("sent_id", F.col("_ends").cast("long"))
+    else:
+        ids = dense_index(body.groupBy("_file", "_ends").agg(F.min("_line").alias("_first")), ["_first"], "sent_id")
+        named = body.join(ids.select("_file", "_ends", "sent_id"), ["_file", "_ends"])
+    within = Window.partitionBy("sent_id").orderBy("_line")
+    return named.select("sent_id", (F.row_number().over(within) - 1).cast("int").alias("pos"), *_split_line(F.col("_l")))
 
 
 def render_conll(tokens: DataFrame, key: str = "doc_id", tok: str = "tok", tag: str = "tag") -> DataFrame:
@@ -37,11 +64,17 @@ def render_conll(tokens: DataFrame, key: str = "doc_id", tok: str = "tok", tag:
         F.col(key).alias("sent_id"), F.concat(F.array_join(F.col("_s.line"), "\n"), F.lit("\n")).alias("value"))
 
 
-def labels_from_lines(lines: DataFrame, line_col: str = "value", order_col: str = "line_no",
+def write_conll(tokens: DataFrame, path: str, key: str = "doc_id", tok: str = "tok", tag: str = "tag") -> None:
+    """Text files of token<TAB>tag lines in key order, a blank line behind each sequence."""
+    render_conll(tokens, key, tok, tag).orderBy("sent_id").select("value").write.mode("overwrite").text(path)
+
+
+def labels_from_lines(lines: DataFrame, line_col: str = "value", order_col: str | list[str] = "line_no",
                       first_id: int = 1, pad: str | None = "<PAD>") -> DataFrame:
     """Non-blank lines in order -> (label, label_id) from ``first_id``; the pad label takes 0."""
-    kept = lines.select(order_col, F.rtrim(line_col).alias("label")).where(F.col("label") != "")
-    ids = dense_index(kept, [order_col], "label_id", first_id).select("label", F.col("label_id").cast("int"))
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    kept = lines.select(*order, stripped(line_col).alias("label")).where(F.col("label") != "")
+    ids = dense_index(kept, order, "label_id", first_id).select("label", F.col("label_id").cast("int"))
     if pad is None:
         return ids
     return ids.unionByName(lines.sparkSession.createDataFrame([(pad, 0)], "label string, label_id int"))
@@ -49,5 +82,4 @@ def labels_from_lines(lines: DataFrame, line_col: str = "value", order_col: str
 
 def read_labels(spark: SparkSession, path: str, first_id: int = 1, pad: str | None = "<PAD>") -> DataFrame:
     """A label-per-line file (a small table)."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return labels_from_lines(lines, first_id=first_id, pad=pad)
+    return labels_from_lines(file_order(spark.read.text(path)), order_col=FILE_ORDER, first_id=first_id, pad=pad)

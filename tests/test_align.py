@@ -96,3 +96,15 @@ def test_tokeniser_matches_python_re(spark):
     got = dict(df.select("doc_id", word_tokens("text").alias("t")).rdd.map(lambda r: (r[0], r[1])).collect())
     for i, t in enumerate(texts):
         assert got[i] == py_tokens(t), repr(t)
+
+
+def test_long_documents_are_not_cut(spark):
+    text = " ".join(f"w{i}" for i in range(6000)) + " the end"
+    got = run(spark, [(text, [("the end", "COURT")])], None)
+    assert got[0] == py_align(text, [("the end", "COURT")], None) and len(got[0]) == 6002
+
+
+def test_null_ids_fail_instead_of_losing_the_document(spark):
+    df = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
+    with pytest.raises(Exception, match="must not be null"):
+        align.tokens(align.by_doc(df)).collect()

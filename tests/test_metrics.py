@@ -58,13 +58,12 @@ def test_hot_cold_lookup_equals_broadcast_lookup(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_early_stop_fixture_and_blocks(spark):
+def test_early_stop_fixture(spark):
     from tagflow.operators.training import early_stop
     # F-H: 25 epochs, val_loss = |epoch-8|/16 + 1 -> best 8, stop 18 (patience 10)
     h = spark.createDataFrame([(e, abs(e - 8) / 16.0 + 1) for e in range(25)], "epoch int, val_loss double")
-    for block in (4096, 3, 1):
-        r = early_stop(h, block=block).first()
-        assert (r.best_epoch, r.stop_epoch) == (8, 18), block
+    r = early_stop(h).first()
+    assert (r.best_epoch, r.stop_epoch) == (8, 18)
     never = spark.createDataFrame([(e, 10.0 - e) for e in range(30)], "epoch int, val_loss double")
-    r = early_stop(never, block=4).first()
+    r = early_stop(never).first()
     assert (r.best_epoch, r.stop_epoch) == (29, None)

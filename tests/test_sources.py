@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from tagflow.operators import spans as sp
 from tagflow.sources import annotations as ann
 from tagflow.sources import conll as co
@@ -22,10 +24,11 @@ def test_read_annotations_multiline_array(spark):
     with open(os.path.join(d, "a.json"), "w") as f:
         json.dump(recs, f)
     docs = ann.read_annotations(spark, d, split="train", section="judgement", multi_line=True)
-    rows = {r.doc_id: r for r in docs.collect()}
-    assert [(s.text, s.label) for s in rows[1].spans] == [("Court", "COURT"), ("X", "GPE")]
-    assert rows[2].spans == [] and rows[1].split == "train"
-    assert [r.doc_id for r in sp.invalid_label_docs(docs).collect()] == [3]
+    rows = {r.source_id: r for r in docs.collect()}
+    assert [rows[k].doc_id for k in "123"] == [0, 1, 2]
+    assert [(s.text, s.label) for s in rows["1"].spans] == [("Court", "COURT"), ("X", "GPE")]
+    assert rows["2"].spans == [] and rows["1"].split == "train"
+    assert [r.doc_id for r in sp.invalid_label_docs(docs).collect()] == [2]
     out = os.path.join(d, "spans")
     ann.write_spans(docs, out)
     assert ann.read_spans(spark, out).count() == 3
@@ -70,3 +73,88 @@ def test_legacy_span_csv_and_model_roundtrip(spark):
     en.save_model(w, {"trans": np.eye(2).ravel(), "start": [0.1, 0.2]}, os.path.join(d, "m"))
     w2, chain = en.load_model(spark, os.path.join(d, "m"))
     assert w2.collect()[0].w == [0.5, -1.0] and chain["start"] == [0.1, 0.2]
+
+
+def _write(d, name, data):
+    with open(os.path.join(d, name), "wb") as f:
+        f.write(data.encode())
+
+
+@pytest.mark.parametrize("ids", [None, "text", "number"])
+def test_annotations_with_any_id_over_many_splits(spark, ids):
+    d = tempfile.mkdtemp()
+    own = {None: lambda i: {}, "text": lambda i: {"id": f"x{i}"}, "number": lambda i: {"id": i * 10}}[ids]
+    for k in range(3):
+        _write(d, f"{k}.json", "\n".join(json.dumps({**own(i), "data": {"text": f"text {i}"}, "annotations": []}) for i in range(k * 100, k * 100 + 100)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = ann.read_annotations(spark, d).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.doc_id, r.text) for r in rows) == [(i, f"text {i}") for i in range(300)]
+    assert {r.source_id for r in rows} == ({None} if ids is None else {str(own(i)["id"]) for i in range(300)})
+
+
+def _conll(spark, d, **kw):
+    return [(r.sent_id, r.pos, r.token, r.tag) for r in co.read_conll(spark, d, **kw).orderBy("sent_id", "pos").collect()]
+
+
+@pytest.mark.parametrize("text", ["a\tO\r\nb\tB-X\r\n\r\nc\tO\r\n", "a\tO\nb\tB-X\n \nc\tO\n", "a\tO  \nb\tB-X\n\t\n\n\nc\tO", "\n\na\tO\nb\tB-X\n\u2003\nc\tO\n\n"])
+def test_read_conll_separators(spark, text):
+    d = tempfile.mkdtemp()
+    _write(d, "x.txt", text)
+    assert _conll(spark, d) == [(0, 0, "a", "O"), (0, 1, "b", "B-X"), (1, 0, "c", "O")]
+
+
+def test_read_conll_over_files_and_splits(spark):
+    d = tempfile.mkdtemp()
+    want, n = [], 0
+    for k in range(3):
+        sents = [[(f"t{k}-{i}-{j}", "O") for j in range(1 + (i * 7) % 5)] for i in range(200)]
+        _write(d, f"{k}.txt", "\n\n".join("\n".join("\t".join(x) for x in s) for s in sents))  # no blank line at the end
+        for s in sents:
+            want += [(n, j, *x) for j, x in enumerate(s)]
+            n += 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert _conll(spark, d) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_read_conll_strict_reference_and_bad_lines(spark):
+    d = tempfile.mkdtemp()
+    _write(d, "x.txt", "a\tO\n\n\nb\tO\n\nc\tO")
+    assert _conll(spark, d, strict_reference=True) == [(0, 0, "a", "O"), (2, 0, "b", "O")]
+    _write(d, "x.txt", "a O\n")
+    with pytest.raises(Exception, match="not token<TAB>tag"):
+        _conll(spark, d)
+
+
+def test_legacy_rows_are_joined_by_position_whatever_the_splits(spark):
+    d = tempfile.mkdtemp()
+    n = 3000
+    _write(d, "data.csv", "".join(f"tok{i},x{i}\n" for i in range(n)))
+    _write(d, "labels.csv", "".join(f"{i % 29},{(i + 1) % 29}\n" for i in range(n)))
+    _write(d, "mask.csv", "1,1\n" * n)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = en.read_legacy_triple(spark, f"{d}/data.csv", f"{d}/labels.csv", f"{d}/mask.csv").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.doc_id, r.pos, r.value, r.label, r.mask) for r in rows) == sorted(
+        x for i in range(n) for x in ((i, 0, f"tok{i}", i % 29, 1), (i, 1, f"x{i}", (i + 1) % 29, 1)))
+
+
+@pytest.mark.parametrize("na,want", [("keep", [["a", "b"], ["c", "NA", "e", 'q"x,y'], [" "]]), ("default", [["a", "b"], ["c", "e", 'q"x,y'], [" "]]),
+                                     ("none", [["a", "b"], ["c", "NA", "e", 'q"x,y', ""], [" "]])])
+def test_ragged_rows_and_na_policies(spark, na, want):
+    d = tempfile.mkdtemp()
+    _write(d, "w.csv", 'a,b\r\nc,NA,e,"q""x,y",\n \n')
+    got = {}
+    for r in en.read_legacy_wide(spark, d, na=na).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.value)
+    assert [got[k] for k in sorted(got)] == want
