@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagflow.session import checkpoint_dir, ship_package
+from tagflow.session import delete_path, scratch, ship_package
 
 #: ASCII white space of the contracts (fixed value).
 BLANK = r"\x20\x09-\x0D"
+BLANKS = " \t\n\u000b\u000c\r"
 WORD_RE = rf"[^{BLANK}]+"
 BLANK_RE = rf"[{BLANK}]+"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``."""
-    return os.path.join(checkpoint_dir(spark), f"llm-{name}-{uuid.uuid4().hex[:12]}")
+    return scratch(spark, f"llm-{name}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,10 +32,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_scratch", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_scratch", None):
+        delete_path(df.sparkSession, path)
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -52,8 +49,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of maximal runs of non-blank characters; null or blank text gives an empty array."""
-    parts = F.split(F.coalesce(text, F.lit("")), BLANK_RE)
-    return F.filter(parts, lambda w: w != "")
+    return let(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), lambda t: F.when(
+        t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANK_RE)))
 
 
 def word_count(text: Column) -> Column:

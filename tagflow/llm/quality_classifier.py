@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagflow.llm import quality_rules as rules
-from tagflow.llm.common import let, words_of, written
+from tagflow.llm.common import BLANK, let, words_of, written
 
 FEATURES, TRAIN_ROWS, ITERATIONS, RIDGE = 1 << 16, 20_000, 30, 1e-4
 
@@ -26,11 +26,8 @@ LABELLERS = ["function_words", "symbols", "dup_lines", "repeats", "upper", "shou
 
 
 def shape(word: Column) -> Column:
-    """A word's shape: runs of upper-case, lower-case letters and digits become A, a and 0, other characters stay."""
-    out = word
-    for pattern, by in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"[0-9]+", "0")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.concat(F.lit("\u0001"), out)
+    """A word's shape: runs of upper-case and of lower-case letters become A and a, other characters stay."""
+    return F.concat(F.lit("\u0001"), F.regexp_replace(F.regexp_replace(word, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"))
 
 
 def tokens(text: Column) -> Column:
@@ -60,12 +57,12 @@ def classify(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     soft = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w"))))
     train = written(sample.select("text", soft.alias("s")).select("text", "s.*").where("w > 0"), "classifier-train")
     kinds = train.agg(F.countDistinct("label")).first()[0]
-    scored = featured(own, "text").withColumn("_words", F.size(words_of(F.col("text"))))
+    scored = featured(own, "text").withColumn("_blank", ~F.coalesce(F.col("text"), F.lit("")).rlike(rf"[^{BLANK}]"))
     if kinds == 2:
         fitted = LogisticRegression(maxIter=ITERATIONS, regParam=RIDGE, weightCol="w", featuresCol="features", labelCol="label",
                                     probabilityCol="probability").fit(featured(train, "text").select("features", "label", "w"))
-        score = F.when(F.col("_words") == 0, 0.0).otherwise(F.get(vector_to_array("probability"), 1))
+        score = F.when(F.col("_blank"), 0.0).otherwise(F.get(vector_to_array("probability"), 1))
         scored = fitted.transform(scored).select("doc_id", F.xxhash64("text").alias("h"), score.alias("score"))
     else:
-        scored = scored.select("doc_id", F.xxhash64("text").alias("h"), F.when(F.col("_words") == 0, 0.0).otherwise(float(model["prior"])).alias("score"))
+        scored = scored.select("doc_id", F.xxhash64("text").alias("h"), F.when(F.col("_blank"), 0.0).otherwise(float(model["prior"])).alias("score"))
     return scored.select("doc_id", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("kept"))

@@ -19,7 +19,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagflow.llm.common import let, words_of, written
+from tagflow.llm.common import BLANK, BLANKS, let, words_of, written
 
 #: Frequent function words of English, German, French and Spanish (fixed values, public stop-word lists).
 FUNCTION_WORDS = (
@@ -73,20 +73,18 @@ def repeated_words(words: Column, n: int = 3) -> Column:
 def counts(text: Column) -> Column:
     """The counts of one text as a struct of longs (``COUNTS``)."""
     t = F.coalesce(text, F.lit(""))
-    blanks = " \t\n\u000b\u000c\r"
     upper = F.length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, blanks, "")) > 0)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     of_words = lambda w: [
         F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words"),
         F.size(F.filter(w, lambda x: x.isin(FUNCTION_WORDS))).alias("n_function"),
-        F.size(F.filter(w, lambda x: F.endswith(x, F.lit("!")))).alias("n_shouts"),
         F.size(F.filter(w, lambda x: F.length(x) > 25)).alias("n_long")]
     both = F.struct(let(words_of(t), lambda w: F.struct(*of_words(w))).alias("w"),
                     let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"))
     made = lambda x: {
         "n_lines": x["l"]["n"], "n_dup_lines": x["l"]["dup"], "n_upper": upper,
-        "word_chars": F.length(F.translate(t, blanks, "")), "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
-        **{c: x["w"][c] for c in ("n_words", "n_repeat_words", "n_function", "n_shouts", "n_long")}}
+        "n_shouts": F.regexp_count(t, F.lit(rf"!(?![^{BLANK}])")), "word_chars": F.length(F.translate(t, BLANKS, "")), "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        **{c: x["w"][c] for c in ("n_words", "n_repeat_words", "n_function", "n_long")}}
     return let(both, lambda x: F.struct(*[made(x)[c].cast("long").alias(c) for c in COUNTS]))
 
 
