@@ -6,6 +6,9 @@ what it knows: the documents that end in it, the ids behind the last end.  A pre
 window of running sums, one row per block) carries the open document's ids and the number of documents over the block's edge, so that
 every document gets its number in the file, its start and its ids, however many blocks it spans.
 
+The files written here end documents by ``SEPARATOR``, which must not be an id of any text; an encoded id equal to it
+fails the job.  Ids of ordinary pieces (1 is a quotation mark in the default vocabulary) can't separate documents.
+
 Defined cases: an empty file has no documents; ids behind the last end of a file are a document without an end (``ended`` false); two ends
 in a row are an empty document; a null or empty text is one end id; repeated rows are documents each; null ids are kept; an empty table
 gives no rows; other columns are ignored.
@@ -24,6 +27,8 @@ from tagflow.llm.common import prepared, written
 from tagflow.llm.tokens import DEFAULT_TOKENIZER, ChunkEncoder, text_groups
 
 BLOCK_IDS, END_ID = 1 << 18, 1
+#: End of a document in files written here: the last id of two bytes, above every id of the default vocabulary (49,408 ids).
+SEPARATOR = (1 << 16) - 1
 
 
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -72,11 +77,11 @@ def scan(blocks: DataFrame, width: int = 2, end_id: int = END_ID) -> DataFrame:
     return whole.unionByName(rest).select("file", "ordinal", "start", (F.col("stop") - F.col("start")).alias("n_tokens"), "ended")
 
 
-def flatten(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, block_ids: int = BLOCK_IDS, end_id: int = END_ID,
+def flatten(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, block_ids: int = BLOCK_IDS, end_id: int = SEPARATOR,
             id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents as flat token files, one for each task's rows: (blocks (file, block, ids), manifest (file, ordinal, doc_id)).
 
-    Ids are two bytes each (vocabularies below 65,536).  Both come from one written table, so that they agree for good.
+    Ids are two bytes each (vocabularies below 65,536), ``end_id`` is none that a text gives.  Both come from one written table, so that they agree for good.
     """
     spark = prepared(docs.sparkSession)
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.BinaryType()),
@@ -100,6 +105,8 @@ def flatten(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, block_ids: int
                 ids, at = encoder.encode(batch.column(1).slice(lo, hi - lo))
                 if len(ids) and ids.max() >= 1 << 16:
                     raise ValueError("token ids don't fit into two bytes")
+                if (ids == end_id).any():
+                    raise ValueError(f"a text gives the id {end_id}, which ends documents")
                 flat = np.concatenate([held, np.insert(ids.astype("<u2"), at[1:], end_id)])
                 full = len(flat) // block_ids
                 own = batch.column(0).slice(lo, hi - lo)
@@ -117,4 +124,4 @@ def flatten(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, block_ids: int
 def document_token_counts(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, block_ids: int = BLOCK_IDS) -> DataFrame:
     """doc_id, file, ordinal, start and n_tokens (with the end id) of every document, counted by scanning its flat file."""
     blocks, manifest = flatten(docs, tokenizer, block_ids)
-    return manifest.join(scan(blocks), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    return manifest.join(scan(blocks, end_id=SEPARATOR), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

@@ -23,6 +23,32 @@ def test_counts_across_blocks(documents, lengths, block):
         assert [s for _, s, _ in own] == np.cumsum([0] + [n for *_, n in own])[:-1].tolist()
 
 
+def whole(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in texts.items()}
+
+
+def test_texts_that_hold_a_lone_quotation_mark(spark):
+    texts = dict(enumerate(['"*', 'plain', 'it costs "$5 or "| and "~', 'a"<b', '"¿Hola', '" " "', '!', "", 'last "']))
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = token_scan.document_token_counts(table, block_ids=3).collect()
+    assert len(got) == len(texts) and {r.doc_id: r.n_tokens for r in got} == whole(texts)
+
+
+def test_counts_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = token_scan.document_token_counts(docs).collect()
+    assert len(got) == 1000 and {r.doc_id: r.n_tokens for r in got} == whole({r.doc_id: r.text for r in docs.collect()})
+
+
+def test_a_separator_that_a_text_gives_fails(spark):
+    table = spark.createDataFrame([(1, '"*')], "doc_id long, text string")
+    with pytest.raises(Exception, match="which ends documents"):
+        token_scan.flatten(table, end_id=1)
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_real_files(spark, tmp_path, width):
     files = {"a": [5, 6, 1, 1, 7, 1], "b": [1], "c": [9] * 20, "d": [], "e": [3] * 10 + [1] + [4] * 7 + [1, 8]}
