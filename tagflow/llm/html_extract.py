@@ -5,10 +5,12 @@ m pages have it; its content importance is 1 - mean of log c / log m over its di
 all pages share has 0, text of one page has 1); its presentation importance is the entropy of its child-tag sequences to base m.
 On each page a branch is removed when no node in it is important, and so are the parts that markup itself declares to be
 no content (menus, headers, footers, asides, forms, adverts, notices, comments).  A page's article or main element bounds what is
-extracted and is never removed for low importance: copies of one article must not make it look like a template.
+extracted and is never removed itself; the branches inside it are judged as all others are.  Copies of one article must not make it
+look like a template: inside these elements m and c count distinct article texts, not pages.  If nothing would be left, all stays.
+Articles of a host that differ in little, without being equal, count as several, and what they share is taken for its template.
 
 Defined cases: null or empty html gives an empty text; pages without a host in their url share the empty host; a host with fewer
-than ``MIN_PAGES`` pages of a node has no say on it; unclosed and stray tags are taken as browsers do roughly; repeated rows
+than ``MIN_PAGES`` pages (inside articles: distinct texts) of a node has no say on it; unclosed and stray tags are taken as browsers do roughly; repeated rows
 are pages each; null ids are kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -18,11 +20,13 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
-from tagflow.llm.common import prepared, written
+from tagflow.llm.common import dropped, prepared, written
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,52 +189,96 @@ def regions(root: Node) -> list[Node]:
 
 
 def extract(html: str | None, low: set[int]) -> str:
-    """Main text of one page; ``low`` are hashes of the host's paths that are of low importance."""
+    """Main text of one page; ``low`` are the page's paths that are of low importance on its host."""
     root = tree_of(html)
     found = regions(root)
-    if found != [root] or not low:
-        return "\n".join(b for r in found for b in blocks(r))
-    # a branch goes if each of its nodes that has a say is of low importance; what can't be told stays
-    order = [n for n, _ in walk(root)]
-    keeps: dict[int, bool] = {}
-    for n in reversed(order):
-        below = [keeps[id(p)] for p in n.parts if not isinstance(p, str) and id(p) in keeps]
-        keeps[id(n)] = any(below) or bool(own_text(n) and path_hash(n.path) not in low)
-    left = blocks(root, {i for i, k in keeps.items() if not k})
-    return "\n".join(left or blocks(root))
+    removed = frozenset() if not low else unimportant(found, low)
+    left = [b for r in found for b in blocks(r, removed)]
+    return "\n".join(left or [b for r in found for b in blocks(r)])
+
+
+def unimportant(found: list[Node], low: set[int]) -> set[int]:
+    """Ids of the nodes whose branch goes: each node with text in it is of low importance.  What can't be told, and what has no text, stays."""
+    removed = set()
+    for root in found:
+        state: dict[int, tuple[bool, bool]] = {}  # node: has text, has text that stays
+        for n in reversed([n for n, _ in walk(root)]):
+            below = [state[id(p)] for p in n.parts if not isinstance(p, str) and id(p) in state]
+            own = bool(own_text(n))
+            text, stays = own or any(t for t, _ in below), own and path_hash(n.path) not in low or any(s for _, s in below)
+            state[id(n)] = text, stays
+            if text and not stays:
+                removed.add(id(n))
+    return removed
+
+
+def digest(text: str) -> int:
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
 def path_hash(path: str) -> int:
-    from xxhash import xxh64_intdigest
-    return xxh64_intdigest(path.encode("utf-8", "surrogatepass")) >> 1
+    return digest(path)
 
 
-def nodes_of(html: str | None):
-    """Distinct (path, kind, feature) of a page: kind 0 its text blocks, 1 its child-tag sequences, 2 that it is there."""
+def features_of(nodes) -> list[tuple[int, int, int]]:
+    """Distinct (path, kind, feature) of nodes: kind 0 their text blocks, 1 their child-tag sequences, 2 that they are there."""
     seen = set()
-    for n, _ in walk(tree_of(html)):
+    for n in nodes:
         h = path_hash(n.path)
         seen.add((h, 2, 0))
         if text := own_text(n):
-            seen.add((h, 0, path_hash(text)))
+            seen.add((h, 0, digest(text)))
         if kids := [p.tag for p in n.parts if not isinstance(p, str)]:
-            seen.add((h, 1, path_hash(" ".join(kids))))
-    return seen
+            seen.add((h, 1, digest(" ".join(kids))))
+    return sorted(seen)
+
+
+def nodes_of(html: str | None):
+    """(article, features) of a page: what stands outside of its articles, article null, and each article under the hash of its text."""
+    root = tree_of(html)
+    yield None, features_of(n for n, inside in walk(root) if not inside)
+    for r in regions(root):
+        if r is not root:
+            yield digest("\n".join(blocks(r))), features_of(n for n, _ in walk(r))
+
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """(host, page, article, nodes): a row for each page and one for each of its articles; ``page`` is the hash of its html."""
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.LongType()), T.StructField("article", T.LongType()),
+                           T.StructField("nodes", T.ArrayType(T.StructType([
+                               T.StructField("path", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType())])))])
+
+    def parsed(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                at, article, flat, size = [], [], [], [0]
+                for i, html in enumerate(part.column(2).to_pylist()):
+                    for unit, found in nodes_of(html):
+                        at.append(i), article.append(unit)
+                        flat += found
+                        size.append(len(flat))
+                path, kind, feature = zip(*flat) if flat else ((), (), ())
+                nodes = pa.StructArray.from_arrays([pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64())], ["path", "kind", "feature"])
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(article, pa.int64()),
+                                                  pa.ListArray.from_arrays(pa.array(size, pa.int32()), nodes)], names=schema.names)
+
+    prepared(pages.sparkSession)
+    return pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(parsed, schema)
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """Site style trees: (host, path, pages, content, presentation); ``pages`` has host and html."""
-    prepared(pages.sparkSession)
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType())])
+    return style_trees(page_nodes(pages))
 
-    def features(batches):
-        for b in batches:
-            for lo in range(0, len(b), 200):
-                part = b.iloc[lo:lo + 200]
-                rows = [(host, *x) for host, html in zip(part["host"], part["html"]) for x in nodes_of(html)]
-                yield pd.DataFrame(rows, columns=schema.names)
 
-    seen = pages.select("host", "html").mapInPandas(features, schema).groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).cast("double").alias("c"))
+def style_trees(nodes: DataFrame) -> DataFrame:
+    """``importance`` from the table of ``page_nodes``; inside articles ``pages`` is the number of distinct article texts."""
+    outside = nodes.where(F.col("article").isNull()).select("host", "nodes")
+    inside = nodes.where(F.col("article").isNotNull()).groupBy("host", "article").agg(F.min("nodes").alias("nodes")).select("host", "nodes")
+    seen = outside.unionByName(inside).select("host", F.explode("nodes").alias("x")).groupBy("host", "x.path", "x.kind", "x.feature").agg(
+        F.count(F.lit(1)).cast("double").alias("c"))
     per = seen.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 2, F.col("c"))).alias("pages"),
         F.avg(F.when(F.col("kind") == 0, F.log("c"))).alias("shared"),
@@ -250,17 +298,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, text and n_chars of every page."""
     prepared(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    tree = importance(own)
+    nodes = written(page_nodes(own), "site-nodes")
     size = own.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    # a path on MIN_SHARE of the host's pages or more: at most 1 / MIN_SHARE times a page's nodes of them, so a host's list is short
-    weak = tree.join(size, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("n"))
-                                         & (F.greatest(F.coalesce("content", F.lit(0.0)), F.coalesce("presentation", F.lit(0.0))) < LEAST_IMPORTANCE))
-    low = written(weak.groupBy("host").agg(F.collect_set("path").alias("low")), "site-low")
+    weak = style_trees(nodes).join(size, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("n"))
+                                    & (F.greatest(F.coalesce("content", F.lit(0.0)), F.coalesce("presentation", F.lit(0.0))) < LEAST_IMPORTANCE))
+    # each page's own nodes meet the host's weak paths row by row, so that a page's list is as long as the page and no host has one
+    texts = nodes.select("host", "page", F.explode("nodes").alias("x")).where("x.kind = 0").select("host", "page", "x.path").distinct()
+    low = written(texts.join(weak.select("host", "path"), ["host", "path"]).groupBy("host", "page").agg(F.collect_set("path").alias("low")), "site-low")
+    dropped(nodes)
 
     @F.pandas_udf("string")
     def text_of(html: pd.Series, paths: pd.Series) -> pd.Series:
         return pd.Series([extract(h, set() if p is None else set(p)) for h, p in zip(html, paths)], dtype=object)
 
-    # the lists are joined as Spark finds fit: small ones are broadcast by measured size, else a skewed host is split
-    return (own.join(low, "host", "left").select("page_id", "url", text_of("html", "low").alias("text"))
+    # the lists are joined as Spark finds fit: small ones are broadcast by measured size, else a much-copied page is split
+    return (own.withColumn("page", F.xxhash64("html")).join(low, ["host", "page"], "left").select("page_id", "url", text_of("html", "low").alias("text"))
             .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))

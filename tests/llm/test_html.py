@@ -64,6 +64,18 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in x.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Copy\nthe same text"}
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_style_tree_removes_what_a_site_repeats_inside_articles(spark):
+    box = "<div class=bio>Ann writes about ships and the sea.</div><p class=more><a href=/>Read more</a></p>"
+    rows = [(i, "http://b.example/", f"<nav>n</nav><article><h1>Title {i}</h1><p>Page {i} says<br>{i * 7} things</p>{box}</article>") for i in range(30)]
+    rows += [(100 + i, "http://c.example/", f"<main><p>the same text</p>{box}</main>") for i in range(30)]  # copies: one text, no say
+    got = {r.page_id: r.text for r in x.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"Title {i}\nPage {i} says {i * 7} things" for i in range(30))
+    assert {got[100 + i] for i in range(30)} == {"the same text\nAnn writes about ships and the sea.\nRead more"}
+
+
 def test_importance_equals_a_plain_count(spark):
     import math
     rows = [("h", "<div>" + "".join(f"<p>{w}</p>" for w in ws) + "</div>") for ws in (["a", "b"], ["a"], ["a", "c"], ["d", "e", "f"])]
