@@ -46,14 +46,14 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("ul ol dl table article main section aside nav body html div td th".split())
 P_CLOSERS = BLOCKS - {"html", "body", "caption", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "summary"}
 
-MIN_PAGES, MIN_SHARE, LEAST_IMPORTANCE = 5, 0.01, 0.3
+MIN_PAGES, LEAST_IMPORTANCE = 5, 0.3
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
     __slots__ = ("tag", "style", "noise", "path", "parts")
 
-    def __init__(self, tag: str, style: str, noise: bool, path: str):
+    def __init__(self, tag: str, style: str, noise: bool, path: int):
         self.tag, self.style, self.noise, self.path, self.parts = tag, style, noise, path, []
 
 
@@ -75,7 +75,7 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("#root", "", False, "")
+        self.root = Node("#root", "", False, 0)
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
@@ -86,7 +86,7 @@ class Tree(HTMLParser):
         given = dict(attrs)
         style = tag + "".join(sorted("." + c for c in (given.get("class") or "").split())) + (f"#{given['id']}" if given.get("id") else "")
         parent = self.open[-1]
-        node = Node(tag, style, _no_content(tag, given), f"{parent.path}>{style}" if len(parent.path) < 400 else parent.path)
+        node = Node(tag, style, _no_content(tag, given), chained(parent.path, style))
         parent.parts.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -205,7 +205,7 @@ def unimportant(found: list[Node], low: set[int]) -> set[int]:
         for n in reversed([n for n, _ in walk(root)]):
             below = [state[id(p)] for p in n.parts if not isinstance(p, str) and id(p) in state]
             own = bool(own_text(n))
-            text, stays = own or any(t for t, _ in below), own and path_hash(n.path) not in low or any(s for _, s in below)
+            text, stays = own or any(t for t, _ in below), own and n.path not in low or any(s for _, s in below)
             state[id(n)] = text, stays
             if text and not stays:
                 removed.add(id(n))
@@ -216,20 +216,28 @@ def digest(text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def chained(parent: int, style: str) -> int:
+    """The path of a node: a hash of its parent's path and its own style, of the same size at any depth."""
+    return xxh64_intdigest(parent.to_bytes(8, "little") + style.encode("utf-8", "surrogatepass")) >> 1
+
+
 def path_hash(path: str) -> int:
-    return digest(path)
+    """The path of styles written as ``>style>style``."""
+    h = 0
+    for style in path.split(">")[1:]:
+        h = chained(h, style)
+    return h
 
 
 def features_of(nodes) -> list[tuple[int, int, int]]:
     """Distinct (path, kind, feature) of nodes: kind 0 their text blocks, 1 their child-tag sequences, 2 that they are there."""
     seen = set()
     for n in nodes:
-        h = path_hash(n.path)
-        seen.add((h, 2, 0))
+        seen.add((n.path, 2, 0))
         if text := own_text(n):
-            seen.add((h, 0, digest(text)))
+            seen.add((n.path, 0, digest(text)))
         if kids := [p.tag for p in n.parts if not isinstance(p, str)]:
-            seen.add((h, 1, digest(" ".join(kids))))
+            seen.add((n.path, 1, digest(" ".join(kids))))
     return sorted(seen)
 
 
@@ -299,8 +307,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     prepared(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     nodes = written(page_nodes(own), "site-nodes")
-    size = own.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    weak = style_trees(nodes).join(size, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("n"))
+    weak = style_trees(nodes).where((F.col("pages") >= MIN_PAGES)
                                     & (F.greatest(F.coalesce("content", F.lit(0.0)), F.coalesce("presentation", F.lit(0.0))) < LEAST_IMPORTANCE))
     # each page's own nodes meet the host's weak paths row by row, so that a page's list is as long as the page and no host has one
     texts = nodes.select("host", "page", F.explode("nodes").alias("x")).where("x.kind = 0").select("host", "page", "x.path").distinct()

@@ -76,6 +76,20 @@ def test_style_tree_removes_what_a_site_repeats_inside_articles(spark):
     assert {got[100 + i] for i in range(30)} == {"the same text\nAnn writes about ships and the sea.\nRead more"}
 
 
+def test_a_small_section_of_a_large_host_is_cleaned(spark):
+    rows = [(i, "http://big.example/", f"<div class=text><p>Page {i}</p></div>") for i in range(1000)]
+    rows += [(i, "http://big.example/s", f"<div class=list>Section menu</div><div class=text><p>Page {i}</p></div>") for i in range(1000, 1008)]
+    got = {r.page_id: r.text for r in x.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"Page {i}" for i in range(1008))
+
+
+def test_nodes_below_long_paths_are_told_apart(spark):
+    long = " ".join(f"utility-class-{k}" for k in range(60))
+    rows = [(i, "http://l.example/", f"<div class='{long}'><div class=text><p>Page {i} says {i * 7} things</p></div><div class=end>Same end</div></div>") for i in range(30)]
+    got = {r.page_id: r.text for r in x.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"Page {i} says {i * 7} things" for i in range(30))
+
+
 def test_importance_equals_a_plain_count(spark):
     import math
     rows = [("h", "<div>" + "".join(f"<p>{w}</p>" for w in ws) + "</div>") for ws in (["a", "b"], ["a"], ["a", "c"], ["d", "e", "f"])]
