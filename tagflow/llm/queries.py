@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagflow.llm import (fingerprints, html_extract, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash,
+from tagflow.llm import (fingerprints, hmm_scoring, html_extract, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash,
                          token_scan)
 from tagflow.llm.oracle import ORACLES
 
@@ -73,8 +73,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scoring.score(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_document_fingerprints, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_sharding, op6_mixing_sources, op7_pii,
-    op8_best_fit_packing, op9_simhash_near_dedup, op10_html_extraction)}
+    op8_best_fit_packing, op9_simhash_near_dedup, op10_html_extraction, op13_lm_scoring)}
 
 __all__ = ["QUERIES", "ORACLES"]
