@@ -128,4 +128,55 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_sql(), "op5_sharding": SHARD_SQL, "op6_mixing_sources": MIX_SQL, "op7_pii": pii_sql()}
+def repair_sql() -> str:
+    """Cheapest edits and repaired lines from the end to the start, for the four states of the automaton (start, after s, after u, after a)."""
+    role = {2: "user", 3: "assistant"}
+    follows = {0: 2, 1: 2, 2: 3, 3: 2}
+    keep = {0: "CASE c WHEN 's' THEN 2 WHEN 'u' THEN 3 END", 1: "CASE c WHEN 'u' THEN 3 END", 2: "CASE c WHEN 'a' THEN 4 END", 3: "CASE c WHEN 'u' THEN 3 END"}
+    best = lambda *x: f"list_min(list_filter([{', '.join(x)}], lambda z: z IS NOT NULL))"
+    step = lambda cost, letter, line, to: f"{{'c': {cost} + ({to}).c, 'a': '{letter}' || ({to}).a, 't': {line} || ({to}).t}}"
+    own, stays = "chr(10) || role || ':' || text", "fault IN ('', 'truncated')"
+    passed = [best(step(4, "D", "''", f"v[{q + 1}]"),
+                   f"CASE WHEN {stays} AND ({keep[q]}) IS NOT NULL THEN {step('late', 'K', own, f'v[{keep[q]}]')} END",
+                   f"CASE WHEN {stays} THEN {step('3 + late', 'R', f"chr(10) || '{role[follows[q]]}:' || text", f'v[{follows[q] + 1}]')} END") for q in range(4)]
+    empty = lambda q: f"chr(10) || '{role[follows[q]]}:'"
+    put = lambda q: step(3, "I", empty(q), f"w[{follows[q] + 1}]")
+    closed = [best(f"w[{q + 1}]", put(q), step(3, "I", empty(q), f"({put(follows[q])})")) for q in range(4)]
+    end = ("[{'c': 0, 'a': '', 't': ''}, {'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}, "
+           "{'c': 3, 'a': 'I', 't': chr(10) || 'assistant:'}, {'c': 0, 'a': '', 't': ''}]")
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return rf"""WITH RECURSIVE
+ k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(key)} % 20 AS f FROM conversations),
+ d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+              unnest(CASE f WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE f <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[ 	-]+$', '') AS bare FROM d),
+ f AS (SELECT conv_id, i, role, text, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '' END AS c,
+              CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+ g AS (SELECT *, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS late, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM f),
+ s AS (SELECT conv_id, max(i) + 1 AS i, {end} AS v FROM g GROUP BY conv_id
+       UNION ALL
+       SELECT conv_id, i, [{', '.join(closed)}] FROM (
+         SELECT g.conv_id, g.i, [{', '.join(passed)}] AS w FROM s JOIN g ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.i - 1)),
+ a AS (SELECT conv_id, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+              count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+ t AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM d GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(t.gaps, 0) AS BIGINT) AS gaps, coalesce(a.blank, 0) AS blank, coalesce(a.duplicate, 0) AS duplicate, coalesce(a.truncated, 0) AS truncated,
+       coalesce(a.illegal, 0) AS illegal, CAST(coalesce(s.v[1].c, 0) AS BIGINT) AS cost, coalesce(s.v[1].a, '') AS audit, sha256(coalesce(substr(s.v[1].t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+     LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = 1"""
+
+
+NEGATIVES_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+       FROM e AS a, e WHERE a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+       QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_sql(), "op5_sharding": SHARD_SQL, "op6_mixing_sources": MIX_SQL, "op7_pii": pii_sql(), "op11_conversation_repair": repair_sql(), "op12_hard_negatives": NEGATIVES_SQL}
