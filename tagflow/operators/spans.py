@@ -64,7 +64,28 @@ def drop_invalid_label_docs(span_docs: DataFrame) -> DataFrame:
     return span_docs.where(~F.exists("spans", lambda s: ~valid_label(s["label"])))
 
 
-def section_union(sections: dict[str, DataFrame]) -> DataFrame:
-    """P5: UNION ALL by column name, in the given order, tagging each part with ``section``."""
-    parts = [df.withColumn("section", F.lit(name)) for name, df in sections.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def section_union(sections: dict, ids: str = "number", id_col: str = "doc_id") -> DataFrame:
+    """P5: UNION ALL by column name, in the given order, tagging each part with ``section`` (keys: section, or (split, section)).
+
+    Everything after this joins on ``id_col`` alone, so an id must mean one document over all parts.  ``ids="number"`` moves each part's ids
+    behind those of the parts before it (one small aggregate per part; parts numbered 0, 1, ... give 0, 1, ... over all) and
+    keeps the part's own in ``part_id``; ``ids="keep"`` leaves ids as they are.  An id that is null or stands in two documents raises.
+    """
+    if ids not in ("number", "keep"):
+        raise ValueError(f"ids: {ids!r}")
+    parts, first = [], 0
+    for name, df in sections.items():
+        split, section = name if isinstance(name, tuple) else (None, name)
+        if ids == "number":
+            least, most = df.agg(F.min(id_col), F.max(id_col)).first()
+            least = least or 0
+            df = df.withColumn("part_id", F.col(id_col)).withColumn(id_col, (F.col(id_col) - F.lit(least) + F.lit(first)).cast("long"))
+            first += most - least + 1 if most is not None else 0
+        if split is not None:
+            df = df.withColumn("split", F.lit(split))
+        parts.append(df.withColumn("section", F.lit(section)))
+    united = reduce(lambda a, b: a.unionByName(b), parts)
+    twice = united.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(5).collect()
+    if twice:
+        raise ValueError(f"{id_col} must be one document's own over all sections: {[r[0] for r in twice]}")
+    return united

@@ -61,6 +61,16 @@ def q_bio_tags(spark, sf_dir):
     return bio(spark, sf_dir)
 
 
+BY_DOC_SQL = """
+ SELECT doc_id, count(*) AS n_tokens, md5(string_agg({0}, chr(10) ORDER BY pos)) AS {1} FROM {2} GROUP BY doc_id"""
+
+
+@register("bio_tags_by_doc", oq.with_(oq.bio_ctes()) + BY_DOC_SQL.format("tok || ' ' || tag", "tags_md5", "bio"))
+def q_bio_tags_by_doc(spark, sf_dir):
+    """A1+A2: the flagship's rows as one digest per document."""
+    return tag_digest(bio(spark, sf_dir))
+
+
 @register("bio_tags_cut64", oq.with_(oq.bio_ctes(64)) + " SELECT * FROM bio")
 def q_bio_tags_cut64(spark, sf_dir):
     """A1+A2 with a 64-token cap: spans past or across the cut are dropped."""
@@ -158,7 +168,34 @@ def q_section_union(spark, sf_dir):
     """P5: judgement and preamble parts concatenated by column name."""
     d = fx.read_table(spark, sf_dir, "documents").select("doc_id", "lang", fx.split_of(F.col("doc_id")).alias("split"))
     parts = {"judgement": d.where(F.col("lang") == "en"), "preamble": d.where((F.col("lang") != "en") | F.col("lang").isNull())}
-    return sp.section_union(parts).select("doc_id", "split", "section")
+    return sp.section_union(parts, ids="keep").select("doc_id", "split", "section")
+
+
+def tag_digest(tagged, *more):
+    """One row per document: tokens, and the MD5 of its ``tok tag`` lines in order."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok", "tag"))), lambda x: F.concat_ws(" ", x["tok"], x["tag"]))
+    return tagged.groupBy(*more, "doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.md5(F.array_join(lines, "\n")).alias("tags_md5"))
+
+
+@register("section_bio_tags", oq.with_(oq.section_ctes()) + """
+ SELECT split, section, n AS doc_id, doc_id AS part_id, n_tokens, tags_md5 FROM (
+  SELECT num.split, num.section, num.n, num.part_id AS doc_id, count(*) AS n_tokens, md5(string_agg(bio.tok || ' ' || bio.tag, chr(10) ORDER BY pos)) AS tags_md5
+  FROM bio JOIN num USING (doc_id) GROUP BY ALL)""")
+def q_section_bio_tags(spark, sf_dir):
+    """S1+P4+P5+A2: four annotation file sets {train, dev} x {judgement, preamble} written, read, united, cleaned and aligned; a digest per document."""
+    united = ann.read_sections(spark, fx.annotation_sections(spark, sf_dir))
+    tags = align.align(sp.drop_invalid_label_docs(united).select("doc_id", "text", "spans"))
+    return united.select("split", "section", "doc_id", "part_id").join(tag_digest(tags), "doc_id").select("split", "section", "doc_id", "part_id", "n_tokens", "tags_md5")
+
+
+@register("legacy_sections", oq.with_(oq.fa_spans_ctes(), oq.section_numbers()) + """
+ SELECT num.split, num.section, num.n AS doc_id, j, text, label FROM spans JOIN num USING (doc_id)""")
+def q_legacy_sections(spark, sf_dir):
+    """S3+P5: four sets of legacy CSV files whose indexes all start at 0, read and united; the spans of each document."""
+    paths = fx.legacy_sections(spark, sf_dir)
+    united = sp.section_union({k: ann.read_legacy_spans(spark, p) for k, p in paths.items()})
+    return sp.span_rows(united).join(united.select("doc_id", "split", "section"), "doc_id").select(
+        "split", "section", "doc_id", F.col("j").cast("int").alias("j"), "text", "label")
 
 
 @register("legacy_list_parse", oq.with_(oq.fa_spans_ctes()) + " SELECT doc_id, j, text, label FROM spans")
@@ -369,6 +406,30 @@ def q_label_encode(spark, sf_dir):
     return vo.label_encode(b).select("doc_id", "pos", "tag", "label_id")
 
 
+def line_digest(df, name, *cols):
+    """One row per document: rows, and the MD5 of their lines in order of position."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", *cols))), lambda x: F.concat_ws(" ", *[x[c].cast("string") for c in cols]))
+    return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.md5(F.array_join(lines, "\n")).alias(name))
+
+
+@register("label_encode_by_doc", oq.with_(oq.bio_ctes()) + BY_DOC_SQL.format("tag || ' ' || tag_id", "labels_md5", "bio"))
+def q_label_encode_by_doc(spark, sf_dir):
+    """V6: the strict lookup's rows as one digest per document."""
+    b = bio(spark, sf_dir).select("doc_id", "pos", "tag")
+    return line_digest(vo.label_encode(b), "labels_md5", "tag", "label_id")
+
+
+LABEL_ROWS = ", ".join(f"({i}, '{n}')" for n, i in sorted(label_to_id().items(), key=lambda kv: kv[1]))
+
+
+@register("tag_decode_by_doc", oq.with_(oq.fb_ctes()) + ", lab AS (SELECT * FROM (VALUES " + LABEL_ROWS + """) v(id, name)),
+ dec AS (SELECT doc_id, pos, pred_id, name FROM pred JOIN lab ON pred.pred_id = lab.id)""" + BY_DOC_SQL.format("pred_id || ' ' || name", "tags_md5", "dec"))
+def q_tag_decode_by_doc(spark, sf_dir):
+    """The decoded rows as one digest per document."""
+    decoded = vo.tag_decode(fb(spark, sf_dir).select("doc_id", "pos", F.col("pred_id").alias("tag_id")))
+    return line_digest(decoded, "tags_md5", "tag_id", "tag")
+
+
 @register("tag_decode", oq.with_(oq.fb_ctes()) + ", lab AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{n}')" for n, i in sorted(label_to_id().items(),
                                        key=lambda kv: kv[1])) + """) v(id, name))

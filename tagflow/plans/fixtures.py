@@ -105,6 +105,37 @@ def annotation_files(spark: SparkSession, sf_dir: str, ids: str = "none") -> str
     return path
 
 
+SECTIONS = [("train", "judgement"), ("train", "preamble"), ("dev", "judgement"), ("dev", "preamble")]
+
+
+def section_of(lang: F.Column) -> F.Column:
+    return F.when(lang == "en", F.lit("judgement")).otherwise(F.lit("preamble"))
+
+
+def by_section(spark: SparkSession, sf_dir: str, name: str, made) -> dict[tuple[str, str], str]:
+    """Writes ``made(documents of a section)``, sorted by doc_id, to a folder for each of the four sections; returns their paths."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", split_of(F.col("doc_id")).alias("split"), section_of(F.col("lang")).alias("section"))
+    paths = {}
+    for split, section in SECTIONS:
+        paths[split, section] = scratch(spark, f"{name}-{split}-{section}")
+        part = docs.where((F.col("split") == split) & (F.col("section") == section)).select("doc_id", "text")
+        made(span_docs(part), paths[split, section])
+    return paths
+
+
+def annotation_sections(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], str]:
+    """F-C as four sets of JSON-lines files, records without ids."""
+    return by_section(spark, sf_dir, "section", lambda df, path: raw_annotation_json(df, "none").orderBy("doc_id").select("json").write.text(path))
+
+
+def legacy_sections(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], str]:
+    """F-A as four sets of legacy CSV files, each with its own index from 0 in every file."""
+    def write(df, path):
+        cells = legacy_cells(df).orderBy("doc_id").select((F.monotonically_increasing_id() % (1 << 33)).alias("_c0"), "overall_text", "start", "end", "text", "label")
+        cells.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return by_section(spark, sf_dir, "legacy", write)
+
+
 def legacy_cells(span_docs_df: DataFrame) -> DataFrame:
     """Legacy CSV form: list literals per column (JSON arrays are valid list literals)."""
     def lit_list(field, as_str=False):

@@ -45,9 +45,8 @@ c AS (SELECT e.doc_id, j, label, n, pos - k AS s FROM e JOIN t ON e.doc_id = t.d
 f AS MATERIALIZED (SELECT doc_id, j, label, n, CAST(min(s) AS INT) AS s FROM c GROUP BY doc_id, j, label, n)"""
 
 
-def bio_ctes(max_len: int | None = None) -> str:
-    """F-A spans aligned on documents: bio(doc_id, pos, tok, tag, tag_id)."""
-    return ",".join([fa_spans_ctes(), tokens_ctes(max_len), entity_ctes(), locate_ctes(), f"""
+def bio_rows() -> list[str]:
+    return [f"""
 p AS (SELECT doc_id, j, label, s, unnest(range(s, s + n)) AS pos FROM f),
 g AS MATERIALIZED (SELECT doc_id, pos,
         arg_max(CASE WHEN pos = s THEN 'B-' ELSE 'I-' END || label, j) AS tag,
@@ -55,7 +54,12 @@ g AS MATERIALIZED (SELECT doc_id, pos,
       FROM p GROUP BY doc_id, pos),
 bio AS (SELECT t.doc_id, CAST(t.pos AS INT) AS pos, t.tok, coalesce(g.tag, 'O') AS tag,
           CAST(coalesce(g.tag_id, 0) AS INT) AS tag_id
-        FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.pos = g.pos)"""])
+        FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.pos = g.pos)"""]
+
+
+def bio_ctes(max_len: int | None = None) -> str:
+    """F-A spans aligned on documents: bio(doc_id, pos, tok, tag, tag_id)."""
+    return ",".join([fa_spans_ctes(), tokens_ctes(max_len), entity_ctes(), locate_ctes(), *bio_rows()])
 
 
 def with_(*ctes: str) -> str:
@@ -70,6 +74,21 @@ fc AS (SELECT doc_id, j, text,
        FROM spans WHERE doc_id % 17 <> 0)"""
 
 
+def section_numbers() -> str:
+    """num(doc_id, split, section, n, part_id): numbers over all sections and within each."""
+    return """
+parts AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split, CASE WHEN lang = 'en' THEN 'judgement' ELSE 'preamble' END AS section FROM documents),
+num AS (SELECT *, row_number() OVER (ORDER BY split DESC, section, doc_id) - 1 AS n, row_number() OVER (PARTITION BY split, section ORDER BY doc_id) - 1 AS part_id FROM parts)"""
+
+
+def section_ctes() -> str:
+    """bio of the documents that pass P4 under F-C spans, and their numbers over the sections."""
+    spans = fa_spans_ctes().replace("spans AS", "own AS", 1) + """,
+spans AS (SELECT * FROM own WHERE doc_id % 17 <> 0),
+kept AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM spans WHERE doc_id % 29 = 0))"""
+    return ",".join([spans, section_numbers(), tokens_ctes(src="kept"), entity_ctes(), locate_ctes(), *bio_rows()])
+
+
 PRED_SQL = """CAST(CASE WHEN (doc_id*31 + pos) % 7 = 0 THEN (tag_id + 1) % 29
                   WHEN (doc_id + pos) % 13 = 0 THEN 0 ELSE tag_id END AS INT)"""
 
