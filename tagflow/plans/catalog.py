@@ -16,6 +16,7 @@ from tagflow.functions import text as tx
 from tagflow.operators import align
 from tagflow.operators import batches as ba
 from tagflow.operators import crf
+from tagflow.operators import crf_blocks
 from tagflow.operators import features as fe
 from tagflow.operators import heads as hd
 from tagflow.operators import metrics as me
@@ -618,7 +619,7 @@ CHAIN64 = EM64 + """,
  sq AS MATERIALIZED (SELECT doc_id, list(em ORDER BY pos) AS ems FROM em GROUP BY doc_id)"""
 
 
-@register("crf_loglik", oq.with_(oq.features_ctes()) + CHAIN64 + """,
+LOGLIK_SQL = oq.with_(oq.features_ctes()) + CHAIN64 + """,
  sc AS (SELECT doc_id, list_transform(ems, lambda e: list_transform(e, lambda x: CAST(x AS DOUBLE) / 64)) AS ems,
                list_transform(st, lambda x: x / 64) AS st, list_transform(en, lambda x: x / 64) AS en FROM sq, tr),
  z AS (SELECT doc_id, en, list_reduce(list_prepend(list_append(list_transform(range(1, 31), lambda j: exp(st[j] + ems[1][j])), 0.0), ems[2:]),
@@ -628,17 +629,23 @@ CHAIN64 = EM64 + """,
                                  + CASE WHEN behind IS NULL THEN ((29 - tag_id) % 5 - 2) * 16 ELSE 0 END) / 64 AS s
           FROM lab JOIN em USING (doc_id, pos) GROUP BY lab.doc_id)
  SELECT doc_id, round(s - a[31] - ln(list_sum(list_transform(range(1, 31), lambda j: a[j] * exp(en[j])))), 6) AS loglik
- FROM z JOIN gold USING (doc_id)""")
+ FROM z JOIN gold USING (doc_id)"""
+
+
+@register("crf_loglik", LOGLIK_SQL)
 def q_crf_loglik(spark, sf_dir):
     """M2: log-likelihood of the gold tags of every document under F-G weights and fixed transitions."""
     seqs, score = _synthetic_sequences(spark, sf_dir)
     return crf.loglik(seqs, score, crf.synthetic_chain()).select("doc_id", F.round("loglik", 6).alias("loglik"))
 
 
-@register("crf_decode", oq.with_(oq.features_ctes()) + CHAIN64 + """,
+DECODE_SQL = oq.with_(oq.features_ctes()) + CHAIN64 + """,
  z AS (SELECT doc_id, len(ems) AS n, en, list_reduce(list_prepend(list_transform(range(1, 31), lambda j: st[j] + ems[1][j]), ems[2:]),
           """ + oq.chain_sql(True) + """) AS a FROM sq, tr)
- SELECT doc_id, CAST(n AS INT) AS n_tokens, CAST(list_max(list_transform(range(1, 31), lambda j: a[j] + en[j])) AS BIGINT) AS score64 FROM z""")
+ SELECT doc_id, CAST(n AS INT) AS n_tokens, CAST(list_max(list_transform(range(1, 31), lambda j: a[j] + en[j])) AS BIGINT) AS score64 FROM z"""
+
+
+@register("crf_decode", DECODE_SQL)
 def q_crf_decode(spark, sf_dir):
     """M4+M5: Viterbi path of every document; its length and its score along the path (times 64), which is the best score if the path is right."""
     seqs, score = _synthetic_sequences(spark, sf_dir, None)
@@ -646,6 +653,21 @@ def q_crf_decode(spark, sf_dir):
     return paths.select("doc_id", F.size("path").cast("int").alias("n_tokens"), (F.col("score") * 64).cast("long").alias("score64"))
 
 
+@register("crf_loglik_blocked", LOGLIK_SQL)
+def q_crf_loglik_blocked(spark, sf_dir):
+    """M2 with documents cut into blocks of 256 tokens, linked by a scan over their log-sum matrices."""
+    tokens, fd = encoded_tokens(spark, sf_dir)
+    return crf_blocks.loglik(tokens, crf.synthetic_weights(fd), crf.synthetic_chain(), 256).select("doc_id", F.round("loglik", 6).alias("loglik"))
+
+
+@register("crf_decode_blocked", DECODE_SQL)
+def q_crf_decode_blocked(spark, sf_dir):
+    """M4+M5 with documents cut into blocks of 256 tokens, linked by a scan over their max-plus matrices."""
+    tokens, fd = encoded_tokens(spark, sf_dir)
+    parts = crf_blocks.decode(tokens, crf.synthetic_weights(fd), crf.synthetic_chain(), 256)
+    return parts.groupBy("doc_id").agg(F.sum(F.size("path")).cast("int").alias("n_tokens"), (F.sum("score") * 64).cast("long").alias("score64"))
+
+
 @register("crf_fit_step", oq.with_(oq.features_ctes()) + """,
  x AS (SELECT coalesce(d.feature_id, 1) AS feature_id, ft.tag_id, count(*) AS c FROM fl JOIN ft USING (doc_id, pos)
        LEFT JOIN fdict d ON fl.feature = d.feature WHERE fl.split = 'train' GROUP BY 1, 2),
@@ -665,7 +687,7 @@ def q_crf_fit_step(spark, sf_dir):
 
 @register("crf_fit")
 def q_crf_fit(spark, sf_dir):
-    """M3+M6+M7+S8: 5 epochs of SGD (batch 64, lr 0.05) on the train split, the best model kept; per-epoch loss and dev F1."""
+    """M3+M6+M7+S8: 5 epochs of SGD (batch 64, lr 0.05) on the train split, the best model kept; per-epoch training loss, dev loss and dev F1."""
     tokens, _ = encoded_tokens(spark, sf_dir)
     path = scratch(spark, "encoded-tokens")
     tokens.write.partitionBy("split").parquet(path)

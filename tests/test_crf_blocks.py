@@ -1,0 +1,78 @@
+"""Blocked forward-backward and Viterbi against the whole sequence."""
+import numpy as np
+import pytest
+
+from tagflow.operators import crf
+from tagflow.operators import crf_blocks as cb
+
+T = 5
+SCHEMA = "doc_id long, pos int, fids array<long>, tag_id int"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    draw = np.random.default_rng(1)
+    w = draw.normal(size=(40, T))
+    weights = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(w)], "feature_id long, w array<double>").cache()
+    return weights, crf.ChainParams(T, draw.normal(size=(T, T)), draw.normal(size=T), draw.normal(size=T))
+
+
+@pytest.fixture(scope="module")
+def tokens(spark):
+    draw = np.random.default_rng(2)
+    rows = [(d, p, [int(x) for x in draw.integers(0, 40, 2)], int(draw.integers(0, T))) for d, n in enumerate((1, 6, 7, 8, 14, 63, 64, 65, 200)) for p in range(n)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def whole(tokens, model):
+    weights, params = model
+    score = crf.scorer(weights, T)
+    seqs = crf.sequences(tokens, weights, score)
+    ll = {r.doc_id: r.loglik for r in crf.loglik(seqs, score, params).collect()}
+    paths = {r.doc_id: list(r.path) for r in crf.decode(seqs, score, params).collect()}
+    return ll, paths, {r.doc_id: score.rows(r.xs) for r in seqs.collect()}
+
+
+@pytest.mark.parametrize("block,guard", [(7, 1 << 28), (64, 1 << 28), (1_000_000, 1 << 28), (1, 1 << 28), (64, 0)])
+def test_blocks_give_the_whole_sequences_results(tokens, model, whole, block, guard):
+    weights, params = model
+    ll, paths, _ = whole
+    got = {r.doc_id: r.loglik for r in cb.loglik(tokens, weights, params, block, guard).collect()}
+    assert got.keys() == ll.keys() and all(abs(got[d] - ll[d]) < 1e-9 for d in ll)
+    best = {}
+    for r in cb.predict(tokens, weights, params, block, guard).collect():
+        best.setdefault(r.doc_id, {})[r.pos] = r.pred_id
+    assert {d: [best[d][p] for p in sorted(best[d])] for d in best} == paths
+
+
+def test_ties_go_to_the_first_tag(spark):
+    weights = spark.createDataFrame([(0, [0.0] * T)], "feature_id long, w array<double>")
+    rows = spark.createDataFrame([(1, p, [0], 0) for p in range(20)], SCHEMA)
+    draw = np.random.default_rng(5)
+    params = crf.ChainParams(T, draw.integers(0, 2, (T, T)) / 2.0, np.zeros(T), np.zeros(T))
+    score = crf.scorer(weights, T)
+    want = list(crf.decode(crf.sequences(rows, weights, score), score, params).first().path)
+    for block in (3, 7, 10):
+        got = [r.pred_id for r in cb.predict(rows, weights, params, block).orderBy("pos").collect()]
+        assert got == want
+
+
+@pytest.mark.parametrize("block", [7, 64, 1_000_000])
+def test_marginals_are_the_gradient_of_log_z(tokens, model, whole, block):
+    weights, params = model
+    got = {(r.doc_id, r.pos): np.array(r.p) for r in cb.marginals(tokens, weights, params, block).collect()}
+    for d, em in whole[2].items():
+        y = np.zeros(len(em), np.int64)
+        g = crf.batched_loglik_grad([em], [y], params.trans, params.start, params.end)[0][1]
+        g[np.arange(len(em)), y] += 1.0
+        assert np.allclose([got[d, p] for p in range(len(em))], g, atol=1e-9)
+
+
+def test_score_parts_add_up(tokens, model, whole):
+    weights, params = model
+    parts = cb.decode(tokens, weights, params, 10).groupBy("doc_id").sum("score").collect()
+    for r in parts:
+        em, p = whole[2][r.doc_id], whole[1][r.doc_id]
+        s = params.start[p[0]] + params.end[p[-1]] + sum(em[i, x] for i, x in enumerate(p)) + sum(params.trans[a, b] for a, b in zip(p, p[1:]))
+        assert abs(s - r["sum(score)"]) < 1e-9
