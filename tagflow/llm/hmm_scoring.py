@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tagflow.llm.common import prepared, written
-from tagflow.llm.tokens import text_groups
+from tagflow.llm.tokens import text_groups, whole
 
 STATES, ROUNDS, COMMON, TAILS, BLOCK, SEED = 8, 3, 32768, 512, 256, 42
 #: Blocks worked on together, distinct words counted together, and the weight of the corpus distribution in each state.
@@ -43,8 +43,7 @@ def held_out(doc_id):
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(all words in a row, offsets with one entry more than texts)."""
-    whole = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))  # ascii_lower needs an array that is no slice
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(whole(texts)))
     words, bounds = parts.flatten(), np.asarray(parts.offsets).astype(np.int64)
     real = np.asarray(pc.greater(pc.binary_length(words), 0))  # white space at the ends gives empty parts
     before = np.concatenate(([0], np.cumsum(real)))

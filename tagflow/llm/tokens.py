@@ -117,6 +117,11 @@ class ChunkEncoder:
         return self.ids[where], at[2 * (bounds - bounds[0])]
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """The texts as an array of its own, no slice (which some ASCII kernels misread), null as empty."""
+    return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+
+
 def text_groups(texts: pa.Array, most: int = 8_000_000):
     """Slices (lo, hi) of a batch with at most ``most`` bytes of text, or one text."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
