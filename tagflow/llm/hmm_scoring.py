@@ -151,7 +151,7 @@ def encoded(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col
                 out[np.arange(len(classes)) + doc] = classes
                 bounds = at + np.arange(docs_n + 1)
                 often = classes < first
-                per = lambda v, d: np.bincount(d, weights=v, minlength=docs_n)
+                per = lambda v, d: np.bincount(d, weights=v, minlength=docs_n).astype(float)  # noqa: E731  (whole numbers where d is empty)
                 common_log = per(log_c[classes[often]], doc[often]) + log_c[end]
                 common_known = per(seen[classes[often]], doc[often]).astype(np.int64) + seen[end]
                 rest_log = per(log_class[classes[~often] - first], doc[~often])
