@@ -106,3 +106,104 @@ def test_edges(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 5
     assert {(r.page_id, r.n_chars) for r in got.collect()} == {(1, 0), (None, 1), (2, 0), (3, 999999)}
     assert x.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_near_copies_of_an_article_keep_their_text(spark):
+    common = "".join(f"<p>Paragraph {k} of the release notes that all eight share.</p>" for k in range(30))
+    rows = [(i, "http://n.example/", f"<nav>n</nav><article><h1>Release {i}</h1>{common}<p>Only number {i} has this.</p></article>") for i in range(8)]
+    rows += [(100 + i, "http://m.example/", f"<article><h1>Release {i}</h1>{common}<p>Only number {i} has this.</p></article>") for i in range(300)]
+    for r in x.main_text(spark.createDataFrame(rows, PAGES)).collect():
+        i = r.page_id % 100 if r.page_id < 100 else r.page_id - 100
+        assert r.text.split("\n") == [f"Release {i}", *[f"Paragraph {k} of the release notes that all eight share." for k in range(30)], f"Only number {i} has this."]
+
+
+@pytest.mark.parametrize("name", ["social-history", "related-work", "side-effects", "price-side", "header-image-credits", "commented", "navigator", "adrift", "notice-of-appeal"])
+def test_a_name_among_others_is_no_verdict(name):
+    assert x.extract(f"<article><p>a</p><div class='{name}'><p>b</p></div><p class='{name}'>c</p><p>d <span id='{name}'>e</span></p></article>", set()) == "a\nb\nc\nd e"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-header", "main-nav", "share-buttons", "adBanner", "ad-slot-3", "cookie_notice", "commentList", "relatedPosts", "ads x"])
+def test_names_of_parts_that_are_no_content(name):
+    assert x.extract(f"<main><p>a</p><div class='{name}'><p>b</p></div></main>", set()) == "a"
+
+
+def test_a_hint_is_confirmed_by_the_site(spark):
+    rows = [(i, "http://s.example/", f"<article><p>Text number {i}.</p><p>More of it, {i * 3}.</p><div class='related-reading'><p>{'See also our guide' if i % 3 else f'On topic {i}'}</p></div></article>") for i in range(60)]
+    got = {r.page_id: r.text for r in x.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[1] == "Text number 1.\nMore of it, 3." and got[3] == "Text number 3.\nMore of it, 9.\nOn topic 3"
+
+
+@pytest.mark.parametrize("markup", ["<a " * 340_000, "<a " * 340_000 + ">", "<div></span>" * 87_000, "<span><article>" + "<div>" * 40_000 + "</span>" * 110_000, "<a x='\"b>" * 110_000,
+                                    "<" * 1_000_000, "<!--" * 250_000, "<title>" * 140_000, "&" * 1_000_000])
+def test_broken_markup_of_a_megabyte_is_read_in_seconds(markup):
+    import time
+    began = time.process_time()
+    x.extract(markup, set())
+    assert time.process_time() - began < 5
+
+
+def site(draw, pages):
+    """Well-formed pages of one host without article tags: a menu, own and shared paragraphs, a box on some pages, now and then a copy."""
+    out = []
+    for i in range(pages):
+        own = "".join(f"<p>Own text {i} {k} {draw.random():.6f}</p>" for k in range(draw.randint(1, 3)))
+        often = "".join(f"<p>Often said {k}</p>" for k in range(4) if draw.random() < [0.9, 0.5, 0.1, 0.02][k])
+        box = "<div class='box'><h2>About us</h2><p>We sell ships.</p></div>" if draw.random() < 0.6 else ""
+        out.append(f"<html><body><div class='top'><p>Home</p><p>Shop</p></div><div class='text'>{own}{often}</div>{box}<div class='end'>The end</div></body></html>")
+        if draw.random() < 0.2:
+            out.append(out[-1])
+    return out
+
+
+def test_style_tree_against_a_plain_one(spark):
+    """Counts, importance and verdicts of every block by plain Python over ElementTree."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+    from xml.etree import ElementTree
+
+    def walk(node, path, out, kids):
+        path += (node.tag + ("." + node.attrib["class"] if "class" in node.attrib else ""),)
+        if len(node):
+            kids.append((path, tuple(c.tag for c in node)))
+        if (node.text or "").strip():
+            out.append((path, node.text.strip()))
+        for c in node:
+            walk(c, path, out, kids)
+
+    for seed in (1, 2, 3):
+        pages = site(random.Random(seed), 50)
+        texts, styles = [], []
+        for p in pages:
+            out, kids = [], []
+            walk(ElementTree.fromstring(p), (), out, kids)
+            texts.append(tuple(out)), styles.append(tuple(kids))
+        units = {tuple(b for _, b in t): (set(t), set(s)) for t, s in zip(texts, styles)}
+        c, n, m, at = Counter(), Counter(), Counter(), defaultdict(list)
+        for blocks, kids in units.values():
+            c.update(blocks), n.update(kids)
+            m.update({p for p, _ in blocks} | {p for p, _ in kids})
+        for (p, t), k in c.items():
+            at[p].append(k)
+        seqs = defaultdict(list)
+        for (p, s), k in n.items():
+            seqs[p].append(k)
+
+        def low(p, t):
+            if c[p, t] < x.MIN_PAGES:
+                return False
+            own = 1 - math.log(c[p, t]) / math.log(m[p])
+            content = 1 - sum(map(math.log, at[p])) / len(at[p]) / math.log(m[p])
+            if seqs[p]:
+                total = sum(seqs[p])
+                content = (content - sum(k / total * math.log(k / total) for k in seqs[p]) / math.log(m[p])) / 2
+            return x.OWN * own + (1 - x.OWN) * content < x.LEAST_IMPORTANCE
+
+        rows = [(i, "http://one.example/", p) for i, p in enumerate(pages)]
+        got = {r.page_id: r.text for r in x.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+        removed = 0
+        for i, t in enumerate(texts):
+            left = [b for p, b in t if not low(p, b)]
+            removed += len(t) - len(left)
+            assert got[i] == "\n".join(left or [b for _, b in t])
+        assert removed > 100
