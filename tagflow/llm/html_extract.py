@@ -314,7 +314,7 @@ def page_table(pages: DataFrame) -> DataFrame:
                     hashes = [digest(t) for t, _, _ in blocks]
                     texts.append([t for t, _, _ in blocks])
                     leaf.append([{"path": p, "h": h, "hint": s} for (_, p, s), h in zip(blocks, hashes)])
-                    style.append([{"path": p, "h": h} for p, h in styles])
+                    style.append([{"path": p, "h": h} for p, h in sorted(set(styles))])
                     unit.append(digest("\n".join(texts[-1])))
                     bounded.append(inside)
                     sketches.append(sketch(set(hashes)))
@@ -336,7 +336,7 @@ def style_trees(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     (host, path, pages, content, presentation) of the paths, and (host, path, h, c, kinds, hint, bounded) of the blocks that stand more than once."""
     keys = [f"k{k}" for k in range(HASHES)]
     leaf = units.select("host", "unit", "bounded", *keys, F.explode(F.array_distinct("leaves")).alias("x")).select("host", "unit", "bounded", *keys, "x.*")
-    style = units.select("host", "unit", F.explode(F.array_distinct("styles")).alias("x")).select("host", "unit", "x.*")
+    style = units.select("host", "unit", F.explode("styles").alias("x")).select("host", "unit", "x.*")
     blocks = leaf.groupBy("host", "path", "h").agg(F.count_distinct("unit").cast("double").alias("c"), F.greatest(*[F.approx_count_distinct(k) for k in keys]).alias("kinds"),
                                                    F.bool_or("hint").alias("hint"), F.bool_or("bounded").alias("bounded"))
     paths = leaf.select("host", "path", "unit").unionByName(style.select("host", "path", "unit")).distinct().groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("pages"))
@@ -381,7 +381,7 @@ def host_of(url):
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page; each page is parsed once."""
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    table = written(page_table(own), "site-pages")
+    table = written(page_table(own), "site-pages", "zstd")
     low = low_blocks(distinct_texts(table))
     # each page's own blocks meet the host's low ones row by row, so that a page's list is as long as the page and no host has one
     found = table.select("row", "host", F.posexplode("leaves").alias("i", "x")).select("row", "host", "i", "x.path", "x.h").join(low, ["host", "path", "h"])

@@ -104,14 +104,12 @@ def pii_sql(window: int = 5, alpha: float = 1.5, min_docs: int = 2) -> str:
  b AS MATERIALIZED (SELECT doc_id, kind, m, s, s + length(m) AS f FROM loc WHERE kind = 0
         OR kind = 1 AND len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0
         OR kind = 2 AND length(digits) BETWEEN 12 AND 19 AND {luhn} OR kind = 3 AND length(digits) BETWEEN 9 AND 15),
- ctx AS (SELECT doc_id, kind || ':' || lower(m) AS e, s AS lo, f AS hi, substr(text, greatest(s - {pii.REACH}, 0) + 1, s - greatest(s - {pii.REACH}, 0)) AS x,
-                substr(text, f + 1, {pii.REACH}) AS n FROM b JOIN d USING (doc_id)),
+ ctx AS (SELECT doc_id, kind || ':' || lower(m) AS e, s AS lo, f AS hi, substr(text, 1, s) AS x, substr(text, f + 1) AS n FROM b JOIN d USING (doc_id)),
  sides AS ({near("l", "x")} UNION ALL {near("r", "n")}),
  pos AS (SELECT *, CAST(sum(length(gap) + length(t)) OVER (PARTITION BY doc_id, e, lo, side ORDER BY i) - length(t) AS BIGINT) AS p FROM sides),
- whole AS (SELECT *, p + length(t) AS q FROM pos WHERE side = 'l' AND (lo - {pii.REACH} <= 0 OR p >= length(regexp_extract(x, '^[\p{{L}}\p{{M}}''’]*'))) OR side = 'r' AND p + length(t) < {pii.REACH}),
+ whole AS (SELECT *, p + length(t) AS q FROM pos),
  best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, e, lo, side ORDER BY CASE WHEN side = 'l' THEN -p ELSE p END) AS k FROM whole),
- nb AS MATERIALIZED (SELECT doc_id, e, lower(t) AS t, CASE WHEN side = 'l' THEN greatest(lo - {pii.REACH}, 0) + p ELSE hi + p END AS s,
-                            CASE WHEN side = 'l' THEN greatest(lo - {pii.REACH}, 0) + q ELSE hi + q END AS f FROM best WHERE k <= {window}),
+ nb AS MATERIALIZED (SELECT doc_id, e, lower(t) AS t, CASE WHEN side = 'l' THEN p ELSE hi + p END AS s, CASE WHEN side = 'l' THEN q ELSE hi + q END AS f FROM best WHERE k <= {window}),
  clear AS (SELECT * FROM nb WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = nb.doc_id AND b.s < nb.f AND b.f > nb.s)),
  net AS (SELECT e, t, count(DISTINCT doc_id) AS n_et FROM clear GROUP BY e, t HAVING count(DISTINCT doc_id) >= {min_docs}),
  ne AS (SELECT kind || ':' || lower(m) AS e, count(DISTINCT doc_id) AS n_e FROM b GROUP BY 1),
@@ -149,7 +147,8 @@ def repair_sql() -> str:
  k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(key)} % 20 AS f FROM conversations),
  d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
               unnest(CASE f WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE f <> 0),
- o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[ 	-]+$', '') AS bare FROM d),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[ 	-
+]+$', '') AS bare FROM d),
  f AS (SELECT conv_id, i, role, text, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '' END AS c,
               CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
                    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),

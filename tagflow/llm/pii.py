@@ -8,6 +8,10 @@ how strongly t reveals e, and IC(e) = log2(N / n(e)) is all there is to reveal.
 placeholder when PMI >= IC / ``alpha``.  The window is counted in words, however long they are or far apart.  ``detect`` marks the
 term's occurrences within the window of that entity; ``sanitise`` redacts it wherever it stands in the documents that hold the entity.
 
+The patterns run once over each text.  The words of a text that holds a match become rows with their places; words, matches and
+their ends are sorted together, and running counts and maxima give each match its neighbours and each word the matches over it, so work
+grows with words and matches (times a logarithm), never with their product.
+
 Only DataFrame functions are used.  Spans are in code points, end exclusive.  Defined cases: null text counts as empty
 and has no spans; null ids are kept; repeated rows count as documents each and get the same spans; overlapping
 spans of different kinds are all reported, and redacted as one; an empty table gives no rows.
@@ -15,7 +19,7 @@ spans of different kinds are all reported, and redacted as one; an empty table g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagflow.llm.common import let, written
@@ -32,8 +36,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}[\p{L}\p{M}'’]*+"
-SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
-REACH = 80
+TERMS = "array<struct<start:bigint,end:bigint,removed:boolean>>"
+#: Code points that a piece of a text is cut from, so that a cut doesn't walk from the text's start.
+CHUNK = 1024
 
 
 def digits_of(m: Column) -> Column:
@@ -107,42 +112,54 @@ def entities(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def beside(text: Column, base: Column, window: int) -> Column:
-    """For each base match, the terms within ``window`` words: array of (entity hash, term hash, start, end).
+def words_at(mentions: DataFrame) -> DataFrame:
+    """(row, k, start, end, m): the terms of each text in order, with their places."""
+    size = lambda z: F.struct(F.length(F.coalesce(z["g"], F.lit(""))).cast("long").alias("g"), z["m"].alias("m"))
+    pieces = F.transform(F.arrays_zip(F.split("text", TERM, -1).alias("g"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m")), size)
+    each = mentions.select("row", F.posexplode(pieces).alias("k", "x"))
+    end = F.sum(F.col("x.g") + F.coalesce(F.length("x.m"), F.lit(0))).over(Window.partitionBy("row").orderBy("k"))
+    return each.select("row", F.col("k").cast("long").alias("k"), end.alias("end"), F.col("x.m").alias("m")).where(F.col("m").isNotNull()).select(
+        "row", "k", (F.col("end") - F.length("m")).alias("start"), "end", "m")
 
-    ``REACH`` code points on each side are searched first, and more only where they hold fewer words than the window.
-    """
-    size = F.length(text).cast("long")
-    state = "struct<done:boolean,terms:array<struct<e:bigint,t:bigint,start:bigint,end:bigint>>>"
-    none = F.struct(F.lit(False).alias("done"), F.array().alias("terms")).cast(state)
-    reaches = F.array(*[F.lit(REACH * 16 ** k).cast("long") for k in range(3)], size)
 
-    def widened(search):
-        """Terms of the first reach that holds enough of them or all of the side."""
-        return F.aggregate(reaches, none, lambda s, r: F.when(s["done"], s).otherwise(search(r).cast(state)), lambda s: s["terms"])
+def matches_at(mentions: DataFrame) -> DataFrame:
+    """(row, j, start, end, e): the base matches of each text; e names the entity."""
+    each = mentions.select("row", F.posexplode("base").alias("j", "b"))
+    return each.select("row", "j", "b.start", "b.end", F.xxhash64("b.kind", F.lower("b.m")).alias("e"))
 
-    def near(e):
-        put = lambda a, at: F.transform(a, lambda x: F.struct(
-            F.xxhash64(e["kind"], F.lower(e["m"])).alias("e"), F.xxhash64(F.lower(x["m"])).alias("t"),
-            (x["start"] + at).alias("start"), (x["end"] + at).alias("end")))
-        result = lambda a, all_, kept: F.struct((all_ | (F.size(a) >= window)).alias("done"), kept.alias("terms"))
 
-        def before(r):
-            lo = F.greatest(e["start"] - r, F.lit(0).cast("long"))
-            left = F.substring(text, (lo + 1).cast("int"), (e["start"] - lo).cast("int"))
-            cut = F.when(lo > 0, F.length(F.regexp_extract(left, r"^[\p{L}\p{M}'’]*", 0))).otherwise(0)  # a word cut by the reach
-            return let(F.filter(found(left, TERM), lambda x: x["start"] >= cut), lambda a: result(
-                a, lo == 0, put(F.slice(a, F.greatest(F.size(a) - window + 1, F.lit(1)), window), lo)))
+def clear_of(spans: DataFrame, matches: DataFrame) -> DataFrame:
+    """The rows of ``spans`` (row, start, end, ...) that no base match overlaps: among matches that begin before a span's end, none ends behind its start."""
+    both = spans.withColumn("_at", F.col("end")).withColumn("_base", F.lit(0)).unionByName(
+        matches.select("row", F.col("start").alias("_at"), F.lit(1).alias("_base"), F.col("end").alias("_until")), allowMissingColumns=True)
+    over = F.max("_until").over(Window.partitionBy("row").orderBy("_at", "_base").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("_over", over).where((F.col("_base") == 0) & F.coalesce(F.col("_over") <= F.col("start"), F.lit(True))).select(*spans.columns)
 
-        def behind(r):
-            whole = e["end"] + r >= size
-            right = F.substring(text, (e["end"] + 1).cast("int"), r.cast("int"))
-            return let(F.filter(found(right, TERM), lambda x: whole | (x["end"] < r)), lambda a: result(a, whole, put(F.slice(a, 1, window), e["end"])))
 
-        return F.concat(widened(before), widened(behind))
+def beside(words: DataFrame, matches: DataFrame, window: int) -> DataFrame:
+    """(row, e, t, start, end): the terms within ``window`` words of each base match, as they stand in the text before and behind it.
 
-    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    return F.filter(F.flatten(F.transform(base, near)), clear)
+    A word that a match cuts counts with its part on that side; words inside other matches count, and are left out afterwards.
+    """
+    tick = lambda at, side: matches.select("row", F.col(at).alias("at"), F.lit(0).alias("is_word"), "j", F.lit(side).alias("side"))
+    events = words.select("row", F.col("start").alias("at"), F.lit(1).alias("is_word"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("int").alias("side"))
+    events = events.unionByName(tick("start", 0)).unionByName(tick("end", 1))
+    before = F.sum("is_word").over(Window.partitionBy("row").orderBy("at", "is_word").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = events.withColumn("n", before).where("is_word = 0")  # n words begin before this place
+    reach = F.when(F.col("side") == 0, F.sequence(F.col("n") - window, F.col("n") - 1)).otherwise(F.sequence(F.col("n") - 1, F.col("n") + window - 1))
+    asked = counted.select("row", "j", "side", "n", F.explode(reach).alias("k")).join(
+        matches.select("row", "j", "e", F.col("start").alias("lo"), F.col("end").alias("hi")), ["row", "j"])
+    met = asked.join(words, ["row", "k"])
+    left, spans_end = F.col("side") == 0, (F.col("side") == 1) & (F.col("k") == F.col("n") - 1)
+    part = (F.when(left & (F.col("end") > F.col("lo")), F.substring("m", F.lit(1), (F.col("lo") - F.col("start")).cast("int")))
+            .when(spans_end & (F.col("end") <= F.col("hi")), "")
+            .when(spans_end, F.regexp_extract(F.substring("m", (F.col("hi") - F.col("start") + 1).cast("int"), F.length("m")), TERM, 0)).otherwise(F.col("m")))
+    cut = met.withColumn("part", part).where("part <> ''").select(
+        "row", "j", "side", "e", "part", F.when(left, F.col("start")).otherwise(F.col("end") - F.length("part")).alias("start"))
+    cut = cut.withColumn("end", F.col("start") + F.length("part"))
+    place = F.row_number().over(Window.partitionBy("row", "j", "side").orderBy("start"))  # at most window + 1 rows
+    near = cut.withColumn("place", place).where((F.col("side") == 0) | (F.col("place") <= window))
+    return clear_of(near.select("row", "e", F.xxhash64(F.lower("part")).alias("t"), "start", "end"), matches)
 
 
 def term_hashes(text: Column) -> Column:
@@ -150,14 +167,12 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
 
 
-def revealing(docs: DataFrame, mentions: DataFrame, alpha: float, min_docs: int, text_col: str) -> DataFrame:
+def revealing(docs: DataFrame, near: DataFrame, matches: DataFrame, alpha: float, min_docs: int, text_col: str) -> DataFrame:
     """(e, t, removed): the pairs of entity and term that disclose too much."""
     n = docs.count()
-    own = mentions.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p"))
-    pairs = own.select("p.e", "p.t").groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= min_docs)
+    pairs = near.select("row", "e", "t").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= min_docs)
     pairs = written(pairs, "pii-pairs")
-    n_e = (mentions.select(F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(x["kind"], F.lower(x["m"]))))).alias("e"))
-           .groupBy("e").agg(F.count(F.lit(1)).alias("n_e")))
+    n_e = matches.select("row", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     n_t = (docs.select(F.explode(term_hashes(F.col(text_col))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
            .join(pairs.select("t").distinct(), "t", "left_semi"))
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
@@ -167,40 +182,31 @@ def revealing(docs: DataFrame, mentions: DataFrame, alpha: float, min_docs: int,
     return told.where((ic > 0) & (pmi + eps >= ic / alpha)).select("e", "t", (pmi + eps >= ic).alias("removed"))
 
 
+def listed(spans: DataFrame) -> DataFrame:
+    """(row, terms) from spans (row, start, end, removed); a place that stands twice is removed if one of them is."""
+    each = spans.groupBy("row", "start", "end").agg(F.max("removed").alias("removed"))
+    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+
+
 def detect(docs: DataFrame, window: int = 5, alpha: float = 1.5, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, base (start, kind, end, m) and terms (start, end, removed), both by start."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), entities(F.col(text_col)).alias("base"))
-    # texts leave here: later steps work on matches and their neighbours
-    table = written(base.select("doc_id", "base", F.when(F.size("base") > 0, F.xxhash64("text")).alias("h"),
-                                F.when(F.size("base") > 0, beside(F.col("text"), F.col("base"), window)).alias("near")), "pii-matches")
-    with_pii = table.where(F.size("base") > 0)
-    terms = _terms(with_pii, revealing(docs, with_pii, alpha, min_docs, text_col))
-    clean = table.where(F.size("base") == 0).select("doc_id", "base", F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>").alias("terms"))
-    marked = (with_pii.alias("d").join(terms.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.h = s.h"), "left")
-              .select("d.doc_id", "d.base", F.coalesce("s.terms", F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")).alias("terms")))
-    return clean.unionByName(marked)
+    # only texts with a match are kept: later steps work on their words
+    table = written(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-matches")
+    mentions = table.where(F.size("base") > 0)
+    matches = matches_at(mentions)
+    near = written(beside(words_at(mentions), matches, window), "pii-near")
+    terms = listed(near.join(revealing(docs, near, matches, alpha, min_docs, text_col), ["e", "t"]).select("row", "start", "end", "removed"))
+    none = F.array().cast(TERMS)
+    marked = mentions.select("row", "doc_id", "base").join(terms, "row", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    return table.where(F.size("base") == 0).select("doc_id", "base", none.alias("terms")).unionByName(marked)
 
 
-def _terms(mentions: DataFrame, told: DataFrame) -> DataFrame:
-    """(doc_id, h, terms) of documents with revealing terms; equal rows give one."""
-    hits = mentions.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*").join(told, ["e", "t"])
-    each = hits.groupBy("doc_id", "h", "start", "end").agg(F.max("removed").alias("removed"))
-    return each.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-
-
-def _held_terms(mentions: DataFrame, told: DataFrame) -> DataFrame:
-    """(doc_id, h, t, removed): the revealing terms that stand anywhere in a document which holds their entity."""
-    held = mentions.select("doc_id", "h", "words", F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(x["kind"], F.lower(x["m"]))))).alias("e"))
-    words = held.join(told.select("e").distinct(), "e", "left_semi").select("doc_id", "h", "e", F.explode("words").alias("t"))
-    return words.join(told, ["e", "t"]).groupBy("doc_id", "h", "t").agg(F.max("removed").alias("removed"))
-
-
-def occurrences(text: Column, base: Column, hits: Column) -> Column:
-    """All places (start, end, removed) of the terms in ``hits`` (t, removed) that no base match covers."""
-    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    own = lambda x: let(F.xxhash64(F.lower(x["m"])), lambda t: F.get(F.filter(hits, lambda k: k["t"] == t), 0))
-    each = F.transform(found(text, TERM), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), own(x)["removed"].alias("removed")))
-    return F.filter(each, lambda x: x["removed"].isNotNull() & clear(x))
+def cut_out(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text given as pieces of ``CHUNK`` code points."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.array_join(F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(some, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
 
 def redacted(text: Column, base: Column, terms: Column) -> Column:
@@ -217,13 +223,17 @@ def redacted(text: Column, base: Column, terms: Column) -> Column:
             last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["by"].alias("by"))))
         return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] < last["end"], longer).otherwise(F.concat(acc, F.array(x)))
 
+    def merged(m):
+        overlap = F.exists(F.sequence(F.lit(1), F.size(m)), lambda i: F.get(m, i)["start"] < F.get(m, i - 1)["end"])
+        return F.when(F.coalesce(overlap, F.lit(False)), F.aggregate(m, empty, merge)).otherwise(m)
+
     def build(m):
-        part = lambda x, i: let(F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0).cast("long")), lambda p: F.concat(
-            F.substring(text, (p + 1).cast("int"), (x["start"] - p).cast("int")), x["by"]))
-        tail = F.substring(text, (F.element_at(m, -1)["end"] + 1).cast("int"), F.length(text))
-        return F.concat(F.array_join(F.transform(m, part), ""), tail)
+        gap = lambda c, x, i: F.concat(cut_out(c, F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0).cast("long")), x["start"]), x["by"])
+        whole = lambda c: F.concat(F.array_join(F.transform(m, lambda x, i: gap(c, x, i)), ""),
+                                   cut_out(c, F.element_at(m, -1)["end"], F.length(text).cast("long")))
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), whole)
 
-    return F.when(F.size(marks) == 0, text).otherwise(let(F.aggregate(marks, empty, merge), build))
+    return F.when(F.size(marks) == 0, text).otherwise(let(let(marks, merged), build))
 
 
 def sanitise(docs: DataFrame, window: int = 5, alpha: float = 1.5, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text",
@@ -232,23 +242,21 @@ def sanitise(docs: DataFrame, window: int = 5, alpha: float = 1.5, min_docs: int
 
     Documents without a base match pass unmoved; only those with one are joined to the terms.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    kept = F.col("_row").getField(text_col)
-    split = docs.select(row, F.col(id_col).alias("_id"), entities(F.col(text_col)).alias("_base"))
-    mentions = written(split.where(F.size("_base") > 0).select(
-        F.col("_id").alias("doc_id"), F.xxhash64(kept).alias("h"), F.col("_base").alias("base"), beside(kept, F.col("_base"), window).alias("near"),
-        term_hashes(kept).alias("words")), "pii-mentions")
-    told = written(revealing(docs, mentions, alpha, min_docs, text_col), "pii-told")
-    places = _terms(mentions, told).select("doc_id", "h", "terms", F.lit(None).cast("array<struct<t:bigint,removed:boolean>>").alias("hits"))
-    held = _held_terms(mentions, told).groupBy("doc_id", "h").agg(F.collect_list(F.struct("t", "removed")).alias("hits"))
-    # at most one row of each kind for a document
-    terms = (places.unionByName(held, allowMissingColumns=True).groupBy("doc_id", "h")
-             .agg(F.max("terms").alias("terms"), F.max(F.array_sort("hits")).alias("hits")))
-    rest = split.where(F.size("_base") == 0).select("_row.*")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
-    whole = F.when(F.col("hits").isNotNull(), occurrences(F.col("_text"), F.col("_base"), F.col("hits"))).otherwise(none)
-    new = redacted(F.col("_text"), F.col("_base"), F.concat(F.coalesce("terms", none), whole))
-    own = (split.where(F.size("_base") > 0).withColumn("_text", kept).withColumn("_h", F.xxhash64("_text"))
-           .join(terms, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left").select("_row", new.alias("_new")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    # the documents are written with their matches, so the patterns run once
+    table = written(docs.select(whole, F.coalesce(F.col(text_col), F.lit("")).alias("text"), entities(F.col(text_col)).alias("base")).select(
+        F.monotonically_increasing_id().alias("row"), "_row", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-documents")
+    mentions = table.where(F.size("base") > 0).select("row", "base", "text")
+    matches, words = matches_at(mentions), written(words_at(mentions), "pii-words")
+    near = written(beside(words, matches, window), "pii-near")
+    told = written(revealing(docs, near, matches, alpha, min_docs, text_col), "pii-told")
+    close = near.join(told, ["e", "t"]).select("row", "start", "end", "removed")
+    # a revealing term goes from the whole of each document that holds its entity
+    held = matches.select("row", "e").distinct().join(told, "e").groupBy("row", "t").agg(F.max("removed").alias("removed"))
+    far = words.select("row", "start", "end", F.xxhash64(F.lower("m")).alias("t")).join(held, ["row", "t"]).select("row", "start", "end", "removed")
+    terms = listed(close.unionByName(clear_of(far, matches)))
+    own = table.where(F.size("base") > 0).join(terms, "row", "left").select(
+        "_row", redacted(F.col("text"), F.col("base"), F.coalesce("terms", F.array().cast(TERMS))).alias("_new"))
     put = {text_col: F.col("_new")} | ({length_col: F.length("_new").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
-    return rest.unionByName(own.select(*[put[c].alias(c) if c in put else F.col("_row").getField(c).alias(c) for c in docs.columns]))
+    return table.where(F.size("base") == 0).select("_row.*").unionByName(
+        own.select(*[put[c].alias(c) if c in put else F.col("_row").getField(c).alias(c) for c in docs.columns]))

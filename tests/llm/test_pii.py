@@ -135,3 +135,61 @@ def test_redaction_merges_overlaps(spark, spans, want):
     none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
     assert df.select(pii.redacted(F.col("t"), F.col("b"), none).alias("x")).first().x == want
     assert defaultdict(int)["x"] == 0
+
+
+def plain_near(text, window=5):
+    """(entity, term, start, end) beside each base match, from the text before and behind it."""
+    term, base, out = re.compile(r"[^\W\d_](?:[^\W\d_]|['’])*"), brute(text), []
+    for a, k, b in base:
+        left = [x for x in term.finditer(text[:a])][-window:]
+        right = [(x.group(), x.start() + b, x.end() + b) for x in list(term.finditer(text[b:]))[:window]]
+        for w, s, f in [(x.group(), *x.span()) for x in left] + right:
+            if not any(p < f and q > s for p, _, q in base):
+                out.append((f"{k}:{text[a:b].lower()}", w.lower(), s, f))
+    return out
+
+
+def plain_terms(texts, alpha=1.5, min_docs=2):
+    """{document: sorted (start, end, removed)} by plain counts over all documents."""
+    term = re.compile(r"[^\W\d_](?:[^\W\d_]|['’])*")
+    near = {i: plain_near(t) for i, t in texts.items()}
+    n, n_e, n_t, n_et = len(texts), Counter(), Counter(), Counter()
+    for i, t in texts.items():
+        n_e.update({f"{k}:{t[a:b].lower()}" for a, k, b in brute(t)})
+        n_t.update({w.lower() for w in term.findall(t)})
+        n_et.update({x[:2] for x in near[i]})
+    out = {}
+    for i in texts:
+        own = {}
+        for e, w, s, f in near[i]:
+            if not n_t[w]:  # a word that only a match's edge makes stands in no document
+                continue
+            ic, pmi = math.log2(n / n_e[e]), math.log2(n * n_et[e, w] / (n_e[e] * n_t[w]))
+            if n_et[e, w] >= min_docs and ic > 0 and pmi + 1e-9 >= ic / alpha:
+                own[s, f] = own.get((s, f), False) or pmi + 1e-9 >= ic
+        out[i] = sorted((s, f, r) for (s, f), r in own.items())
+    return out
+
+
+def test_terms_equal_plain_counts_on_crowded_texts(spark):
+    import random
+    draw = random.Random(3)
+    words = ["Vega", "Zorro", "it's", "naïve", "été", "x", "and", "Quill", "’twas", "7", "1.2.3.4", "zv@x.org", "éa@b.coé", "me@y.z'cd", "+1 (523) 555-1055 a", "4111 1111 1111 1111", "a@b.c_d", "mail@1.2.3.4"]
+    texts = {i: "".join(draw.choice(words) + draw.choice([" ", " ", "", ", ", "\n"]) for _ in range(draw.randint(0, 30))) for i in range(120)}
+    want = plain_terms(texts)
+    got = {r.doc_id: [(x.start, x.end, x.removed) for x in r.terms] for r in pii.detect(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and sum(map(len, want.values())) > 50
+
+
+def test_a_text_with_very_many_matches_takes_seconds(spark):
+    import time
+    line = "Write to person{0}@example{0}.org now, Vega {0}\n"
+    big = "".join(line.format(i) for i in range(24_000))
+    assert len(big) > 1_000_000
+    docs = spark.createDataFrame([(0, big), (1, line.format(5) * 2), (2, "nothing here")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.detect(docs).collect()}
+    assert len(got[0].base) == 24_000 and time.time() - began < 60
+    assert [(b.start, b.end) for b in got[0].base] == [m.span() for m in re.finditer(PLAIN["email"], big)]
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "@" not in out[0] and out[0].count("<EMAIL>") == 24_000 and out[2] == "nothing here" and time.time() - began < 120

@@ -27,7 +27,7 @@ def stages(spark):
 def test_stages_are_registered():
     assert len(p.STAGES) == 5 and entry.queries()["pipeline"] is p.run
     ops = [q for q in entry.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in ops) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in ops) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
