@@ -30,7 +30,7 @@ from tagflow.llm.tokens import text_groups, whole
 
 STATES, ROUNDS, COMMON, TAILS, BLOCK, SEED = 8, 3, 32768, 512, 256, 42
 #: Blocks worked on together, distinct words counted together, and the weight of the corpus distribution in each state.
-TOGETHER, COUNTED, PRIOR = 1024, 400_000, 20.0
+TOGETHER, COUNTED, PRIOR = 1024, 200_000, 20.0
 #: The end of a text; no word is empty.
 END = ""
 HELD_OUT = 1
@@ -73,7 +73,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             return pa.RecordBatch.from_arrays([t["word"].combine_chunks().cast(pa.string()), t["c_sum"].combine_chunks()], ["word", "c"])
         for b in batches:
             texts = b.column(0)
-            for lo, hi in text_groups(texts):
+            for lo, hi in text_groups(texts, 4_000_000):
                 coded = pc.dictionary_encode(split_words(texts.slice(lo, hi - lo))[0])
                 n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)).astype(np.int64)
                 store.append((pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())]), np.append(n, hi - lo)))
@@ -136,7 +136,7 @@ def encoded(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for lo, hi in text_groups(b.column(2)):
+            for lo, hi in text_groups(b.column(2), 4_000_000):
                 words, at = split_words(b.column(2).slice(lo, hi - lo))
                 n, docs_n = np.diff(at), hi - lo
                 distinct = pc.dictionary_encode(words)
@@ -385,6 +385,7 @@ def rare_logs(table: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFra
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, states: int = STATES, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text) of every document."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # texts pass through the workers in smaller lots
     counts = written(word_counts(docs, id_col, text_col), "lm-counts")
     known = vocabulary(counts)
     table = encoded(docs, known, id_col, text_col)

@@ -7,10 +7,14 @@
     cut into blocks of ``block`` words up to the source's target.
 3.  *Schedule.*  Slot k of the mix has the van der Corput point of k; the cumulative targets map the point
     to a source, the slots of a source are ranked, and the slot of rank j joins block j of that source.
-    The points stray from the targets by a few slots at most: slots beyond a source's last block are void,
-    blocks beyond its last slot are appended, so each source's words meet its target (rounded) exactly.
+    The points stray from the targets by a few slots at most (at any slot n by the discrepancy of the points, about
+    log2 n): slots beyond a source's last block are void, blocks beyond its last slot are appended, each
+    in a slot of its own, so each source's words meet its target (rounded) exactly.
 
-Only DataFrame functions are used.  Defined cases: null text has size 0 and is never taken; a null source is
+Words are mixed in the order of slots, and within a slot in the order of the source's stream.  ``mixed_documents`` returns its rows in the order of
+the slot that each begins in, sorted by range, so that files written from them hold the mix.
+
+Only DataFrame functions are used; windows in one task see one row per source, so the number of sources is taken to be small.  Defined cases: null text has size 0 and is never taken; a null source is
 a source of its own (last); sources without words get target 0; repeated rows are separate documents; an
 empty table gives no rows; other columns are ignored.
 """
@@ -91,9 +95,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     lo, hi = F.greatest("from", F.col("block") * block), F.least("_end", (F.col("block") + 1) * block)
     pieces = cut.select("_none", "_src", "block", "_doc", "doc_id", "_h", "size", "epoch",
                         (lo - F.col("from")).alias("start"), (hi - lo).alias("length"))
-    places = _schedule(targets, quota, block)
+    slots = _schedule(targets, quota, block)
     return (first.join(targets, ["_none", "_src"]).select("_none", "_src", "_doc", "doc_id", "size", "source_size", "target"),
-            pieces.join(places, ["_none", "_src", "block"]))
+            pieces.join(slots, ["_none", "_src", "block"]))
 
 
 def _schedule(targets: DataFrame, quota: DataFrame, block: int) -> DataFrame:
@@ -112,34 +116,46 @@ def _schedule(targets: DataFrame, quota: DataFrame, block: int) -> DataFrame:
     mapped = (slots.withColumn("_cell", F.floor(F.col("_u") * GRID)).join(cells, "_cell")
               .where("lo <= _u and _u < hi").select("slot", "_none", "_src"))
     ranked = cumulated(mapped, ["_none", "_src"], ["slot"], None, "mix-slots")
-    used = ranked.select("_none", "_src", F.col("_rank").alias("block"), "slot")
-    wanted = need.select("_none", "_src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    # blocks without a slot follow at the end, by source
-    return (wanted.join(used, ["_none", "_src", "block"], "left")
-            .withColumn("slot", F.coalesce("slot", F.lit(n) + F.col("block"))))
+    key = ["_none", "_src"]
+    used = ranked.join(need.select(*key, "blocks"), key).where("_rank < blocks").select(*key, F.col("_rank").alias("block"), "slot")
+    # blocks without a slot, as few as the points stray, follow at the end by source, one to a slot
+    late = need.join(ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("_had")), key, "left").withColumn("_had", F.least("blocks", F.coalesce("_had", F.lit(0))))
+    late = late.withColumn("_at", F.sum(F.col("blocks") - F.col("_had")).over(over) - (F.col("blocks") - F.col("_had"))).where("_had < blocks")
+    late = late.select(*key, "_had", "_at", F.explode(F.sequence("_had", F.col("blocks") - 1)).alias("block"))
+    return used.unionByName(late.select(*key, "block", (F.lit(n) + F.col("_at") + F.col("block") - F.col("_had")).alias("slot")))
+
+
+def places(pieces: DataFrame) -> DataFrame:
+    """(_none, _src, _doc, taken, first_slot, n_slots): the words taken of each document and the slots they stand in."""
+    return pieces.groupBy("_none", "_src", "_doc").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     length_col: str | None = "n_chars", **options) -> DataFrame:
-    """The mix as documents (same columns): a row for each epoch in which a document is taken.
+    """The mix as documents (same columns): a row for each epoch in which a document is taken, in the order of the schedule.
 
     A document's words of one epoch follow each other, so a row holds its whole text, or the beginning of it where its
-    source's target ends inside it (``length_col`` is then the new length).  Rows equal in id, source and text are taken to be equal.
+    source's target ends inside it (``length_col`` is then the new length).  It stands at the place of its first word.  Rows equal in id, source and
+    text are told apart by their other columns.
     """
     _, pieces = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     key = lambda none, src, i, h: F.concat_ws(":", h.cast("string"), i.cast("string"), none.cast("string"), src)
-    takes = (pieces.groupBy("_none", "_src", "doc_id", "_h", "_doc", "epoch", "size").agg(F.sum("length").alias("_words"))
-             .select(key(F.col("_none"), F.col("_src"), F.col("doc_id"), F.col("_h")).alias("_key"), "_words", (F.col("_words") < F.col("size")).alias("_cut")))
+    nth = lambda *order: F.dense_rank().over(Window.partitionBy("_key").orderBy(*order))
+    takes = (pieces.groupBy("_none", "_src", "doc_id", "_h", "_doc", "epoch", "size").agg(
+                F.sum("length").alias("_words"), F.min(F.struct("slot", "start")).alias("_place"))
+             .select(key(F.col("_none"), F.col("_src"), F.col("doc_id"), F.col("_h")).alias("_key"), "_doc", "epoch", "_place", "_words", (F.col("_words") < F.col("size")).alias("_cut"))
+             .withColumn("_n", nth("_doc")))
     src = F.col(source_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                       key(src.isNull(), F.coalesce(src.cast("string"), F.lit("")), F.col(id_col), F.xxhash64(F.col(text_col))).alias("_key"))
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))).where("_n = 1").drop("_n")
+                       key(src.isNull(), F.coalesce(src.cast("string"), F.lit("")), F.col(id_col), F.xxhash64(F.col(text_col))).alias("_key"),
+                       F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_tie"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_tie")))
     text = F.col("_row").getField(text_col)
     begin = F.regexp_extract_all(text, F.concat(F.lit(rf"^(?:[{BLANK}]*+[^{BLANK}]++){{"), F.col("_words").cast("string"), F.lit("}+")), F.lit(0))
     new = F.when(F.col("_cut"), F.get(begin, 0)).otherwise(text)
-    out = once.join(takes, "_key").select("_row", new.alias("_new"), "_cut")
+    out = rows.join(takes, ["_key", "_n"]).select("_row", new.alias("_new"), "_cut", "_place", "_key", "_doc", "epoch")
     put = {text_col: F.col("_new")}
     if length_col in docs.columns:
         old = F.col("_row").getField(length_col)
         put[length_col] = F.when(F.col("_cut"), F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(old)
-    return out.select(*[put[c].alias(c) if c in put else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return out.orderBy("_place", "_doc", "epoch", "_key").select(*[put[c].alias(c) if c in put else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ The others need a tokenizer, XXH64, coin tossing, HTML parsing or a fitted linea
 
 from __future__ import annotations
 
+from tagflow.llm import mixing as m
 from tagflow.llm import pii
 from tagflow.llm import quality_rules as q
 
@@ -73,11 +74,25 @@ MIX_SQL = f"""WITH d AS (SELECT doc_id, source IS NULL AS none, coalesce(source,
  l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, none, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                / sum(w) OVER (ORDER BY cap / w, none, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM a),
  t AS (SELECT none, src, source_size, least(cap, coalesce((SELECT arg_min(level, (cap / w, level)) FROM l WHERE level * w <= cap) * w, cap)) AS target FROM l),
- e AS (SELECT d.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS quota,
+ e AS (SELECT row_number() OVER () AS id, d.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS quota,
               sum(size) OVER (PARTITION BY none, src ORDER BY md5('17:' || CAST(doc_id AS VARCHAR)), doc_id) - size AS b1,
               source_size + sum(size) OVER (PARTITION BY none, src ORDER BY md5('19:' || CAST(doc_id AS VARCHAR)), doc_id) - size AS b2
-       FROM d JOIN t USING (none, src))
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(b1 + size, quota) - b1) + greatest(0, least(b2 + size, quota) - b2) AS BIGINT) AS taken FROM e"""
+       FROM d JOIN t USING (none, src)),
+ span AS (SELECT id, none, src, b1 AS lo, least(b1 + size, quota) AS hi FROM e UNION ALL SELECT id, none, src, b2, least(b2 + size, quota) FROM e),
+ cut AS (SELECT id, none, src, unnest(range(CAST(lo // {m.BLOCK_WORDS} AS BIGINT), CAST((hi - 1) // {m.BLOCK_WORDS} + 1 AS BIGINT))) AS block FROM span WHERE hi > lo),
+ need AS (SELECT none, src, CAST((floor(target + 0.5) + {m.BLOCK_WORDS - 1}) // {m.BLOCK_WORDS} AS BIGINT) AS blocks FROM t WHERE floor(target + 0.5) > 0),
+ range_of AS (SELECT *, (sum(blocks) OVER w - blocks) / sum(blocks) OVER () AS lo, sum(blocks) OVER w / sum(blocks) OVER () AS hi FROM need
+              WINDOW w AS (ORDER BY none, src)),
+ n AS (SELECT CAST(coalesce(sum(blocks), 0) AS BIGINT) AS n FROM need),
+ slots AS (SELECT k AS slot, CAST('0b' || reverse(lpad(bin(k), 48, '0')) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM (SELECT unnest(range(n)) AS k FROM n)),
+ ranked AS (SELECT none, src, blocks, slot, row_number() OVER (PARTITION BY none, src ORDER BY slot) - 1 AS block FROM slots JOIN range_of ON lo <= u AND u < hi),
+ late AS (SELECT none, src, blocks, least(blocks, (SELECT count(*) FROM ranked WHERE ranked.none = need.none AND ranked.src = need.src)) AS had FROM need),
+ place AS (SELECT none, src, block, slot FROM ranked WHERE block < blocks
+           UNION ALL SELECT none, src, had + i, n + before + i FROM (SELECT none, src, had, n, before, unnest(range(blocks - had)) AS i
+             FROM (SELECT *, CAST(sum(blocks - had) OVER (ORDER BY none, src) - (blocks - had) AS BIGINT) AS before FROM late), n))
+SELECT e.doc_id, size, source_size, target, CAST(greatest(0, least(b1 + size, quota) - b1) + greatest(0, least(b2 + size, quota) - b2) AS BIGINT) AS taken,
+       CAST(coalesce(s.first_slot, -1) AS BIGINT) AS first_slot, CAST(coalesce(s.n_slots, 0) AS BIGINT) AS n_slots
+FROM e LEFT JOIN (SELECT id, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM cut JOIN place USING (none, src, block) GROUP BY id) AS s ON s.id = e.id"""
 
 
 def pii_sql(window: int = 5, alpha: float = 1.5, min_docs: int = 2) -> str:

@@ -43,9 +43,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pieces = mixing.mix(_documents(spark, sf_dir))
-    key = ["_none", "_src", "_doc"]
-    taken = pieces.groupBy(*key).agg(F.sum("length").alias("taken"))
-    return docs.join(taken, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return docs.join(mixing.places(pieces), ["_none", "_src", "_doc"], "left").select(
+        "doc_id", "size", "source_size", "target", none("taken"), F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"), none("n_slots"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -99,6 +100,42 @@ def test_mix_meets_its_targets(documents, rows, block):
     assert abs(share[big] / sum(share.values()) - want[big] / sum(want.values())) < 0.1
 
 
+@pytest.mark.parametrize("block", [1024, 20])
+def test_no_beginning_of_the_mix_strays_from_the_targets(documents, block):
+    """At every slot each source has its share of what was taken so far, within the discrepancy of the points; every slot holds one source's block."""
+    docs, pieces = mixing.mix(documents, block=block)
+    target = {(d._none, d._src): d.target for d in docs.collect()}
+    total, slots = sum(target.values()), defaultdict(Counter)
+    for p in pieces.collect():
+        slots[p.slot][p._none, p._src] += p.length
+    assert all(len(x) == 1 for x in slots.values())
+    taken, n = Counter(), 0
+    for slot in sorted(slots):
+        taken.update(slots[slot])
+        n += 1
+        so_far = sum(taken.values())
+        assert all(abs(taken[s] - target[s] / total * so_far) <= block * (math.log2(n) + 3) for s in target)
+
+
+def test_mixed_documents_come_in_the_order_of_the_schedule(spark, documents):
+    mixed = mixing.mixed_documents(documents)
+    firsts = {}
+    for p in mixing.mix(documents)[1].collect():
+        firsts[p.doc_id, p.epoch] = min(firsts.get((p.doc_id, p.epoch), (p.slot, p.start)), (p.slot, p.start))
+    left = defaultdict(list)
+    for (i, _), place in sorted(firsts.items(), key=lambda x: x[1]):
+        left[i].append(place)
+    order = [left[r.doc_id].pop(0) for r in mixed.collect()]
+    assert order == sorted(order) and not any(left.values())
+
+
+def test_rows_equal_in_id_and_text_keep_their_other_columns(spark):
+    rows = [(1, "a b c " * 50, "en", "s", k) for k in range(5)] + [(i, "d e f " * 50, "de", "t", i) for i in range(10, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [sorted(map(tuple, mixing.mixed_documents(df.repartition(k)).collect())) for k in (1, 4)]
+    assert got[0] == got[1]
+
+
 def test_mix_reruns_agree_and_run_no_python(documents):
     one = sorted(map(str, mixing.mix(documents)[1].collect()))
     docs, pieces = mixing.mix(documents.repartition(11))
