@@ -80,7 +80,7 @@ MIX_SQL = f"""WITH d AS (SELECT doc_id, source IS NULL AS none, coalesce(source,
        FROM d JOIN t USING (none, src)),
  span AS (SELECT id, none, src, b1 AS lo, least(b1 + size, quota) AS hi FROM e UNION ALL SELECT id, none, src, b2, least(b2 + size, quota) FROM e),
  cut AS (SELECT id, none, src, unnest(range(CAST(lo // {m.BLOCK_WORDS} AS BIGINT), CAST((hi - 1) // {m.BLOCK_WORDS} + 1 AS BIGINT))) AS block FROM span WHERE hi > lo),
- need AS (SELECT none, src, CAST((floor(target + 0.5) + {m.BLOCK_WORDS - 1}) // {m.BLOCK_WORDS} AS BIGINT) AS blocks FROM t WHERE floor(target + 0.5) > 0),
+ need AS (SELECT none, src, (CAST(floor(target + 0.5) AS BIGINT) + {m.BLOCK_WORDS - 1}) // {m.BLOCK_WORDS} AS blocks FROM t WHERE floor(target + 0.5) > 0),
  range_of AS (SELECT *, (sum(blocks) OVER w - blocks) / sum(blocks) OVER () AS lo, sum(blocks) OVER w / sum(blocks) OVER () AS hi FROM need
               WINDOW w AS (ORDER BY none, src)),
  n AS (SELECT CAST(coalesce(sum(blocks), 0) AS BIGINT) AS n FROM need),
