@@ -18,6 +18,7 @@ from tagflow.operators import batches as ba
 from tagflow.operators import crf
 from tagflow.operators import crf_blocks
 from tagflow.operators import features as fe
+from tagflow.operators import halos
 from tagflow.operators import heads as hd
 from tagflow.operators import metrics as me
 from tagflow.operators import pad as pd_
@@ -72,6 +73,12 @@ def q_bio_tags_by_doc(spark, sf_dir):
     return tag_digest(bio(spark, sf_dir))
 
 
+@register("bio_tags_blocked", oq.with_(oq.bio_ctes()) + BY_DOC_SQL.format("tok || ' ' || tag", "tags_md5", "bio"))
+def q_bio_tags_blocked(spark, sf_dir):
+    """A1+A2 by blocks of 100 positions with halos of the longest span; a digest per document."""
+    return tag_digest(halos.align_blocks(fx.annotated(spark, sf_dir, partitioned=False), block=100))
+
+
 @register("bio_tags_cut64", oq.with_(oq.bio_ctes(64)) + " SELECT * FROM bio")
 def q_bio_tags_cut64(spark, sf_dir):
     """A1+A2 with a 64-token cap: spans past or across the cut are dropped."""
@@ -474,6 +481,14 @@ def q_featurise(spark, sf_dir):
     return f.select("doc_id", "pos", F.array_join("feats", " ").alias("feats"))
 
 
+@register("featurise_blocked", oq.with_(oq.features_ctes()) + """,
+ fd AS (SELECT doc_id, pos, string_agg(feature, ' ' ORDER BY slot) AS feats FROM fl GROUP BY doc_id, pos)""" + BY_DOC_SQL.format("feats", "feats_md5", "fd"))
+def q_featurise_blocked(spark, sf_dir):
+    """F1+F3+F4 by blocks of 100 positions with a token of halo on each side; a digest per document."""
+    f = halos.featurise_blocks(tagged_tokens(spark, sf_dir), block=100)
+    return line_digest(f.select("doc_id", "pos", F.array_join("feats", " ").alias("feats")), "feats_md5", "feats")
+
+
 @register("lexicon_pos", oq.with_(oq.features_ctes()) + """,
  lex AS (SELECT tok, arg_max(pos_tag, c * 16 + CASE pos_tag WHEN 'NUM' THEN 2 WHEN 'PUNCT' THEN 3
                                                   WHEN 'CAP' THEN 0 ELSE 1 END) AS lex_tag
