@@ -67,3 +67,18 @@ DUCK_TOKENISE = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\
 
 def duck_word_tokens(x: str) -> str:
     return DUCK_TOKENISE.format(x=DUCK_NORMALISE.format(x=x))
+
+
+# ---------------------------------------------------------------- basic words (before subwords)
+#: Control, format and private characters but tab and line ends, the replacement character; CJK ideographs; marks (ASCII ranges
+#: and Unicode punctuation).  Written so that Java and RE2 read them alike.
+CONTROL_PATTERN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}\p{Cf}\p{Co}]"
+CJK_RANGES = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
+MARKS = r"!-/:-@\[-`{-~\p{P}"
+BASIC_PATTERN = rf"[^\s\p{{Z}}{MARKS}{CJK_RANGES}]+|[{MARKS}{CJK_RANGES}]"
+
+
+def basic_words(text) -> Column:
+    """Basic words of a text: control characters removed, lower-cased, split at white space, every mark and every CJK character a word of its own."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(F.regexp_replace(c, CONTROL_PATTERN, "")), F.lit(BASIC_PATTERN), F.lit(0))

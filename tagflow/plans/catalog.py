@@ -17,12 +17,15 @@ from tagflow.operators import align
 from tagflow.operators import batches as ba
 from tagflow.operators import crf
 from tagflow.operators import crf_blocks
+from tagflow.operators import dictionary as dc
 from tagflow.operators import features as fe
 from tagflow.operators import halos
 from tagflow.operators import heads as hd
 from tagflow.operators import metrics as me
 from tagflow.operators import pad as pd_
+from tagflow.operators import relu_head as rh
 from tagflow.operators import spans as sp
+from tagflow.operators import tagger as tg
 from tagflow.operators import training as tr
 from tagflow.operators import vocab as vo
 from tagflow.operators import wordpiece as wpc
@@ -33,6 +36,7 @@ from tagflow.session import scratch, tune
 from tagflow.sources import annotations as ann
 from tagflow.sources import conll as co
 from tagflow.sources import encoded as en
+from tagflow.sources import json_array as ja
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,6 +117,14 @@ def q_ann_json_scan(spark, sf_dir):
     return sp.span_rows(fc_span_docs(spark, sf_dir)).select("doc_id", F.col("j").cast("int").alias("j"), "text", "label")
 
 
+@register("ann_json_array", oq.with_(oq.fc_spans_ctes()) + RANKED + """
+ SELECT r.doc_id, j, text, label FROM fc JOIN r ON fc.doc_id = r.own""")
+def q_ann_json_array(spark, sf_dir):
+    """S1+P1+P2: annotation files of one JSON array each, cut at braces and put together by running sums -> flattened spans in order."""
+    docs = ja.read_annotation_arrays(spark, fx.annotation_arrays(spark, sf_dir))
+    return sp.span_rows(docs).select("doc_id", F.col("j").cast("int").alias("j"), "text", "label")
+
+
 @register("ann_json_scan_ids", oq.with_(oq.fc_spans_ctes()) + RANKED + """
  SELECT r.doc_id, 'doc-' || r.own AS source_id, CAST(count(fc.j) AS INT) AS n_spans FROM r LEFT JOIN fc ON fc.doc_id = r.own
  GROUP BY r.doc_id, r.own""")
@@ -368,6 +380,20 @@ def q_word_vocab(spark, sf_dir):
     return vo.word_vocab(tagged_tokens(spark, sf_dir))
 
 
+@register("word_vocab_grown", oq.with_(oq.features_ctes()) + """,
+ own AS (SELECT tok, min(CASE split WHEN 'train' THEN 0 ELSE 1 END) AS late FROM tt WHERE tok NOT IN ('<UNK>', '<PAD>') GROUP BY tok)
+ SELECT tok AS word, row_number() OVER (ORDER BY late, tok) + 1 AS word_id, CAST(late + 1 AS INT) AS version FROM own
+ UNION ALL SELECT '<UNK>', 0, 0 UNION ALL SELECT '<PAD>', 1, 0""")
+def q_word_vocab_grown(spark, sf_dir):
+    """V1 by increments: the words of train, then those that only dev has, with the next ids; compacted in between."""
+    tt = tagged_tokens(spark, sf_dir).select("split", "tok")
+    d = dc.GrowingDictionary.create(spark, scratch(spark, "grown"), {vo.UNK_WORD: 0, vo.PAD_WORD: 1})
+    d.add(tt.where(F.col("split") == "train"), "tok")
+    d.compact()
+    d.add(tt.where(F.col("split") == "dev"), "tok")
+    return d._rows(d.version).select(F.col("key").alias("word"), F.col("id").alias("word_id"), "version")
+
+
 @register("word_encode", oq.with_(oq.features_ctes()) + ", v AS (" + oq.vocab_sql() + """)
  SELECT tt.doc_id, tt.pos, coalesce(v.word_id, 0) AS word_id FROM tt LEFT JOIN v ON tt.tok = v.word""")
 def q_word_encode(spark, sf_dir):
@@ -501,6 +527,29 @@ def q_lexicon_pos(spark, sf_dir):
     return fe.lexicon_pos_apply(tt.select("doc_id", "pos", "tok"), lex).select("doc_id", "pos", "pos_tag")
 
 
+@register("bigram_tag_counts", oq.with_(oq.features_ctes()) + """,
+ q AS (SELECT pos_tag, lag(pos_tag) OVER w AS before, lead(pos_tag) OVER w AS behind FROM tt WHERE split = 'train' WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+ SELECT coalesce(before, '-') AS before, pos_tag AS tag, count(*) AS c FROM q GROUP BY 1, 2
+ UNION ALL SELECT pos_tag, '-', count(*) FROM q WHERE behind IS NULL GROUP BY 1""")
+def q_bigram_tag_counts(spark, sf_dir):
+    """F2 in context: how often each tag follows each in the training split (- before the first and behind the last)."""
+    tt = tagged_tokens(spark, sf_dir).where(F.col("split") == "train")
+    mark = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return tg.transitions(tt).select(mark("before"), mark("tag"), "c")
+
+
+@register("bigram_pos")
+def q_bigram_pos(spark, sf_dir):
+    """F2 in context: the bigram tagger fitted on the training split, applied to all documents; each document's tokens and tags that agree."""
+    tt = tagged_tokens(spark, sf_dir)
+    path = scratch(spark, "tagged")
+    tt.select("doc_id", "pos", "tok", "pos_tag", "split").write.parquet(path)
+    tt = spark.read.parquet(path)
+    got = tg.apply(tt.select("doc_id", "pos", "tok"), tg.fit(tt.where(F.col("split") == "train"))).withColumnRenamed("pos_tag", "found")
+    both = got.join(tt.select("doc_id", "pos", "pos_tag"), ["doc_id", "pos"])
+    return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("found") == F.col("pos_tag")).alias("n_right"))
+
+
 # ---------------------------------------------------------------- padding / batching
 
 
@@ -744,41 +793,55 @@ def q_encoded_roundtrip(spark, sf_dir):
     return en.read_encoded(spark, path).select("doc_id", "split", "pos", "word_id")
 
 
-HISTORY_SQL = oq.with_(oq.features_ctes()) + BATCH_SQL + """,
- n AS (SELECT doc_id, count(*) AS n FROM tt GROUP BY doc_id),
- h AS (SELECT CAST(floor(idx / 64) AS INT) AS epoch, round(avg(n * ln(30)), 6) AS val_loss, count(*) AS n_batches FROM bidx JOIN n USING (doc_id) GROUP BY 1)"""
+#: Full-batch training of the sparse softmax tagger: few steps, so that SQL can follow them.
+FULL_BATCH, HISTORY_EPOCHS, HISTORY_LR = 1 << 30, 3, 0.004
 
 
-def loss_history(spark, sf_dir):
-    """Losses of the untrained model (n ln 30 for n tokens), an epoch for each 64 documents and a batch for each document."""
+def sparse_history(spark, sf_dir):
+    """M9's own training: losses of the train split before and of the dev split after each full-batch step."""
     tokens, _ = encoded_tokens(spark, sf_dir)
-    train = tokens.where(F.col("split") == "train")
-    score = crf.scorer(tr.empty_weights(spark))
-    ll = crf.loglik(crf.sequences(train, tr.empty_weights(spark), score), score, crf.ChainParams())
-    b = ba.batch_assign(train.select("doc_id").distinct(), 64, 0, arithmetic=True)
-    losses = ll.join(b, "doc_id").select(F.col("batch_id").alias("epoch"), (-F.col("loglik")).alias("loss"))
-    return tr.epoch_history(losses).select("epoch", F.round("loss", 6).alias("val_loss"), "n_batches")
+    path = scratch(spark, "encoded-tokens")
+    tokens.write.partitionBy("split").parquet(path)
+    tokens = spark.read.parquet(path)
+    fit = tr.crf_fit(tokens.where(F.col("split") == "train"), tokens.where(F.col("split") == "dev"), HISTORY_EPOCHS, HISTORY_LR, FULL_BATCH, chain=False)
+    return fit.history.select("epoch", F.round("loss", 6).alias("loss"), "n_batches", F.round("val_loss", 6).alias("val_loss"), F.round("dev_f1", 6).alias("dev_f1"))
 
 
-@register("epoch_history", HISTORY_SQL + " SELECT epoch, val_loss, n_batches FROM h")
+@register("epoch_history", "WITH " + oq.softmax_history(HISTORY_EPOCHS, HISTORY_LR) + " SELECT epoch, loss, n_batches, val_loss, dev_f1 FROM h")
 def q_epoch_history(spark, sf_dir):
-    """M6: mean loss per epoch."""
-    return loss_history(spark, sf_dir)
+    """M6+M9: mean training loss, dev loss and dev F1 of each epoch of the softmax tagger on sparse features."""
+    return sparse_history(spark, sf_dir)
 
 
-@register("early_stop", HISTORY_SQL + """,
+@register("early_stop", "WITH " + oq.softmax_history(HISTORY_EPOCHS, HISTORY_LR) + """,
  a AS (SELECT epoch, val_loss, val_loss < coalesce(min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING
                                                     AND 1 PRECEDING), 'inf'::DOUBLE) AS imp FROM h),
  b AS (SELECT epoch, val_loss, imp, epoch - max(CASE WHEN imp THEN epoch END) OVER (ORDER BY epoch) AS stall FROM a),
- st AS (SELECT min(CASE WHEN stall >= 3 THEN epoch END) AS stop FROM b)
+ st AS (SELECT min(CASE WHEN stall >= 1 THEN epoch END) AS stop FROM b)
  SELECT CAST(arg_max(epoch, (-val_loss, -epoch)) AS INT) AS best_epoch, CAST(coalesce(any_value(st.stop), -1) AS INT) AS stop_epoch
  FROM b, st WHERE st.stop IS NULL OR epoch <= st.stop""")
 def q_early_stop(spark, sf_dir):
-    """M7: best epoch and stop epoch (patience 3) over a history; -1 = never stopped."""
-    r = tr.early_stop(loss_history(spark, sf_dir), "val_loss", 3)
+    """M7: best epoch and stop epoch (patience 1) of a real training's dev losses; -1 = never stopped."""
+    r = tr.early_stop(sparse_history(spark, sf_dir), "val_loss", 1)
     return r.select("best_epoch", F.coalesce("stop_epoch", F.lit(-1)).alias("stop_epoch"))
 
 
+@register("softmax_sparse", "WITH " + oq.softmax_ctes(1, HISTORY_LR) + """
+ SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE list_position(em, top) - 1 = tag_id) AS n_right,
+        round(sum(em[tag_id + 1] - top - ln(z)), 6) AS log_p FROM s1 GROUP BY doc_id""")
+def q_softmax_sparse(spark, sf_dir):
+    """M9: the softmax tagger on sparse features after one full-batch step, scored on all tokens: each document's right tags and the log of its tags' probabilities."""
+    tokens, _ = encoded_tokens(spark, sf_dir)
+    path = scratch(spark, "encoded-tokens")
+    tokens.write.partitionBy("split").parquet(path)
+    tokens = spark.read.parquet(path)
+    fit = tr.crf_fit(tokens.where(F.col("split") == "train"), None, 1, HISTORY_LR, FULL_BATCH, chain=False)
+    probs = tr.probabilities(tokens, fit.weights).join(tokens.select("doc_id", "pos", "tag_id"), ["doc_id", "pos"])
+    right = me.argmax("probs") == F.col("tag_id")
+    return probs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(right).alias("n_right"),
+                                       F.round(F.sum(F.log(F.get("probs", F.col("tag_id")))), 6).alias("log_p"))
+
+
 def _emb(spark, sf_dir):
     e = fx.read_table(spark, sf_dir, "embeddings")
     return e.where(F.col("vec_id") % 5 != 0), e
@@ -813,6 +876,44 @@ def q_mlp_head(spark, sf_dir):
     return head_facts(out, hd.log_loss(out.where(F.col("vec_id") % 5 != 0)) < entropy)
 
 
+RELU_STEP_SQL = """WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 5 <> 0),
+ n AS (SELECT count(*) AS n FROM x), k AS (SELECT max(label) + 1 AS k FROM embeddings),
+ h AS (SELECT vec_id, label, v, list_transform(range(128), lambda j: greatest(0.0, list_sum(list_transform(range(64), lambda i: v[i + 1] * (((i * 37 + j * 101) % 199 - 99) / 99.0::DOUBLE * sqrt(2.0::DOUBLE / 64)))))) AS h FROM x),
+ z AS (SELECT *, list_transform(range(k), lambda c: list_sum(list_transform(range(128), lambda j: h[j + 1] * (((j * 53 + c * 29) % 197 - 98) / 98.0::DOUBLE * sqrt(2.0::DOUBLE / 128))))) AS z FROM h, k),
+ e AS (SELECT *, list_transform(z, lambda a: exp(a - list_max(z))) AS e FROM z),
+ p AS (SELECT vec_id, label, v, h, list_transform(range(k), lambda c: e[c + 1] / list_sum(e) - CASE WHEN c = label THEN 1 ELSE 0 END) AS d, -ln(e[label + 1] / list_sum(e)) AS loss FROM e),
+ b AS (SELECT *, list_transform(range(128), lambda j: CASE WHEN h[j + 1] > 0 THEN list_sum(list_transform(range(len(d)), lambda c: d[c + 1] * (((j * 53 + c * 29) % 197 - 98) / 98.0::DOUBLE * sqrt(2.0::DOUBLE / 128)))) ELSE 0 END) AS back FROM p),
+ r AS (SELECT vec_id, v, d, h, unnest(back) AS bk, generate_subscripts(back, 1) AS j FROM b),
+ w1 AS (SELECT sum(g * g) AS s FROM (SELECT i, j, sum(vi * bk) / any_value(n) AS g FROM (SELECT j, bk, unnest(v) AS vi, generate_subscripts(v, 1) AS i FROM r), n GROUP BY i, j)),
+ b1 AS (SELECT sum(g * g) AS s FROM (SELECT j, sum(bk) / any_value(n) AS g FROM r, n GROUP BY j)),
+ w2 AS (SELECT sum(g * g) AS s FROM (SELECT j, c, sum(hj * dc) / any_value(n) AS g FROM (SELECT j, h[j] AS hj, unnest(d) AS dc, generate_subscripts(d, 1) AS c FROM r), n GROUP BY j, c)),
+ b2 AS (SELECT sum(g * g) AS s FROM (SELECT c, sum(dc) / any_value(n) AS g FROM (SELECT unnest(d) AS dc, generate_subscripts(d, 1) AS c FROM p), n GROUP BY c)),
+ l AS (SELECT avg(loss) AS loss FROM p)
+ SELECT name AS block, round(loss, 9) AS loss, round(s, 9) AS g_square FROM l, (SELECT 'w1' AS name, s FROM w1 UNION ALL SELECT 'b1', s FROM b1 UNION ALL SELECT 'w2', s FROM w2 UNION ALL SELECT 'b2', s FROM b2)"""
+
+
+@register("relu_head_step", RELU_STEP_SQL)
+def q_relu_head_step(spark, sf_dir):
+    """Mean loss and gradient of the dense(128) - ReLU - dense - softmax head at its start, over all training rows; the squared length of each block."""
+    train, every = _emb(spark, sf_dir)
+    k = int(every.agg(F.max("label")).first()[0]) + 1
+    loss, n, g = rh.gradient(train, rh.ReluHead.start(64, 128, k))
+    rows = [(b, round(loss / n, 9), round(float(((getattr(g, b) / n) ** 2).sum()), 9)) for b in ("w1", "b1", "w2", "b2")]
+    return spark.createDataFrame(rows, "block string, loss double, g_square double")
+
+
+@register("relu_head", HEAD_SQL)
+def q_relu_head(spark, sf_dir):
+    """The ReLU head trained by mini-batch SGD, scored on all rows; fitted: its log loss is below that of the label frequencies."""
+    train, every = _emb(spark, sf_dir)
+    k = int(every.agg(F.max("label")).first()[0]) + 1
+    head, _ = rh.fit(train, k, epochs=10, lr=0.5, batch_size=512)
+    out = rh.score(every, head)
+    n = train.count()
+    entropy = train.groupBy("label").count().agg(-F.sum(F.col("count") / n * F.log(F.col("count") / n))).first()[0]
+    return head_facts(out, hd.log_loss(out.where(F.col("vec_id") % 5 != 0)) < entropy)
+
+
 # ---------------------------------------------------------------- subwords
 
 

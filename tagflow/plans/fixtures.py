@@ -6,7 +6,7 @@ documents so every operator runs over whole tables and grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagflow.functions.text import whitespace_words
@@ -105,6 +105,20 @@ def annotation_files(spark: SparkSession, sf_dir: str, ids: str = "none") -> str
     return path
 
 
+def annotation_arrays(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
+    """F-C as ``files`` files of one JSON array each, documents in order over the files."""
+    raw = raw_annotation_json(annotated(spark, sf_dir, partitioned=False), "none")
+    least, most = raw.agg(F.min("doc_id"), F.max("doc_id")).first()
+    part = F.floor((F.col("doc_id") - F.lit(least or 0)) * files / F.lit((most or 0) - (least or 0) + 1)).cast("int")
+    w = Window.partitionBy("part").orderBy("doc_id")
+    head = F.when(F.row_number().over(w) == 1, "[").otherwise(",")
+    tail = F.when(F.lead("doc_id").over(w).isNull(), "\n]").otherwise("")
+    path = scratch(spark, "annotation-arrays")
+    lines = raw.withColumn("part", part).select("part", "doc_id", F.concat(head, F.lit("\n  "), "json", tail).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
 SECTIONS = [("train", "judgement"), ("train", "preamble"), ("dev", "judgement"), ("dev", "preamble")]
 
 

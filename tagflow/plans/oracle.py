@@ -6,7 +6,7 @@ queries chain.  They read the driver's pre-registered views (``documents``...).
 
 from __future__ import annotations
 
-from tagflow.functions.text import duck_word_tokens
+from tagflow.functions.text import BASIC_PATTERN, CONTROL_PATTERN, duck_word_tokens
 from tagflow.schema import entity_types_sql
 
 LAB = entity_types_sql()
@@ -144,12 +144,17 @@ def vocab_sql(where: str = "") -> str:
 
 
 # ---------------------------------------------------------------- subwords (F-F vocabulary, greedy segmentation)
-BASIC_SQL = r"'[^\s!-/:-@\[-`{-~\p{P}]+|[!-/:-@\[-`{-~\p{P}]'"
+BASIC_SQL = "'" + BASIC_PATTERN + "'"
+
+
+def basic_sql(text: str = "text") -> str:
+    """Basic words: control characters gone, lower case, CJK characters and marks apart."""
+    return f"regexp_extract_all(lower(regexp_replace({text}, '{CONTROL_PATTERN}', '', 'g')), {BASIC_SQL})"
 
 
 def wp_vocab_ctes() -> str:
     return rf"""
-bw AS (SELECT unnest(regexp_extract_all(lower(text), {BASIC_SQL})) AS word FROM documents),
+bw AS (SELECT unnest({basic_sql()}) AS word FROM documents),
 sw AS (SELECT strip_accents(word) AS w FROM bw),
 ch AS (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM sw),
 tw AS (SELECT w FROM (SELECT w, count(*) AS n FROM sw GROUP BY w) ORDER BY n DESC, w LIMIT 500),
@@ -182,7 +187,7 @@ def wp_doc_ctes(max_len: int = 512) -> str:
     """dpi(doc_id, pos, piece, piece_id): [CLS] pieces [SEP] cut to max_len; dpad: padded to max_len."""
     return rf""",
 dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS wpos
-       FROM (SELECT doc_id, regexp_extract_all(lower(text), {BASIC_SQL}) AS ws FROM documents))""" + \
+       FROM (SELECT doc_id, {basic_sql()} AS ws FROM documents))""" + \
         wp_segment_ctes("dw", "d_") + f""",
 dl AS (SELECT doc_id, list(piece ORDER BY wpos, k) AS ps FROM (
          SELECT doc_id, wpos, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM dw JOIN d_wseg USING (word))
@@ -200,7 +205,7 @@ def wp_entity_ctes() -> str:
     """epi(doc_id, j, label, pos, piece_id): F-A span texts as pieces, no specials, no cut (needs spans)."""
     return rf""",
 ew AS (SELECT doc_id, j, label, unnest(ws) AS word, generate_subscripts(ws, 1) AS wpos
-       FROM (SELECT doc_id, j, label, regexp_extract_all(lower(text), {BASIC_SQL}) AS ws FROM spans))""" + \
+       FROM (SELECT doc_id, j, label, {basic_sql()} AS ws FROM spans))""" + \
         wp_segment_ctes("ew", "e_") + """,
 ep0 AS (SELECT doc_id, j, label, list(piece ORDER BY wpos, k) AS ps FROM (
           SELECT doc_id, j, label, wpos, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
@@ -226,3 +231,41 @@ def chain_sql(best: bool) -> str:
     total = " + ".join(f"s[{a + 1}]" for a in range(30))
     tags = ", ".join(f"exp(e[{b + 1}]) * v[{3 * b % 11 + 1}] / v[12]" for b in range(30))
     return f"lambda s, e: list_transform([[{', '.join(into)}, {total}, s[31]]], lambda v: [{tags}, v[13] + ln(v[12])])[1]"
+
+
+# ---------------------------------------------------------------- softmax on sparse features, full-batch gradient descent
+def softmax_ctes(steps: int, lr: float, tags: int = 30) -> str:
+    """sm0 .. sm{steps}: every token with its scores under the weights after so many steps from zero (em, top, z, ll of its own tag)."""
+    out = [features_ctes(), """
+tn AS (SELECT count(DISTINCT doc_id) AS n FROM ft WHERE split = 'train'),
+dn AS (SELECT count(DISTINCT doc_id) AS n FROM ft WHERE split = 'dev'),
+fx AS MATERIALIZED (SELECT fl.doc_id, fl.pos, fl.split, ft.tag_id, coalesce(d.feature_id, 1) AS fid
+                    FROM fl JOIN ft USING (doc_id, pos) LEFT JOIN fdict d ON fl.feature = d.feature),
+em0 AS (SELECT DISTINCT doc_id, pos, split, tag_id, """ + f"list_transform(range({tags}), lambda t: 0.0::DOUBLE) AS em FROM fx)"]
+    for k in range(steps + 1):
+        if k:
+            out.append(f"""
+gd{k} AS (SELECT fx.fid, {', '.join(f"sum(exp(em[{t + 1}] - top) / z - CASE WHEN sm{k - 1}.tag_id = {t} THEN 1 ELSE 0 END) AS g{t}" for t in range(tags))}
+         FROM fx JOIN sm{k - 1} USING (doc_id, pos) WHERE fx.split = 'train' GROUP BY fx.fid),
+wg{k} AS MATERIALIZED (SELECT gd{k}.fid, {', '.join((f"wg{k - 1}.w{t}" if k > 1 else "0") + f" - {lr}::DOUBLE / n * g{t} AS w{t}" for t in range(tags))}
+         FROM gd{k}{f" JOIN wg{k - 1} ON wg{k - 1}.fid = gd{k}.fid" if k > 1 else ""}, tn),
+em{k} AS (SELECT doc_id, pos, any_value(fx.split) AS split, any_value(tag_id) AS tag_id, [{', '.join(f"coalesce(sum(w{t}), 0)" for t in range(tags))}] AS em
+         FROM fx LEFT JOIN wg{k} ON wg{k}.fid = fx.fid GROUP BY doc_id, pos)""")
+        out.append(f"""
+tp{k} AS (SELECT *, list_max(em) AS top FROM em{k}),
+sm{k} AS MATERIALIZED (SELECT *, list_sum(list_transform(em, lambda x: exp(x - top))) AS z FROM tp{k})""")
+    return ",".join(out)
+
+
+def softmax_history(epochs: int, lr: float) -> str:
+    """h(epoch, loss, n_batches, val_loss, dev_f1) of full-batch training."""
+    loss = lambda k, split, n: f"(SELECT -sum(em[tag_id + 1] - top - ln(z)) FROM sm{k} WHERE split = '{split}') / {n}.n"
+    pred = "list_position(em, top) - 1"
+    rows = [f"""SELECT {k} AS epoch, {loss(k, 'train', 'tn')} AS loss, 1 AS n_batches, {loss(k + 1, 'dev', 'dn')} AS val_loss,
+  (SELECT count(*) FILTER (WHERE p = tag_id AND p <> 0) AS tp FROM (SELECT tag_id, {pred} AS p FROM sm{k + 1} WHERE split = 'dev')) AS tp,
+  (SELECT count(*) FILTER (WHERE {pred} <> 0) FROM sm{k + 1} WHERE split = 'dev') AS n_pred, (SELECT count(*) FILTER (WHERE tag_id <> 0) FROM sm{k + 1} WHERE split = 'dev') AS n_true
+ FROM tn, dn""" for k in range(epochs)]
+    return softmax_ctes(epochs, lr) + ",\nh0 AS (" + "\n UNION ALL ".join(rows) + """),
+h1 AS (SELECT *, tp / greatest(n_pred, 1) AS p, tp / greatest(n_true, 1) AS r FROM h0),
+h AS (SELECT CAST(epoch AS INT) AS epoch, round(loss, 6) AS loss, n_batches, round(val_loss, 6) AS val_loss,
+             round(CASE WHEN p + r = 0 THEN 'NaN'::DOUBLE ELSE 2 * p * r / (p + r) END, 6) AS dev_f1 FROM h1)"""
