@@ -21,7 +21,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagflow.llm.common import BLANK, cumulated, seeded, word_count, written
@@ -60,17 +60,17 @@ def van_der_corput(k, bits: int = 48):
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: int = 2,
         block: int = BLOCK_WORDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+        source_col: str = "source", ident: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
     documents: one row per document with ``_doc`` (its key here), size, source_size and target of its source.
     pieces: the mix, (slot, _none, _src, block, _doc, doc_id, _h, size, epoch, start, length): the words
-    [start, start + length) of a document in the given slot; ``slot`` orders the mix, ``_h`` is the text's hash.
+    [start, start + length) of a document in the given slot; ``slot`` orders the mix, ``_h`` is the text's hash, or ``ident``.
     """
     light = written(docs.select(
         F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"),
         F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"),
-        F.xxhash64(F.col(text_col)).alias("_h")), "mix-sizes")
+        (F.xxhash64(F.col(text_col)) if ident is None else ident).alias("_h")), "mix-sizes")
     targets = written(source_targets(
         light.groupBy("_none", "_src").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs),
         "mix-targets")
@@ -138,22 +138,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source's target ends inside it (``length_col`` is then the new length).  It stands at the place of its first word.  Rows equal in id, source and
     text are told apart by their other columns.
     """
-    _, pieces = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    _, pieces = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, ident=whole, **options)
     key = lambda none, src, i, h: F.concat_ws(":", h.cast("string"), i.cast("string"), none.cast("string"), src)
-    nth = lambda *order: F.dense_rank().over(Window.partitionBy("_key").orderBy(*order))
     takes = (pieces.groupBy("_none", "_src", "doc_id", "_h", "_doc", "epoch", "size").agg(
                 F.sum("length").alias("_words"), F.min(F.struct("slot", "start")).alias("_place"))
-             .select(key(F.col("_none"), F.col("_src"), F.col("doc_id"), F.col("_h")).alias("_key"), "_doc", "epoch", "_place", "_words", (F.col("_words") < F.col("size")).alias("_cut"))
-             .withColumn("_n", nth("_doc")))
+             .select(key(F.col("_none"), F.col("_src"), F.col("doc_id"), F.col("_h")).alias("_key"), "_doc", "epoch", "_place", "_words", (F.col("_words") < F.col("size")).alias("_cut")))
     src = F.col(source_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                       key(src.isNull(), F.coalesce(src.cast("string"), F.lit("")), F.col(id_col), F.xxhash64(F.col(text_col))).alias("_key"),
-                       F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_tie"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_tie")))
+                       key(src.isNull(), F.coalesce(src.cast("string"), F.lit("")), F.col(id_col), whole).alias("_key"))
+    # rows of one key are equal in every column, so any of them stands for all; the join goes on with the window's partitions
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1").drop("_n")
     text = F.col("_row").getField(text_col)
     begin = F.regexp_extract_all(text, F.concat(F.lit(rf"^(?:[{BLANK}]*+[^{BLANK}]++){{"), F.col("_words").cast("string"), F.lit("}+")), F.lit(0))
     new = F.when(F.col("_cut"), F.get(begin, 0)).otherwise(text)
-    out = rows.join(takes, ["_key", "_n"]).select("_row", new.alias("_new"), "_cut", "_place", "_key", "_doc", "epoch")
+    out = once.join(takes, "_key").select("_row", new.alias("_new"), "_cut", "_place", "_key", "_doc", "epoch")
     put = {text_col: F.col("_new")}
     if length_col in docs.columns:
         old = F.col("_row").getField(length_col)
