@@ -804,12 +804,12 @@ def sparse_history(spark, sf_dir):
     tokens.write.partitionBy("split").parquet(path)
     tokens = spark.read.parquet(path)
     fit = tr.crf_fit(tokens.where(F.col("split") == "train"), tokens.where(F.col("split") == "dev"), HISTORY_EPOCHS, HISTORY_LR, FULL_BATCH, chain=False)
-    return fit.history.select("epoch", F.round("loss", 6).alias("loss"), "n_batches", F.round("val_loss", 6).alias("val_loss"), F.round("dev_f1", 6).alias("dev_f1"))
+    return fit.history.select("epoch", F.round("loss", 6).alias("loss"), "n_batches", F.round("val_loss", 6).alias("val_loss"), F.round(F.nanvl("dev_f1", F.lit(-1.0)), 6).alias("dev_f1"))
 
 
 @register("epoch_history", "WITH " + oq.softmax_history(HISTORY_EPOCHS, HISTORY_LR) + " SELECT epoch, loss, n_batches, val_loss, dev_f1 FROM h")
 def q_epoch_history(spark, sf_dir):
-    """M6+M9: mean training loss, dev loss and dev F1 of each epoch of the softmax tagger on sparse features."""
+    """M6+M9: mean training loss, dev loss and dev F1 (-1 where no tag is found) of each epoch of the softmax tagger on sparse features."""
     return sparse_history(spark, sf_dir)
 
 
@@ -828,7 +828,7 @@ def q_early_stop(spark, sf_dir):
 
 @register("softmax_sparse", "WITH " + oq.softmax_ctes(1, HISTORY_LR) + """
  SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE list_position(em, top) - 1 = tag_id) AS n_right,
-        round(sum(em[tag_id + 1] - top - ln(z)), 6) AS log_p FROM s1 GROUP BY doc_id""")
+        round(sum(em[tag_id + 1] - top - ln(z)), 6) AS log_p FROM sm1 GROUP BY doc_id""")
 def q_softmax_sparse(spark, sf_dir):
     """M9: the softmax tagger on sparse features after one full-batch step, scored on all tokens: each document's right tags and the log of its tags' probabilities."""
     tokens, _ = encoded_tokens(spark, sf_dir)

@@ -268,4 +268,4 @@ def softmax_history(epochs: int, lr: float) -> str:
     return softmax_ctes(epochs, lr) + ",\nh0 AS (" + "\n UNION ALL ".join(rows) + """),
 h1 AS (SELECT *, tp / greatest(n_pred, 1) AS p, tp / greatest(n_true, 1) AS r FROM h0),
 h AS (SELECT CAST(epoch AS INT) AS epoch, round(loss, 6) AS loss, n_batches, round(val_loss, 6) AS val_loss,
-             round(CASE WHEN p + r = 0 THEN 'NaN'::DOUBLE ELSE 2 * p * r / (p + r) END, 6) AS dev_f1 FROM h1)"""
+             round(CASE WHEN p + r = 0 THEN -1.0::DOUBLE ELSE 2 * p * r / (p + r) END, 6) AS dev_f1 FROM h1)"""
