@@ -26,12 +26,13 @@ from __future__ import annotations
 import html as entities
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tagflow.llm.common import prepared, written
+from tagflow.llm.common import dropped, prepared, written
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -283,9 +284,9 @@ def page_leaves(page: str | None) -> tuple[list[tuple[str, int, bool]], list[tup
 
 def extract(page: str | None, low: set[tuple[int, int]] = frozenset()) -> str:
     """Main text of one page; ``low`` are the (path, hash) of blocks that are of low importance on its host."""
-    blocks = [b for b, _, _ in page_leaves(page)[0]]
-    left = [b for b, path, _ in page_leaves(page)[0] if (path, digest(b)) not in low] if low else blocks
-    return "\n".join(left or blocks)
+    blocks = page_leaves(page)[0]
+    left = [b for b, path, _ in blocks if (path, digest(b)) not in low] if low else None
+    return "\n".join(left or [b for b, _, _ in blocks])
 
 
 # --------------------------------------------------------------------------- site style tree
@@ -299,36 +300,29 @@ def sketch(hashes) -> list[int]:
 
 
 def page_table(pages: DataFrame) -> DataFrame:
-    """One row per page: row, page_id, url, host, unit (hash of its whole text), bounded, texts, leaves, styles and the min-hash values of its blocks."""
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-
+    """One row per page: host, page (hash of its html), unit (hash of its whole text), bounded, leaves, styles and the min-hash values of its blocks."""
     def parsed(batches):
-        from pyspark import TaskContext
-        row = TaskContext.get().partitionId() << 40
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                texts, leaf, style, unit, bounded, sketches = [], [], [], [], [], []
-                for page in part.column(3).to_pylist():
+                leaf, style, unit, bounded, sketches = [], [], [], [], []
+                for page in part.column(2).to_pylist():
                     blocks, styles, inside = page_leaves(page)
                     hashes = [digest(t) for t, _, _ in blocks]
-                    texts.append([t for t, _, _ in blocks])
                     leaf.append([{"path": p, "h": h, "hint": s} for (_, p, s), h in zip(blocks, hashes)])
                     style.append([{"path": p, "h": h} for p, h in sorted(set(styles))])
-                    unit.append(digest("\n".join(texts[-1])))
+                    unit.append(digest("\n".join(t for t, _, _ in blocks)))
                     bounded.append(inside)
                     sketches.append(sketch(set(hashes)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(range(row, row + part.num_rows), pa.int64()), part.column(0), part.column(1), part.column(2), pa.array(unit, pa.int64()), pa.array(bounded, pa.bool_()),
-                    pa.array(texts, pa.list_(pa.string())), pa.array(leaf, pa.list_(pa.struct([("path", pa.int64()), ("h", pa.int64()), ("hint", pa.bool_())]))),
+                    part.column(0), part.column(1), pa.array(unit, pa.int64()), pa.array(bounded, pa.bool_()),
+                    pa.array(leaf, pa.list_(pa.struct([("path", pa.int64()), ("h", pa.int64()), ("hint", pa.bool_())]))),
                     pa.array(style, pa.list_(pa.struct([("path", pa.int64()), ("h", pa.int64())]))), *[pa.array([s[k] for s in sketches], pa.int64()) for k in range(HASHES)]],
-                    names=["row", "page_id", "url", "host", "unit", "bounded", "texts", "leaves", "styles", *[f"k{k}" for k in range(HASHES)]])
-                row += part.num_rows
+                    names=["host", "page", "unit", "bounded", "leaves", "styles", *[f"k{k}" for k in range(HASHES)]])
 
     prepared(pages.sparkSession)
-    schema = (f"row long, page_id {kinds['page_id']}, url {kinds['url']}, host string, unit long, bounded boolean, texts array<string>, leaves {LEAVES}, styles {STYLES}, "
-              + ", ".join(f"k{k} long" for k in range(HASHES)))
-    return pages.select("page_id", "url", "host", "html").mapInArrow(parsed, schema)
+    schema = f"host string, page long, unit long, bounded boolean, leaves {LEAVES}, styles {STYLES}, " + ", ".join(f"k{k} long" for k in range(HASHES))
+    return pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(parsed, schema)
 
 
 def style_trees(units: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -358,8 +352,7 @@ def distinct_texts(table: DataFrame) -> DataFrame:
 
 def importance(pages: DataFrame) -> DataFrame:
     """The paths of site style trees (host, path, pages, content, presentation); ``pages`` has host and html."""
-    nothing = F.lit(None).cast("string")
-    return style_trees(distinct_texts(page_table(pages.select(nothing.alias("page_id"), nothing.alias("url"), "host", "html"))))[0]
+    return style_trees(distinct_texts(page_table(pages)))[0]
 
 
 def low_blocks(units: DataFrame) -> DataFrame:
@@ -379,14 +372,23 @@ def host_of(url):
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every page; each page is parsed once."""
+    """page_id, url, text and n_chars of every page.
+
+    A page is parsed for the site's trees, of which only hashes are kept, and again for its text, so no text is written or moved in between.
+    """
+    prepared(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    table = written(page_table(own), "site-pages", "zstd")
+    table = written(page_table(own), "site-pages")
     low = low_blocks(distinct_texts(table))
     # each page's own blocks meet the host's low ones row by row, so that a page's list is as long as the page and no host has one
-    found = table.select("row", "host", F.posexplode("leaves").alias("i", "x")).select("row", "host", "i", "x.path", "x.h").join(low, ["host", "path", "h"])
-    gone = written(found.groupBy("row").agg(F.collect_set("i").alias("gone")), "site-low")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("texts") - 1), F.col("gone")), lambda i: F.get("texts", i))
-    kept = F.when(F.col("gone").isNull() | (F.size("gone") == F.size("texts")), F.col("texts")).otherwise(left)
-    out = table.select("row", "page_id", "url", "texts").join(gone, "row", "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    found = table.select("host", "page", F.explode("leaves").alias("x")).select("host", "page", "x.path", "x.h").distinct().join(low, ["host", "path", "h"])
+    gone = written(found.groupBy("host", "page").agg(F.collect_list(F.struct("path", "h")).alias("gone")), "site-low")
+    dropped(table)
+
+    @F.pandas_udf("string")
+    def text_of(html: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([extract(h, frozenset() if x is None else {(r["path"], r["h"]) for r in x}) for h, x in zip(html, lists)], dtype=object)
+
+    # the lists are joined as Spark finds fit: small ones are broadcast by measured size, else a much-copied page is split
+    return (own.withColumn("page", F.xxhash64("html")).join(gone, ["host", "page"], "left").select("page_id", "url", text_of("html", "gone").alias("text"))
+            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
