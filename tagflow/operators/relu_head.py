@@ -1,8 +1,8 @@
 """Dense - ReLU - dense - softmax over frozen vectors, trained by mini-batch SGD.
 
 Weights are two small dense layers (d x h and h x k numbers, bounded by the arguments), held by the driver and sent with each step.  A step is one job:
-tasks run forward and backward over their rows of the batch in numpy, add gradients up, and Spark adds the tasks' sums by weight row.
-Rows get their batch from the seeded hash of their id, once, and keep it for all epochs; the result doesn't depend on partitions
+tasks run forward and backward over their rows of the batch in numpy and add gradients up; a whole table's sums (``gradient``) are added by Spark by weight row.
+Rows get their batch from the seeded hash of their id, once, and keep it for all epochs, each batch in partitions of its own; the result doesn't depend on partitions
 but for the order of floating-point sums.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagflow.operators.metrics import argmax
-from tagflow.session import scratch
+from tagflow.session import kept_rdd
 
 
 @dataclass
@@ -93,20 +93,58 @@ def fit(train: DataFrame, n_classes: int, hidden: int = 128, epochs: int = 20, l
     own = train.select(id_col, vec_col, label_col).where(F.col(vec_col).isNotNull() & F.col(label_col).isNotNull())
     n, d = own.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
     parts = max(1, -(-n // batch_size))
-    path = scratch(spark, "relu-batches")
-    own.withColumn("_b", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(parts)).cast("int")).repartitionByRange("_b", id_col).write.partitionBy("_b").parquet(path)
     head, history = ReluHead.start(d or 1, hidden, n_classes), []
-    rows = spark.read.parquet(path) if n else own
+    if not n:
+        return head, [0.0] * epochs
+    tasks = min(MOST_TASKS, -(-min(batch_size, n) // TASK_ROWS))
+    rows = keep_batches(own.toDF("_id", "_v", "_y").withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(parts))), parts, tasks)
     for _ in range(epochs):
         total = 0.0
-        for b in range(parts if n else 0):
-            loss, size, g = gradient(rows.where(F.col("_b") == b), head, vec_col, label_col)
+        for b in range(parts):
+            loss, size, g = batch_gradient(rows, head, range(b * tasks, (b + 1) * tasks))
             total += loss
-            head = head.moved(g, lr / max(size, 1))
-        history.append(total / max(n, 1))
+            if size:
+                head = head.moved(g, lr / size)
+        history.append(total / n)
     return head, history
 
 
+TASK_ROWS, MOST_TASKS = 1 << 14, 64  # a batch of more rows is spread over tasks, at most so many
+
+
+def keep_batches(rows: DataFrame, parts: int, tasks: int):
+    """Rows (_id, _v, _y, _b) as an RDD of packed (vectors, labels), batch ``b`` in the partitions from ``b * tasks`` on, kept in the checkpoint folder:
+    a step then runs on the partitions of its batch, without a plan or a listing of files."""
+    placed = rows.withColumn("_p", (F.col("_b") * tasks + F.pmod(F.hash("_id"), F.lit(tasks))).cast("int"))
+    placed = placed.select("_p", "_id", F.col("_v").cast("array<double>").alias("_v"), F.col("_y").cast("long").alias("_y"))
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([_vectors(b.column(0)).tobytes()]), pa.array([np.asarray(b.column(1), np.int64).tobytes()])], names=["x", "y"])
+
+    packed = placed.repartitionById(parts * tasks, "_p").sortWithinPartitions("_id").select("_v", "_y").mapInArrow(pack, "x binary, y binary")
+    return kept_rdd(rows.sparkSession, packed.rdd.map(lambda r: (bytes(r.x), bytes(r.y))))
+
+
+def batch_gradient(rows, head: ReluHead, partitions) -> tuple[float, int, ReluHead | None]:
+    """``gradient`` of the rows in some partitions of ``keep_batches``: each task adds its rows up, the driver the tasks' sums (at most ``MOST_TASKS``)."""
+    def run(chunks):
+        loss, n, total = 0.0, 0, None
+        for x, y in chunks:
+            y = np.frombuffer(y, np.int64)
+            got, g = head.gradients(np.frombuffer(x).reshape(len(y), -1), y)
+            loss, n = loss + got, n + len(y)
+            total = g if total is None else total.moved(g, -1.0)
+        return [] if total is None else [(loss, n, total)]
+
+    loss, n, total = 0.0, 0, None
+    for own, size, g in rows.context.runJob(rows, run, list(partitions)):
+        loss, n = loss + own, n + size
+        total = g if total is None else total.moved(g, -1.0)
+    return loss, n, total
+
+
 def score(rows: DataFrame, head: ReluHead, vec_col: str = "embedding") -> DataFrame:
     """Adds ``probs`` and ``pred``; a row without a vector has neither."""
     @F.pandas_udf("array<double>")

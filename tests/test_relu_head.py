@@ -59,3 +59,15 @@ def test_it_learns_what_a_line_cant(spark):
 def test_empty(spark):
     head, history = rh.fit(spark.createDataFrame([], SCHEMA), 3, epochs=1)
     assert head.w2.shape == (128, 3) and history == [0.0]
+
+
+def test_a_step_runs_on_the_partitions_of_its_batch_only(spark):
+    x, y = data(200)
+    rows = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], SCHEMA).toDF("_id", "_v", "_y")
+    kept = rh.keep_batches(rows.withColumn("_b", F.pmod("_id", F.lit(4))), 4, 3)
+    head = rh.ReluHead.start(5, 8, 3)
+    assert kept.getNumPartitions() == 12 and kept.isCheckpointed()
+    for b in range(4):
+        loss, n, g = rh.batch_gradient(kept, head, range(3 * b, 3 * b + 3))
+        want, h = head.gradients(x[b::4], y[b::4])
+        assert n == 50 and abs(loss - want) < 1e-9 and np.allclose(g.w1, h.w1) and np.allclose(g.b2, h.b2)
