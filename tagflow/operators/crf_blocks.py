@@ -62,17 +62,18 @@ def best_matrix(em: np.ndarray, trans: np.ndarray, start: np.ndarray | None) ->
     return rows
 
 
-def _mapped(df: DataFrame, one, schema: str) -> DataFrame:
-    """``one`` turns a row (as a dict) into a dict of the schema's columns, or None."""
+def _mapped(df: DataFrame, one, schema: str, score: crf.Scorer | None = None) -> DataFrame:
+    """``one`` turns a row (as a dict) into a dict of the schema's columns, or None; with a ``score`` the row has its emission rows as ``em``."""
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
-    def run(batches):
+    def run(batches, weight_rows=None):
         for pdf in batches:
-            rows = [r for r in (one(dict(zip(pdf.columns, v))) for v in zip(*[pdf[c] for c in pdf.columns])) if r is not None]
+            rows = (dict(zip(pdf.columns, v)) for v in zip(*[pdf[c] for c in pdf.columns]))
+            rows = [r for r in (one(r if weight_rows is None else r | {"em": weight_rows(r["xs"])}) for r in rows) if r is not None]
             if rows:
                 yield pd.DataFrame({n: [r[n] for r in rows] for n in names})
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema) if score is None else score.map(df, run, schema)
 
 
 def _per_document(df: DataFrame, *cols: str) -> DataFrame:
@@ -86,14 +87,14 @@ def _matrices(blocks: DataFrame, score: crf.Scorer, params: crf.ChainParams, mat
     trans, start = params.trans, params.start
 
     def one(r):
-        em = score.rows(r["xs"])
+        em = r["em"]
         out = {"doc_id": r["doc_id"], "block": r["block"], "m": matrix(em, trans, start if r["block"] == 0 else None).ravel()}
         if gold:
             y = np.asarray(r["ts"], np.int64)
             out |= {"gold": float(em[np.arange(len(y)), y].sum() + trans[y[:-1], y[1:]].sum()), "first": int(y[0]), "last": int(y[-1])}
         return out
 
-    return _mapped(blocks, one, "doc_id long, block long, m array<double>" + (", gold double, first int, last int" if gold else ""))
+    return _mapped(blocks, one, "doc_id long, block long, m array<double>" + (", gold double, first int, last int" if gold else ""), score)
 
 
 def _forward(ms, t: int, join) -> list[np.ndarray]:
@@ -138,7 +139,7 @@ def marginals(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, bl
     edge = edge.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
 
     def one(r):
-        em, n = score.rows(r["xs"]), len(r["xs"]) if score.matrix is not None else len(r["xs"]) // t
+        em, n = r["em"], len(r["em"])
         f, g = np.empty((n, t)), np.empty((n, t))
         f[0] = em[0] + (start if r["block"] == 0 else _lse(np.asarray(r["entry"])[:, None] + trans, 0))
         for i in range(1, n):
@@ -149,7 +150,7 @@ def marginals(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, bl
         s = f + g
         return {"doc_id": r["doc_id"], "block": r["block"], "p": list(np.exp(s - _lse(s, 1)[:, None]))}
 
-    got = _mapped(blocks.join(edge, ["doc_id", "block"]), one, "doc_id long, block long, p array<array<double>>")
+    got = _mapped(blocks.join(edge, ["doc_id", "block"]), one, "doc_id long, block long, p array<array<double>>", score)
     return got.select("doc_id", "block", F.posexplode("p").alias("i", "p")).select("doc_id", (F.col("block") * block + F.col("i")).cast("int").alias("pos"), "p")
 
 
@@ -194,7 +195,7 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
 
     def links(r):
         """For each last tag of a block the tag before the block."""
-        em = score.rows(r["xs"])
+        em = r["em"]
         first, came = before(r["entry"], r["block"])
         _, back = _paths(em, trans, first)
         tag = np.arange(t)
@@ -209,12 +210,12 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
             tag = int(came[tag])
         return {"doc_id": r["doc_id"], "x": out}
 
-    linked = _mapped(entered, links, "doc_id long, block long, came array<int>, last int")
+    linked = _mapped(entered, links, "doc_id long, block long, came array<int>, last int", score)
     tags = _mapped(_per_document(linked, "came", "last"), chosen, "doc_id long, x array<struct<block:long,tag:int>>")
     tags = tags.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
 
     def walked(r):
-        em = score.rows(r["xs"])
+        em = r["em"]
         first, came = before(r["entry"], r["block"])
         _, back = _paths(em, trans, first)
         p = np.empty(len(em), np.int64)
@@ -225,7 +226,7 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
         total = em[np.arange(len(p)), p].sum() + trans[p[:-1], p[1:]].sum() + into + (end[p[-1]] if r["last"] >= 0 else 0.0)
         return {"doc_id": r["doc_id"], "block": r["block"], "path": p.astype(np.int32), "score": float(total)}
 
-    return _mapped(entered.join(tags, ["doc_id", "block"]), walked, "doc_id long, block long, path array<int>, score double")
+    return _mapped(entered.join(tags, ["doc_id", "block"]), walked, "doc_id long, block long, path array<int>, score double", score)
 
 
 def predict(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block: int = BLOCK, guard_bytes: int = crf.BROADCAST_GUARD_BYTES) -> DataFrame:
