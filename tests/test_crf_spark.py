@@ -92,3 +92,39 @@ def test_wide_and_long_encoding_agree(spark):
     two = vo.feature_encode_wide(wide, fd, ["x", "y"], ["doc_id", "pos"], guard_bytes=0)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == [(1, 0, 7, [2, 3]), (1, 1, 8, [3, 1]), (2, 0, 9, [2, 2])]
     assert F.col("x") is not None
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 3, 1 << 18])
+def test_chunks_encode_every_token(spark, chunk_rows):
+    """Nulls, features outside the dictionary, chunks of any size; features are shuffled once for a chunk, not for each token."""
+    from tagflow.operators import vocab as vo
+    rows = [(i // 10, i % 10, None if i == 7 else "abc"[i % 3], "zz" if i % 4 == 0 else "b", i) for i in range(40)]
+    wide = spark.createDataFrame(rows, "doc_id long, pos int, x string, y string, tag_id int").repartition(3)
+    fd = vo.feature_dict(spark.createDataFrame([("a",), ("b",), ("c",)], "feature string"))
+    ids = {"a": 2, "b": 3, "c": 4}
+    got = vo.encode_by_chunks(wide, fd, ["x", "y"], chunk_rows)
+    assert sorted(map(tuple, got.collect())) == [(d, p, t, [ids.get(x, 1), ids.get(y, 1)]) for d, p, x, y, t in rows]
+    chunks = vo.coded_chunks(wide, ["x", "y"], 1 << 18).where("_feature is not null")
+    assert chunks.count() <= 3 * 5
+
+
+def test_blocks_of_sequences_get_the_rows_of_their_features(spark, encoded):
+    """Any number of blocks gives the emissions of the broadcast matrix; features without a row score zero."""
+    import pandas as pd
+    tokens, w = encoded[0].where("doc_id < 20"), encoded[1].where("feature_id % 3 <> 0")
+    score = crf.scorer(w, guard_bytes=0)
+    assert score.packed and score.matrix is None
+    seqs = crf.sequences(tokens, w, score, labels=None)
+
+    def run(frames, rows):
+        for pdf in frames:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [float(rows(x).sum()) for x in pdf["xs"]]})
+
+    got = [{r.doc_id: r.s for r in crf.with_rows(seqs, w, 30, run, "doc_id long, s double", block_ids=n).collect()} for n in (500, 1 << 30)]
+    want = {}
+    for r in crf.emissions(tokens, w).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0.0) + sum(r.em)
+    for one in got:
+        assert one.keys() == want.keys() and all(abs(one[k] - want[k]) < 1e-6 for k in want)
+    far = {(r.doc_id, r.pos): r.em for r in crf.emissions(tokens, w, guard_bytes=0).collect()}
+    assert far == {(r.doc_id, r.pos): r.em for r in crf.emissions(tokens, w).collect()}
