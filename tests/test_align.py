@@ -108,3 +108,13 @@ def test_null_ids_fail_instead_of_losing_the_document(spark):
     df = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     with pytest.raises(Exception, match="must not be null"):
         align.tokens(align.by_doc(df)).collect()
+
+
+def test_partitions_grow_with_the_text(spark):
+    """A task holds a bounded share of the text, whatever the corpus (a fixed or merged number of partitions would hold ever more)."""
+    cores = spark.sparkContext.defaultParallelism
+    for n in (40, 400):
+        docs = spark.createDataFrame([(i, "x" * 1000) for i in range(n * cores)], "doc_id long, text string")
+        parts = align.by_doc(docs, per_task=20_000)
+        assert parts.rdd.getNumPartitions() == n * cores // 20 and parts.count() == n * cores
+    assert align.by_doc(docs.where("doc_id < 0")).count() == 0
