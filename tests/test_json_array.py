@@ -48,3 +48,20 @@ def test_splits_equal_the_whole_file(spark, tmp_path, split, indent, sizes):
 def test_small_arrays(spark, tmp_path, text, n):
     (tmp_path / "a.json").write_text(text)
     assert ja.array_records(spark, str(tmp_path)).count() == n
+
+
+def test_arrays_grow_in_number_and_keep_their_order(spark):
+    """Files are cut by size; from ten files on their names still sort in the order of documents."""
+    import glob
+
+    from conftest import SF_SMALL
+    from tagflow.plans import fixtures as fx
+
+    def read(**how):
+        path = fx.annotation_arrays(spark, SF_SMALL, **how)
+        docs = ja.read_annotation_arrays(spark, path).select("doc_id", "text")
+        return len(glob.glob(f"{path.removeprefix('file:')}/part=*")), [r.text for r in docs.orderBy("doc_id").collect()]
+
+    want = [r.text for r in fx.documents(spark, SF_SMALL).orderBy("doc_id").collect()]
+    (few, a), (many, b) = read(), read(file_bytes=30_000)
+    assert few == 4 and many > 11 and a == b == want
