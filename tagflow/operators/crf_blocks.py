@@ -54,24 +54,79 @@ def summed_matrix(em: np.ndarray, trans: np.ndarray, start: np.ndarray | None) -
         return np.maximum(np.log(rows) + log, NONE)
 
 
-def best_matrix(em: np.ndarray, trans: np.ndarray, start: np.ndarray | None) -> np.ndarray:
-    """The same for the best path."""
-    rows = (start + em[0])[None] if start is not None else trans + em[0]
-    for i in range(1, len(em)):
-        rows = (rows[:, :, None] + trans[None]).max(axis=1) + em[i]
-    return rows
+def best_matrices(ems: list[np.ndarray], trans: np.ndarray, start: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The same for the best path, of many blocks at once; ``first`` says which begin a document.
+
+    Best paths from all tags before a block soon share a tag.  From there on the rows of its matrix differ by constants only, up to rounding, and one
+    row goes on for all; a block whose rows never meet keeps them all.
+    """
+    t, out, into = len(trans), [None] * len(ems), np.ascontiguousarray(trans.T)
+    for idx in crf._chunks(np.array([len(e) for e in ems])):  # by rising length
+        em, lens = crf._pad([ems[i] for i in idx], np.arange(len(idx)), t)
+        row, more = start + em[:, 0], np.zeros((len(idx), t))
+        wide = np.flatnonzero(~first[idx])
+        m = trans[None] + em[wide, 0][:, None]
+        for i in range(em.shape[1]):
+            live = int(np.searchsorted(lens, i, "right"))
+            if i:
+                row[live:] = (row[live:, None] + into).max(axis=2) + em[live:, i]
+            if not len(wide):
+                continue
+            over = lens[wide] <= i
+            for k, x in zip(wide[over], m[over]):
+                out[idx[k]] = x
+            wide, m = wide[~over], m[~over]
+            if i:
+                best = m[:, :, :1] + trans[0]
+                for a in range(1, t):
+                    np.maximum(best, m[:, :, a:a + 1] + trans[a], out=best)
+                m = best + em[wide, i][:, None]
+            top = m.max(axis=2)
+            shape = m - top[:, :, None]
+            apart = np.abs(shape - shape[:, :1]).max(axis=(1, 2), initial=0.0)
+            met = apart <= 1e-15 * (i + 1) * (1.0 + np.abs(top).max(axis=1, initial=0.0))
+            row[wide[met]], more[wide[met]] = shape[met, 0], top[met]
+            wide, m = wide[~met], m[~met]
+        for k, x in zip(wide, m):
+            out[idx[k]] = x
+        for k, i in enumerate(idx):
+            if out[i] is None:
+                out[i] = row[k][None] if first[i] else more[k][:, None] + row[k][None]
+    return out
+
+
+TOKENS_AT_ONCE = 1 << 16  # tokens of the blocks that are worked on together
 
 
 def _mapped(df: DataFrame, one, schema: str, score: crf.Scorer | None = None) -> DataFrame:
     """``one`` turns a row (as a dict) into a dict of the schema's columns, or None; with a ``score`` the row has its emission rows as ``em``."""
+    return _mapped_many(df, lambda rows: [one(r) for r in rows], schema, score)
+
+
+def _mapped_many(df: DataFrame, many, schema: str, score: crf.Scorer | None = None) -> DataFrame:
+    """``_mapped`` for a ``many`` that turns a list of rows, of about ``TOKENS_AT_ONCE`` tokens, into a list."""
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
+    def parts(pdf, weight_rows):
+        held, size = [], 0
+        for v in zip(*[pdf[c] for c in pdf.columns]):
+            r = dict(zip(pdf.columns, v))
+            if weight_rows is not None:
+                r["em"] = weight_rows(r.pop("xs"))
+            held.append(r)
+            size += len(r["em"]) if weight_rows is not None else 0
+            if size >= TOKENS_AT_ONCE:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
     def run(batches, weight_rows=None):
         for pdf in batches:
-            rows = (dict(zip(pdf.columns, v)) for v in zip(*[pdf[c] for c in pdf.columns]))
-            rows = [r for r in (one(r if weight_rows is None else r | {"em": weight_rows(r["xs"])}) for r in rows) if r is not None]
-            if rows:
-                yield pd.DataFrame({n: [r[n] for r in rows] for n in names})
+            for part in parts(pdf, weight_rows):
+                rows = [r for r in many(part) if r is not None]
+                if rows:
+                    yield pd.DataFrame({n: [r[n] for r in rows] for n in names})
 
     return df.mapInPandas(run, schema) if score is None else score.map(df, run, schema)
 
@@ -82,13 +137,13 @@ def _per_document(df: DataFrame, *cols: str) -> DataFrame:
     return packed.select("doc_id", F.col("_b.block").alias("block"), *[F.col(f"_b.{c}").alias(c) for c in cols])
 
 
-def _matrices(blocks: DataFrame, score: crf.Scorer, params: crf.ChainParams, matrix, gold: bool = False) -> DataFrame:
-    """(doc_id, block, m array<double>[, gold, first, last]): each block's matrix, and the score inside it of its own tags."""
+def _matrices(blocks: DataFrame, score: crf.Scorer, params: crf.ChainParams, gold: bool = False) -> DataFrame:
+    """(doc_id, block, m array<double>[, gold, first, last]): each block's log-sum matrix, and the score inside it of its own tags."""
     trans, start = params.trans, params.start
 
     def one(r):
         em = r["em"]
-        out = {"doc_id": r["doc_id"], "block": r["block"], "m": matrix(em, trans, start if r["block"] == 0 else None).ravel()}
+        out = {"doc_id": r["doc_id"], "block": r["block"], "m": summed_matrix(em, trans, start if r["block"] == 0 else None).ravel()}
         if gold:
             y = np.asarray(r["ts"], np.int64)
             out |= {"gold": float(em[np.arange(len(y)), y].sum() + trans[y[:-1], y[1:]].sum()), "first": int(y[0]), "last": int(y[-1])}
@@ -109,7 +164,7 @@ def _forward(ms, t: int, join) -> list[np.ndarray]:
 def loglik(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block: int = BLOCK, guard_bytes: int = crf.BROADCAST_GUARD_BYTES) -> DataFrame:
     """M2: (doc_id, loglik) of the tags of sequences of any length."""
     score = crf.scorer(weights, params.n_tags, guard_bytes)
-    ms = _matrices(cut(tokens, score, weights, block), score, params, summed_matrix, gold=True)
+    ms = _matrices(cut(tokens, score, weights, block), score, params, gold=True)
     t, trans, start, end = params.n_tags, params.trans, params.start, params.end
 
     def one(r):
@@ -135,7 +190,7 @@ def marginals(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, bl
         entry = [np.full(t, NONE), *ahead[:-1]]
         return {"doc_id": r["doc_id"], "x": [{"block": int(b), "entry": list(v), "rest": list(w)} for b, v, w in zip(r["block"], entry, reversed(behind))]}
 
-    edge = _mapped(_per_document(_matrices(blocks, score, params, summed_matrix), "m"), borders, "doc_id long, x array<struct<block:long,entry:array<double>,rest:array<double>>>")
+    edge = _mapped(_per_document(_matrices(blocks, score, params), "m"), borders, "doc_id long, x array<struct<block:long,entry:array<double>,rest:array<double>>>")
     edge = edge.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
 
     def one(r):
@@ -155,14 +210,25 @@ def marginals(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, bl
 
 
 # --------------------------------------------------------------------------- M4 / M5
-def _paths(em: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores at the last token, back pointers of all but the first token)."""
-    s, back = first + em[0], np.zeros((len(em), em.shape[1]), np.int16)
-    for i in range(1, len(em)):
-        both = s[:, None] + trans
-        back[i] = both.argmax(axis=0)
-        s = both[back[i], np.arange(len(s))] + em[i]
-    return s, back
+def _paths(ems: list[np.ndarray], trans: np.ndarray, start: np.ndarray, entry: list):
+    """For chunks of blocks, by rising length: (their indexes, lengths, back pointers (b, L, T), the tag before each first tag); ``entry`` has
+    the scores of the tags before a block, None where a document begins."""
+    t, into = len(trans), np.ascontiguousarray(trans.T)
+    for idx in crf._chunks(np.array([len(e) for e in ems])):
+        em, lens = crf._pad([ems[i] for i in idx], np.arange(len(idx)), t)
+        head = np.array([entry[i] is None for i in idx])
+        both = np.stack([np.zeros(t) if entry[i] is None else np.asarray(entry[i], float) for i in idx])[:, None] + into
+        came = both.argmax(axis=2)
+        s = np.where(head[:, None], start, np.take_along_axis(both, came[:, :, None], 2)[:, :, 0]) + em[:, 0]
+        came[head] = -1
+        back = np.zeros(em.shape, np.int16)
+        for i in range(1, em.shape[1]):
+            live = int(np.searchsorted(lens, i, "right"))
+            both = s[live:, None] + into
+            at = both.argmax(axis=2)  # the first of equals
+            back[live:, i] = at
+            s[live:] = np.take_along_axis(both, at[:, :, None], 2)[:, :, 0] + em[live:, i]
+        yield idx, lens, back, came
 
 
 def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block: int = BLOCK, guard_bytes: int = crf.BROADCAST_GUARD_BYTES) -> DataFrame:
@@ -179,29 +245,31 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
         return {"doc_id": r["doc_id"], "x": [{"block": int(b), "entry": list(v), "last": last if k == n - 1 else -1}
                                              for k, (b, v) in enumerate(zip(r["block"], [np.zeros(t), *ahead[:-1]]))]}
 
-    edge = _mapped(_per_document(_matrices(blocks, score, params, best_matrix), "m"), entries, "doc_id long, x array<struct<block:long,entry:array<double>,last:int>>")
+    def best(rows):
+        ms = best_matrices([r["em"] for r in rows], trans, start, np.array([r["block"] == 0 for r in rows]))
+        return [{"doc_id": r["doc_id"], "block": r["block"], "m": m.ravel()} for r, m in zip(rows, ms)]
+
+    matrices = _mapped_many(blocks, best, "doc_id long, block long, m array<double>", score)
+    edge = _mapped(_per_document(matrices, "m"), entries, "doc_id long, x array<struct<block:long,entry:array<double>,last:int>>")
     edge = edge.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
     path = scratch(tokens.sparkSession, "crf-entries")
     blocks.join(edge, ["doc_id", "block"]).write.parquet(path)
     entered = tokens.sparkSession.read.parquet(path)
 
-    def before(entry, number):
-        """(best score of each first tag, the tag before it)."""
-        if number == 0:
-            return start, np.full(t, -1)
-        both = np.asarray(entry)[:, None] + trans
-        at = both.argmax(axis=0)
-        return both[at, np.arange(t)], at
+    def paths(rows):
+        return _paths([r["em"] for r in rows], trans, start, [None if r["block"] == 0 else r["entry"] for r in rows])
 
-    def links(r):
+    def links(rows):
         """For each last tag of a block the tag before the block."""
-        em = r["em"]
-        first, came = before(r["entry"], r["block"])
-        _, back = _paths(em, trans, first)
-        tag = np.arange(t)
-        for i in range(len(em) - 1, 0, -1):
-            tag = back[i, tag]
-        return {"doc_id": r["doc_id"], "block": r["block"], "came": came[tag].astype(np.int32), "last": r["last"]}
+        out = []
+        for idx, lens, back, came in paths(rows):
+            tag = np.repeat(np.arange(t)[None], len(idx), axis=0)
+            for i in range(back.shape[1] - 1, 0, -1):
+                live = int(np.searchsorted(lens, i, "right"))
+                tag[live:] = np.take_along_axis(back[live:, i], tag[live:], 1)
+            tag = np.take_along_axis(came, tag, 1).astype(np.int32)
+            out += [{"doc_id": rows[k]["doc_id"], "block": rows[k]["block"], "came": c, "last": rows[k]["last"]} for k, c in zip(idx, tag)]
+        return out
 
     def chosen(r):
         out, tag = [], int(r["last"][-1])
@@ -210,23 +278,26 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
             tag = int(came[tag])
         return {"doc_id": r["doc_id"], "x": out}
 
-    linked = _mapped(entered, links, "doc_id long, block long, came array<int>, last int", score)
+    linked = _mapped_many(entered, links, "doc_id long, block long, came array<int>, last int", score)
     tags = _mapped(_per_document(linked, "came", "last"), chosen, "doc_id long, x array<struct<block:long,tag:int>>")
     tags = tags.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
 
-    def walked(r):
-        em = r["em"]
-        first, came = before(r["entry"], r["block"])
-        _, back = _paths(em, trans, first)
-        p = np.empty(len(em), np.int64)
-        p[-1] = r["tag"]
-        for i in range(len(em) - 1, 0, -1):
-            p[i - 1] = back[i, p[i]]
-        into = start[p[0]] if r["block"] == 0 else trans[came[p[0]], p[0]]
-        total = em[np.arange(len(p)), p].sum() + trans[p[:-1], p[1:]].sum() + into + (end[p[-1]] if r["last"] >= 0 else 0.0)
-        return {"doc_id": r["doc_id"], "block": r["block"], "path": p.astype(np.int32), "score": float(total)}
-
-    return _mapped(entered.join(tags, ["doc_id", "block"]), walked, "doc_id long, block long, path array<int>, score double", score)
+    def walked(rows):
+        out = []
+        for idx, lens, back, came in paths(rows):
+            p = np.zeros(back.shape[:2], np.int64)
+            p[np.arange(len(idx)), lens - 1] = [rows[k]["tag"] for k in idx]
+            for i in range(back.shape[1] - 1, 0, -1):
+                live = int(np.searchsorted(lens, i, "right"))
+                p[live:, i - 1] = back[np.arange(live, len(idx)), i, p[live:, i]]
+            for j, k in enumerate(idx):
+                r, q = rows[k], p[j, :lens[j]]
+                into = start[q[0]] if r["block"] == 0 else trans[came[j, q[0]], q[0]]
+                total = r["em"][np.arange(len(q)), q].sum() + trans[q[:-1], q[1:]].sum() + into + (end[q[-1]] if r["last"] >= 0 else 0.0)
+                out.append({"doc_id": r["doc_id"], "block": r["block"], "path": q.astype(np.int32), "score": float(total)})
+        return out
+
+    return _mapped_many(entered.join(tags, ["doc_id", "block"]), walked, "doc_id long, block long, path array<int>, score double", score)
 
 
 def predict(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block: int = BLOCK, guard_bytes: int = crf.BROADCAST_GUARD_BYTES) -> DataFrame:

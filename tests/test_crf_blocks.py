@@ -76,3 +76,22 @@ def test_score_parts_add_up(tokens, model, whole):
         em, p = whole[2][r.doc_id], whole[1][r.doc_id]
         s = params.start[p[0]] + params.end[p[-1]] + sum(em[i, x] for i, x in enumerate(p)) + sum(params.trans[a, b] for a, b in zip(p, p[1:]))
         assert abs(s - r["sum(score)"]) < 1e-9
+
+
+def plain_matrix(em, trans, start):
+    rows = (start + em[0])[None] if start is not None else trans + em[0]
+    for e in em[1:]:
+        rows = (rows[:, :, None] + trans[None]).max(axis=1) + e
+    return rows
+
+
+@pytest.mark.parametrize("trans", ["random", "apart"])
+def test_matrices_of_many_blocks_are_those_of_each(trans):
+    """Blocks of any lengths together; with ``apart`` no two rows ever meet, as no tag is left again."""
+    draw = np.random.default_rng(7)
+    moves = draw.normal(size=(T, T)) if trans == "random" else np.where(np.eye(T) > 0, 0.0, -1e6)
+    start, ems = draw.normal(size=T), [draw.normal(size=(n, T)) for n in (1, 2, 40, 3, 40, 41, 7)]
+    first = np.array([True, False, False, True, True, False, False])
+    for got, em, f in zip(cb.best_matrices(ems, moves, start, first), ems, first):
+        want = plain_matrix(em, moves, start if f else None)
+        assert got.shape == want.shape and np.allclose(got, want, rtol=0, atol=1e-9 if trans == "random" else 1e-6)
