@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagflow.operators import spans as sp
 from tagflow.sources import annotations as ann
@@ -158,3 +159,44 @@ def test_ragged_rows_and_na_policies(spark, na, want):
     for r in en.read_legacy_wide(spark, d, na=na).orderBy("doc_id", "pos").collect():
         got.setdefault(r.doc_id, []).append(r.value)
     assert [got[k] for k in sorted(got)] == want
+
+
+def _plain_conll(texts, strict):
+    """Sentences of files in order, line by line."""
+    out, n = [], 0
+    for text in texts:
+        sent = []
+        for line in text.split("\n")[:-1] if text.endswith("\n") else text.split("\n"):
+            if line.rstrip():
+                sent.append(tuple(line.rstrip().split("\t")))
+            elif sent or strict:
+                out += [(n, j, *x) for j, x in enumerate(sent)]
+                n, sent = n + 1, []
+        if sent and not strict:
+            out += [(n, j, *x) for j, x in enumerate(sent)]
+            n += 1
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_read_conll_numbers_lines_without_sorting_them(spark, strict):
+    import random
+    draw, d, texts = random.Random(5), tempfile.mkdtemp(), []
+    for k in range(4):
+        lines = [draw.choice(["", " ", "\t"]) if draw.random() < (0.3, 0.02, 0.6, 0.0)[k] else f"w{k}-{i}\tO" for i in range(300)]
+        texts.append("\n".join(lines) + draw.choice(["", "\n", "\n\n"]))
+        _write(d, f"{k}.txt", texts[-1])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("90", "400", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert _conll(spark, d, strict_reference=strict) == _plain_conll(texts, strict)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plan = co.read_conll(spark, d, strict_reference=strict)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Sort", "hashpartitioning", "rangepartitioning"))
+
+
+def test_arrow_strips_what_the_expression_strips(spark):
+    own = spark.range(1, 0x3100).select("id", co.stripped(F.concat(F.lit("a"), F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE"))).alias("s")).where("s = 'a'")
+    assert {chr(r.id) for r in own.collect()} == set(co._SPACES)
