@@ -1,4 +1,4 @@
-"""Feature set: what passes through sorts and windows."""
+"""Feature set and dictionary: what passes through sorts and windows, and how often keys are made."""
 import re
 
 import pytest
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from tagflow.operators import align
 from tagflow.operators import features as fe
+from tagflow.operators import vocab as vo
 from tagflow.plans import catalog as cat
 from tagflow.session import tune
 
@@ -47,6 +48,16 @@ def test_shape_tags_by_first_byte_are_those_of_the_patterns(spark):
     assert "CASE WHEN ((tok" in _optimized(df.select(fe.shape_tag("tok")))  # bytes are compared first
 
 
+def test_dictionary_keys_are_made_once(spark, monkeypatch):
+    """The sort reads its input twice, so it gets a table and not the distinct rows' plan."""
+    seen, real = [], vo.dense_index
+    monkeypatch.setattr(vo, "dense_index", lambda df, *a: seen.append(_optimized(df)) or real(df, *a))
+    keys = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("<PAD>",), ("c",)], "feature string")
+    got = {r.feature: r.feature_id for r in vo.feature_dict(vo.feature_set(keys)).collect()}
+    assert got == {"<PAD>": 0, "<UNK>": 1, "a": 2, "b": 3, "c": 4}
+    assert len(seen) == 1 and "Aggregate" not in seen[0] and "Relation" in seen[0]
+
+
 @pytest.mark.parametrize("name", ["feature_set", "pad_truncate"])
 def test_documents_of_a_task_stay_few_whatever_the_corpus(spark, monkeypatch, name):
     """With partitions of a fixed or merged number a task's sorts and sequences spill on a large corpus."""
