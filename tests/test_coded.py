@@ -89,3 +89,22 @@ def test_paths_of_many_lengths_take_the_first_of_equals():
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         assert list(got) == path[::-1]
+
+
+def test_sequences_are_not_shuffled_for_their_batch(spark):
+    """The batch maximum comes from lengths; a window over a batch's sequences would sort and spill them."""
+    plan = cat.QUERIES["batch_pad"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("slots", [None, 2])
+def test_padded_to_the_batch_maximum(spark, slots):
+    from tagflow.operators.batches import batch_pad
+    feats = [[[1, 2], [3, 4], [5, 6]], [[7, 8]], [[9, 9], [9, 9]]]
+    rows = [(d, [5] * len(f), f if slots is None else [x for r in f for x in r]) for d, f in enumerate(feats)]
+    seqs = spark.createDataFrame(rows, "doc_id long, labels array<int>, feature_ids " + ("array<array<int>>" if slots is None else "array<int>"))
+    batches = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 2, 1)], "doc_id long, idx long, batch_id int")
+    got = {r.doc_id: r for r in batch_pad(seqs, batches, slots=slots).collect()}
+    flat = lambda f: f if slots else [x for r in f for x in r]
+    assert [got[d].padded_len for d in range(3)] == [3, 3, 2] and got[1].labels == [5, 29, 29] and got[1].mask == [True, False, False]
+    assert flat(got[1].feature_ids) == [7, 8, 0, 0, 0, 0] and flat(got[0].feature_ids) == [1, 2, 3, 4, 5, 6] and got[2].mask == [True, True]
