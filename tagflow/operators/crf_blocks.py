@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagflow.operators import coded as cd
 from tagflow.operators import crf
 from tagflow.session import scratch
 
@@ -41,17 +42,60 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 def summed_matrix(em: np.ndarray, trans: np.ndarray, start: np.ndarray | None) -> np.ndarray:
     """(T, T) log-sum scores from the tag before a block to its last tag; with ``start`` (first block) one row."""
-    exp_t, top = np.exp(trans), em.max(axis=1)
-    e = np.exp(em - top[:, None])
-    rows = np.exp(start - start.max())[None] * e[0] if start is not None else exp_t * e[0]
-    log = (start.max() if start is not None else 0.0) + top[0]
-    for i in range(1, len(em)):
-        rows = (rows @ exp_t) * e[i]
-        z = rows.max()
-        rows /= z
-        log += np.log(z) + top[i]
-    with np.errstate(divide="ignore"):
-        return np.maximum(np.log(rows) + log, NONE)
+    return summed_matrices([em], trans, np.zeros(len(trans)) if start is None else start, np.array([start is not None]))[0]
+
+
+LOOK = 8  # positions between two looks at whether a matrix's rows have met
+
+
+def summed_matrices(ems: list[np.ndarray], trans: np.ndarray, start: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Log-sum matrices of many blocks at once; ``first`` says which begin a document.
+
+    A chain soon forgets the tag before the block: from then on the rows of its matrix differ by constants only, up to rounding (every element by its
+    own size), and one row goes on for all; a block whose rows never meet keeps them all.
+    """
+    t, out, exp_t = len(trans), [None] * len(ems), np.exp(trans)
+    for idx in crf._chunks(np.array([len(e) for e in ems])):  # by rising length
+        em, lens, reach = crf._by_position([ems[i] for i in idx], np.arange(len(idx)), t)
+        top = em.max(axis=2)
+        e = np.exp(em - top[:, :, None])
+        row, log, more = np.exp(start - start.max())[None] * e[0], start.max() + top[0], np.zeros((len(idx), t))
+        wide = np.flatnonzero(~first[idx])
+        m, own = exp_t[None] * e[0, wide][:, None], np.repeat(top[0, wide][:, None], t, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i in range(len(em)):
+                live = reach[i]
+                if i:
+                    row[live:] = (row[live:] @ exp_t) * e[i, live:]
+                    log[live:] += top[i, live:]
+                z = row[live:].sum(axis=1)
+                row[live:] /= z[:, None]
+                log[live:] += np.log(z)
+                if not len(wide):
+                    continue
+                over = lens[wide] <= i
+                if over.any():
+                    for k, x, y in zip(wide[over], m[over], own[over]):
+                        out[idx[k]] = np.log(x) + y[:, None]
+                    wide, m, own = wide[~over], m[~over], own[~over]
+                if i:
+                    m = (m.reshape(-1, t) @ exp_t).reshape(m.shape) * e[i, wide][:, None]
+                    own += top[i, wide][:, None]
+                z = m.sum(axis=2)
+                m /= z[:, :, None]
+                own += np.log(z)
+                if i % LOOK == LOOK - 1:
+                    met = np.abs(m / m[:, :1] - 1.0).max(axis=(1, 2), initial=0.0) <= 1e-14  # no number: not met
+                    row[wide[met]], more[wide[met]], log[wide[met]] = m[met, 0], own[met], 0.0
+                    wide, m, own = wide[~met], m[~met], own[~met]
+            for k, x, y in zip(wide, m, own):
+                out[idx[k]] = np.log(x) + y[:, None]
+            ends = np.log(row) + log[:, None]
+        for k, i in enumerate(idx):
+            if out[i] is None:
+                out[i] = ends[k][None] if first[i] else more[k][:, None] + ends[k][None]
+            out[i] = np.maximum(out[i], NONE)
+    return out
 
 
 def best_matrices(ems: list[np.ndarray], trans: np.ndarray, start: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -139,17 +183,48 @@ def _per_document(df: DataFrame, *cols: str) -> DataFrame:
 
 def _matrices(blocks: DataFrame, score: crf.Scorer, params: crf.ChainParams, gold: bool = False) -> DataFrame:
     """(doc_id, block, m array<double>[, gold, first, last]): each block's log-sum matrix, and the score inside it of its own tags."""
-    trans, start = params.trans, params.start
+    return _mapped_many(blocks, lambda rows: _summed(rows, params, gold), "doc_id long, block long, m array<double>" + (", gold double, first int, last int" if gold else ""), score)
 
-    def one(r):
-        em = r["em"]
-        out = {"doc_id": r["doc_id"], "block": r["block"], "m": summed_matrix(em, trans, start if r["block"] == 0 else None).ravel()}
+
+def _summed(rows: list[dict], params: crf.ChainParams, gold: bool) -> list[dict]:
+    """Blocks (doc_id, block, em[, ts]) with their matrices."""
+    trans, out = params.trans, []
+    ms = summed_matrices([r["em"] for r in rows], trans, params.start, np.array([r["block"] == 0 for r in rows])) if rows else []
+    for r, m in zip(rows, ms):
+        out.append({"doc_id": r["doc_id"], "block": r["block"], "m": m.ravel()})
         if gold:
-            y = np.asarray(r["ts"], np.int64)
-            out |= {"gold": float(em[np.arange(len(y)), y].sum() + trans[y[:-1], y[1:]].sum()), "first": int(y[0]), "last": int(y[-1])}
-        return out
+            em, y = r["em"], np.asarray(r["ts"], np.int64)
+            out[-1] |= {"gold": float(em[np.arange(len(y)), y].sum() + trans[y[:-1], y[1:]].sum()), "first": int(y[0]), "last": int(y[-1])}
+    return out
 
-    return _mapped(blocks, one, "doc_id long, block long, m array<double>" + (", gold double, first int, last int" if gold else ""), score)
+
+def _in_chunks(tokens: cd.Coded, weights: DataFrame, score: crf.Scorer, block: int, done, schema: str, labels: str | None = "tag_id") -> DataFrame:
+    """``done(blocks)`` for lots of whole documents of coded tokens: a chunk holds all blocks of its documents, so they are linked where they are."""
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+    def run(frames, rows):
+        for pdf in frames:
+            for lot in crf._lots(pdf["xs"]):
+                part = pdf.iloc[lot]
+                ems = crf.lot_rows(list(part["xs"]), rows)
+                ys = part["ts"] if labels else [None] * len(part)
+                blocks = [{"doc_id": d, "block": k // block, "em": em[k:k + block], "ts": None if y is None else y[k:k + block]}
+                          for d, em, y in zip(part["doc_id"], ems, ys) for k in range(0, len(em), block)]
+                got = done(blocks)
+                yield pd.DataFrame({n: [r[n] for r in got] for n in names})
+
+    return score.map(crf.sequences(tokens, weights, score, labels=labels), run, schema)
+
+
+def _of_documents(rows: list[dict], *cols: str) -> list[dict]:
+    """Rows of blocks, a document's together and in order, as one row for each document."""
+    out: list[dict] = []
+    for r in rows:
+        if not out or out[-1]["doc_id"] != r["doc_id"]:
+            out.append({"doc_id": r["doc_id"], "block": [], **{c: [] for c in cols}})
+        for c in ("block", *cols):
+            out[-1][c].append(r[c])
+    return out
 
 
 def _forward(ms, t: int, join) -> list[np.ndarray]:
@@ -164,7 +239,6 @@ def _forward(ms, t: int, join) -> list[np.ndarray]:
 def loglik(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block: int = BLOCK, guard_bytes: int = crf.BROADCAST_GUARD_BYTES) -> DataFrame:
     """M2: (doc_id, loglik) of the tags of sequences of any length."""
     score = crf.scorer(weights, params.n_tags, guard_bytes)
-    ms = _matrices(cut(tokens, score, weights, block), score, params, gold=True)
     t, trans, start, end = params.n_tags, params.trans, params.start, params.end
 
     def one(r):
@@ -173,6 +247,12 @@ def loglik(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
         gold = np.sum(r["gold"]) + start[first[0]] + end[last[-1]] + trans[last[:-1], first[1:]].sum()
         return {"doc_id": r["doc_id"], "loglik": float(gold - z)}
 
+    if isinstance(tokens, cd.Coded):
+        if tokens.whole():
+            done = lambda rows: [one(r) for r in _of_documents(_summed(rows, params, True), "m", "gold", "first", "last")]
+            return _in_chunks(tokens, weights, score, block, done, "doc_id long, loglik double")
+        tokens = cd.token_rows(tokens)
+    ms = _matrices(cut(tokens, score, weights, block), score, params, gold=True)
     return _mapped(_per_document(ms, "m", "gold", "first", "last"), one, "doc_id long, loglik double")
 
 
@@ -235,7 +315,6 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
     """M4+M5: (doc_id, block, path array<int>, score), the best path of each document block by block; ``score`` is the part of the
     path's score that its block adds (emissions, the transition into it, start and end)."""
     score = crf.scorer(weights, params.n_tags, guard_bytes)
-    blocks = cut(tokens, score, weights, block, labels=None)
     t, trans, start, end = params.n_tags, params.trans, params.start, params.end
 
     def entries(r):
@@ -249,13 +328,6 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
         ms = best_matrices([r["em"] for r in rows], trans, start, np.array([r["block"] == 0 for r in rows]))
         return [{"doc_id": r["doc_id"], "block": r["block"], "m": m.ravel()} for r, m in zip(rows, ms)]
 
-    matrices = _mapped_many(blocks, best, "doc_id long, block long, m array<double>", score)
-    edge = _mapped(_per_document(matrices, "m"), entries, "doc_id long, x array<struct<block:long,entry:array<double>,last:int>>")
-    edge = edge.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
-    path = scratch(tokens.sparkSession, "crf-entries")
-    blocks.join(edge, ["doc_id", "block"]).write.parquet(path)
-    entered = tokens.sparkSession.read.parquet(path)
-
     def paths(rows):
         return _paths([r["em"] for r in rows], trans, start, [None if r["block"] == 0 else r["entry"] for r in rows])
 
@@ -278,10 +350,6 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
             tag = int(came[tag])
         return {"doc_id": r["doc_id"], "x": out}
 
-    linked = _mapped_many(entered, links, "doc_id long, block long, came array<int>, last int", score)
-    tags = _mapped(_per_document(linked, "came", "last"), chosen, "doc_id long, x array<struct<block:long,tag:int>>")
-    tags = tags.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
-
     def walked(rows):
         out = []
         for idx, lens, back, came in paths(rows):
@@ -297,7 +365,34 @@ def decode(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block
                 out.append({"doc_id": r["doc_id"], "block": r["block"], "path": q.astype(np.int32), "score": float(total)})
         return out
 
-    return _mapped_many(entered.join(tags, ["doc_id", "block"]), walked, "doc_id long, block long, path array<int>, score double", score)
+    def done(rows):
+        """All of it for whole documents."""
+        at = {(r["doc_id"], r["block"]): r for r in rows}
+        for r in _of_documents(best(rows), "m"):
+            for x in entries(r)["x"]:
+                at[r["doc_id"], x["block"]] |= {"entry": x["entry"], "last": x["last"]}
+        came = sorted(links(rows), key=lambda r: (r["doc_id"], r["block"]))
+        for r in _of_documents(came, "came", "last"):
+            for x in chosen(r)["x"]:
+                at[r["doc_id"], x["block"]]["tag"] = x["tag"]
+        return walked(rows)
+
+    schema = "doc_id long, block long, path array<int>, score double"
+    if isinstance(tokens, cd.Coded):
+        if tokens.whole():
+            return _in_chunks(tokens, weights, score, block, done, schema, labels=None)
+        tokens = cd.token_rows(tokens)
+    blocks = cut(tokens, score, weights, block, labels=None)
+    matrices = _mapped_many(blocks, best, "doc_id long, block long, m array<double>", score)
+    edge = _mapped(_per_document(matrices, "m"), entries, "doc_id long, x array<struct<block:long,entry:array<double>,last:int>>")
+    edge = edge.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
+    path = scratch(tokens.sparkSession, "crf-entries")
+    blocks.join(edge, ["doc_id", "block"]).write.parquet(path)
+    entered = tokens.sparkSession.read.parquet(path)
+    linked = _mapped_many(entered, links, "doc_id long, block long, came array<int>, last int", score)
+    tags = _mapped(_per_document(linked, "came", "last"), chosen, "doc_id long, x array<struct<block:long,tag:int>>")
+    tags = tags.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
+    return _mapped_many(entered.join(tags, ["doc_id", "block"]), walked, schema, score)
 
 
 def predict(tokens: DataFrame, weights: DataFrame, params: crf.ChainParams, block: int = BLOCK, guard_bytes: int = crf.BROADCAST_GUARD_BYTES) -> DataFrame:

@@ -108,3 +108,33 @@ def test_padded_to_the_batch_maximum(spark, slots):
     flat = lambda f: f if slots else [x for r in f for x in r]
     assert [got[d].padded_len for d in range(3)] == [3, 3, 2] and got[1].labels == [5, 29, 29] and got[1].mask == [True, False, False]
     assert flat(got[1].feature_ids) == [7, 8, 0, 0, 0, 0] and flat(got[0].feature_ids) == [1, 2, 3, 4, 5, 6] and got[2].mask == [True, True]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_blocks_of_coded_documents_are_linked_in_their_chunk(spark, block, monkeypatch):
+    from tagflow.operators import crf_blocks as cb
+    rows, wide = table(spark, 9)
+    got = coded(wide.where("doc_id <> 4").repartition(2, "doc_id").sortWithinPartitions("doc_id", F.desc("pos")), 60)
+    draw = np.random.default_rng(1)
+    weights = spark.createDataFrame([(i, draw.normal(size=TAGS).tolist()) for i in (1, 2, 4)], "feature_id long, w array<double>").cache()
+    params = crf.ChainParams(TAGS, draw.normal(size=(TAGS, TAGS)), draw.normal(size=TAGS), draw.normal(size=TAGS))
+    long = cd.token_rows(got)
+    want = [{r.doc_id: r.loglik for r in cb.loglik(long, weights, params, block).collect()}, sorted(map(tuple, cb.predict(long, weights, params, block).collect()))]
+    monkeypatch.setattr(cb, "cut", None)  # no table of blocks, no exchange of their matrices
+    ll = {r.doc_id: r.loglik for r in cb.loglik(got, weights, params, block, 0).collect()}
+    assert ll.keys() == want[0].keys() and all(abs(ll[d] - want[0][d]) < 1e-9 for d in ll)
+    assert sorted(map(tuple, cb.predict(got, weights, params, block, 0).collect())) == want[1]
+
+
+@pytest.mark.parametrize("trans", ["random", "apart"])
+def test_summed_matrices_of_many_blocks_are_those_of_each(trans):
+    from tagflow.operators import crf_blocks as cb
+    draw = np.random.default_rng(7)
+    moves = draw.normal(size=(TAGS, TAGS)) if trans == "random" else np.where(np.eye(TAGS) > 0, 0.0, -30.0)
+    start, ems = draw.normal(size=TAGS), [draw.normal(size=(n, TAGS)) for n in (1, 2, 40, 90, 40, 300, 7)]
+    first = np.array([True, False, False, True, True, False, False])
+    for got, em, f in zip(cb.summed_matrices(ems, moves, start, first), ems, first):
+        want = (start + em[0])[None] if f else moves + em[0]
+        for e in em[1:]:
+            want = cb._lse(want[:, :, None] + moves[None], 1) + e
+        assert got.shape == want.shape and np.allclose(got, want, rtol=0, atol=1e-9)
