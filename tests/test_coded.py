@@ -138,3 +138,25 @@ def test_summed_matrices_of_many_blocks_are_those_of_each(trans):
         for e in em[1:]:
             want = cb._lse(want[:, :, None] + moves[None], 1) + e
         assert got.shape == want.shape and np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_probabilities_meet_their_tags_without_a_join(spark):
+    """30 numbers for each token are neither joined with the token table nor made by lambdas."""
+    plan = cat.QUERIES["softmax_sparse"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "doc_id#" in plan and not [x for x in plan.splitlines() if "Join" in x and "pos#" in x]
+
+
+@pytest.mark.parametrize("guard", [1 << 30, 0])
+def test_full_batch_training_reads_coded_tokens_where_they_are(spark, guard, monkeypatch):
+    from tagflow.operators import training as tr
+    rows, wide = table(spark, 9)
+    got = coded(wide.where("doc_id <> 4").repartition(2, "doc_id").sortWithinPartitions("doc_id", F.desc("pos")), 60)
+    long = cd.token_rows(got)
+    more = {"epochs": 2, "lr": 0.3, "batch_size": 1 << 20, "n_tags": TAGS, "guard_bytes": guard, "chain": False}
+    want = tr.crf_fit(long.where("split = 'train'"), long.where("split = 'dev'"), **more)
+    monkeypatch.setattr(tr, "write_batches", None)  # no copy of the batch, no list of its features
+    fit = tr.crf_fit(got.where("split = 'train'"), got.where("split = 'dev'"), **more)
+    both = [[(r.epoch, r.loss, r.n_batches, r.val_loss) for r in f.history.orderBy("epoch").collect()] for f in (fit, want)]
+    assert np.allclose(both[0], both[1], rtol=0, atol=1e-9)
+    a, b = [{(r.doc_id, r.pos): (r.tag_id, r.probs) for r in tr.probabilities(t, f.weights, TAGS, guard, keep=("tag_id",)).collect()} for t, f in ((got, fit), (long, want))]
+    assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1], atol=1e-12) for k in a)
